@@ -38,6 +38,20 @@ def op4_decontamination(spark, d):
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op5_quality(spark, d):
+    from granary.llm.quality import score
+
+    return score(load(spark, d, "documents"), load(spark, d, "labels"))
+
+
+def op6_language_id(spark, d):
+    from granary.llm.langid import predict, train
+
+    docs = load(spark, d, "documents").select("doc_id", "text", "lang", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2).alias("held_out"))
+    held = F.coalesce("held_out", F.lit(False))
+    return predict(docs.withColumn("held_out", held), train(docs.filter(~held)), keep=("held_out",))
+
+
 def op9_warc(spark, d):
     from granary.llm.warc import round_trip
 
@@ -51,7 +65,7 @@ def op10_exact_dedup(spark, d):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_url_filter, op3_byte_bpe, op4_decontamination, op9_warc, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_url_filter, op3_byte_bpe, op4_decontamination, op5_quality, op6_language_id, op9_warc, op10_exact_dedup)}
 
 
 _RULE_ROWS = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in ((r.split(" ")[0], r.split(" ")[1].split("/", 1)[0], "/" + r.split("/", 1)[1]) for r in RULES))
