@@ -52,6 +52,12 @@ def op6_language_id(spark, d):
     return predict(docs.withColumn("held_out", held), train(docs.filter(~held)), keep=("held_out",))
 
 
+def op8_ngram_join(spark, d):
+    from granary.llm.ngram_join import similarity_join
+
+    return similarity_join(load(spark, d, "documents"))
+
+
 def op9_warc(spark, d):
     from granary.llm.warc import round_trip
 
@@ -65,7 +71,7 @@ def op10_exact_dedup(spark, d):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_url_filter, op3_byte_bpe, op4_decontamination, op5_quality, op6_language_id, op9_warc, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_url_filter, op3_byte_bpe, op4_decontamination, op5_quality, op6_language_id, op8_ngram_join, op9_warc, op10_exact_dedup)}
 
 
 _RULE_ROWS = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in ((r.split(" ")[0], r.split(" ")[1].split("/", 1)[0], "/" + r.split("/", 1)[1]) for r in RULES))
