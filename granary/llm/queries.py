@@ -16,6 +16,15 @@ def op1_url_filter(spark, d):
     return url_filter(load(spark, d, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_secret_scan(spark, d):
+    import public_tokenizers
+
+    from granary.llm.secret_scan import dictionary, sample_findings, scan, train
+
+    words = dictionary(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return scan(load(spark, d, "documents"), train(spark, sample_findings(), words), words)
+
+
 def _ranks():
     import public_tokenizers
 
@@ -71,7 +80,7 @@ def op10_exact_dedup(spark, d):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_url_filter, op3_byte_bpe, op4_decontamination, op5_quality, op6_language_id, op8_ngram_join, op9_warc, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_url_filter, op2_secret_scan, op3_byte_bpe, op4_decontamination, op5_quality, op6_language_id, op8_ngram_join, op9_warc, op10_exact_dedup)}
 
 
 _RULE_ROWS = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in ((r.split(" ")[0], r.split(" ")[1].split("/", 1)[0], "/" + r.split("/", 1)[1]) for r in RULES))
