@@ -61,6 +61,13 @@ def op6_language_id(spark, d):
     return predict(docs.withColumn("held_out", held), train(docs.filter(~held)), keep=("held_out",))
 
 
+def op7_suffix_dedup(spark, d):
+    from granary.llm.suffix_dedup import remove_repeats
+
+    out = remove_repeats(load(spark, d, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_ngram_join(spark, d):
     from granary.llm.ngram_join import similarity_join
 
@@ -80,7 +87,7 @@ def op10_exact_dedup(spark, d):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_url_filter, op2_secret_scan, op3_byte_bpe, op4_decontamination, op5_quality, op6_language_id, op8_ngram_join, op9_warc, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_url_filter, op2_secret_scan, op3_byte_bpe, op4_decontamination, op5_quality, op6_language_id, op7_suffix_dedup, op8_ngram_join, op9_warc, op10_exact_dedup)}
 
 
 _RULE_ROWS = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in ((r.split(" ")[0], r.split(" ")[1].split("/", 1)[0], "/" + r.split("/", 1)[1]) for r in RULES))
