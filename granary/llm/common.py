@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Most bytes of text that a Python worker expands at once (a single longer text is one chunk).
@@ -139,5 +139,11 @@ def bounded_join(left: DataFrame, right: DataFrame, on, how: str, limit: int = B
     return left.join(F.broadcast(right) if few else right, on, how)
 
 
-def text_bytes(c: Column) -> Column:
-    return F.coalesce(c, F.lit(""))
+def keyed_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
+    """left inner join right (one row a key, of any width), where few rows of left have a partner.
+
+    Only right's keys, of fixed width, may be broadcast, and only up to BROADCAST_ROWS of them; the
+    rows of left that have a partner are then shuffled to right's.
+    """
+    keys = right.select(F.col(right_key).alias("_few"))
+    return bounded_join(left, keys, F.col(left_key) == F.col("_few"), "left_semi").join(right, F.col(left_key) == F.col(right_key))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import bounded_join, chunks, flat, mix, prefix_hash
+from granary.llm.common import bounded_join, chunks, flat, keyed_join, mix, prefix_hash
 from granary.llm.ngram_join import _groups
 from granary.llm.sais import pack, permuted_common_prefixes, suffix_arrays
 from granary.session import cut
@@ -224,7 +224,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text") -> Da
     sizes = suspects.select("shard", "context").distinct().groupBy("shard").agg(F.count("*").alias("m"))
     rows = cut(rows.join(sizes, "shard").select("shard", "context", "n", "m", "one.*").withColumn("size", F.col("last") - F.col("first") + length))
     wanted = rows.filter("m > 1").groupBy("k").agg(F.collect_list(F.struct("shard", "context", "first", "last", "lead")).alias("wanted"))
-    sources = bounded_join(texts.withColumnRenamed("k", "_k"), cut(wanted), F.col("_k") == F.col("k"), "inner")
+    sources = keyed_join(texts.withColumnRenamed("k", "_k"), cut(wanted), "_k", "k")
     ctx = sources.select("text", "wanted").mapInArrow(_contexts(length), "shard long, context long, lead int, bytes binary")
     # Copies of a text send the same contexts.
     ctx = cut(ctx.dropDuplicates(["shard", "context"]).join(rows.filter("m > 1").select("shard", "m").distinct(), "shard"))
@@ -271,5 +271,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     found = repeats(docs, length, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("_k"))
-    joined = bounded_join(rows, found, F.col("_k") == F.col("k"), "left").select("doc_id", "text", "starts")
-    return joined.mapInArrow(_removed(length), f"doc_id {kind}, n_bytes long, n_removed long, spans array<struct<start:long,stop:long>>, kept binary")
+    hit = keyed_join(rows, found, "_k", "k").select("doc_id", "text", "starts")
+    rest = bounded_join(rows, found.select("k"), F.col("_k") == F.col("k"), "left_anti").select("doc_id", "text", F.lit(None).cast("array<struct<first:int,last:int>>").alias("starts"))
+    return hit.unionByName(rest).mapInArrow(_removed(length), f"doc_id {kind}, n_bytes long, n_removed long, spans array<struct<start:long,stop:long>>, kept binary")
