@@ -176,9 +176,9 @@ def category_partition(df: DataFrame, label: str, categories: int) -> DataFrame:
     return df.withColumn("category", F.pmod(F.col(label).cast("int"), F.lit(categories))).repartition(categories, "category")
 
 
-def lower_median(x: Column) -> Column:
-    """Aggregate: the element at (n - 1) / 2 of the sorted values."""
-    return order_statistic(x, 0.5)
+def lower_median(x: str) -> Column:
+    """Aggregate: the element at (n - 1) / 2 of the sorted values. It holds a count for each distinct value."""
+    return F.expr(f"percentile_disc(0.5) within group (order by {x})")
 
 
 def order_statistic(x: Column, q: float) -> Column:
