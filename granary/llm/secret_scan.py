@@ -34,7 +34,7 @@ SAMPLE_PATHS = "doc docs demo example examples fixture fixtures mock mocks sampl
 FEATURES = ["length", "entropy", "digits", "uppers", "symbols", "hex", "class_changes", "case_changes", "longest_letters", "longest_digits", "distinct", "bigram", "coverage", "uuid", "secret_words", "harmless_words", "assigned", "quoted", "path_depth", "sample_path"]
 
 _TOKEN = np.zeros(256, bool)
-for _c in b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=":
+for _c in b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-":
     _TOKEN[_c] = True
 _KIND = np.zeros(128, np.int8)
 _KIND[48:58], _KIND[65:91], _KIND[97:123] = 1, 2, 3
@@ -132,7 +132,7 @@ def _spans(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarra
 def candidates(docs: DataFrame, words: Dictionary, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", least: int = LEAST) -> DataFrame:
     """doc_id, start, end (bytes of the UTF-8 text), candidate, features: one row for each candidate with a digit or both cases.
 
-    A null text has none; a null path counts as an empty one. '=' at the ends doesn't belong to a candidate.
+    A null text has none; a null path counts as an empty one. Dashes at the ends don't belong to a candidate.
     """
     shared = docs.sparkSession.sparkContext.broadcast(words)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -145,8 +145,8 @@ def candidates(docs: DataFrame, words: Dictionary, id_col: str = "doc_id", text_
             paths, rows, out = batch.column(1).to_pylist(), [], [[], [], [], []]
             for s, e in zip(*_spans(data, offsets, least), strict=True):
                 token = data[s:e].tobytes().decode()
-                lead = len(token) - len(token.lstrip("=-"))
-                token = token.strip("=-")
+                lead = len(token) - len(token.lstrip("-"))
+                token = token.strip("-")
                 if len(token) < least or not (any(c.isdigit() for c in token) or not (token.islower() or token.isupper())):
                     continue
                 row = int(np.searchsorted(offsets, s, side="right")) - 1
