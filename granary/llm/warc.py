@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import base64
 import datetime
+import gzip
 import hashlib
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.llm.common import chunks
@@ -28,6 +29,8 @@ ARC_LINES = {
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
+GZIP = b"\x1f\x8b"
+
 #: Capture time and address of records whose source has none.
 NO_DATE, NO_IP = "19700101000000", "0.0.0.0"
 
@@ -150,8 +153,8 @@ def parse_warc(data: bytes):
         at += size + 4
 
 
-def _page_key(page_id, copy) -> str:
-    return f"page:{page_id}:{copy}"
+def _page_key(page_id, copy, payload: bytes) -> str:
+    return f"page:{page_id}:{copy}:{base32_sha1(payload)}"
 
 
 def _to_warc(batches):
@@ -165,7 +168,7 @@ def _to_warc(batches):
                 extra = {"WARC-X-Page-Id": "" if page is None else page, "WARC-X-Payload-Length": len(payload)}
                 if first_copy is not None:
                     extra["WARC-X-Refers-To-Page"] = "" if first is None else first
-                record = warc_record(fields, payload, _page_key(page, copy), None if first_copy is None else _page_key(first, first_copy), extra)
+                record = warc_record(fields, payload, _page_key(page, copy, payload), None if first_copy is None else _page_key(first, first_copy, payload), extra)
                 out.append(record.removesuffix(b"\r\n\r\n").decode())
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
@@ -176,8 +179,8 @@ READ_DDL = "page_id long, payload_bytes long, payload_digest string, record_type
 def _from_warc(batches):
     for batch in batches:
         for data in batch.column(0):
-            rows = []
-            for head, block in parse_warc(data.as_py()):
+            rows, raw = [], data.as_py()
+            for head, block in parse_warc(gzip.decompress(raw) if raw[:2] == GZIP else raw):
                 kind, digest = head["warc-type"], head["warc-payload-digest"].removeprefix("sha1:")
                 if kind == "response" and base32_sha1(block) != digest:
                     raise ValueError(f"the payload of {head['warc-record-id']} doesn't have its digest")
@@ -190,10 +193,10 @@ def _from_warc(batches):
 
 
 def decided(pages: DataFrame, least: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """pages with the record that each revisits: page_id, copy, url, html, first, first_copy (null: a response).
+    """page_id, url, html, the payload's hash, first (the page whose payload others repeat) and whether that counts.
 
     Of records with equal payloads of at least `least` bytes the smallest page_id is the response;
-    null ids come last. Rows that repeat one page_id are told apart by `copy`, a number without meaning.
+    null ids come last.
     """
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.sha2(html, 256).alias("_key"))
@@ -211,25 +214,23 @@ def write_warc(pages: DataFrame, out_dir: str, least: int = 0) -> None:
     """
     rows = decided(pages, least)
     same = F.col("page_id").eqNullSafe(F.col("first"))
-    once = rows.filter(F.col("_long") & same).groupBy("_key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("_key").alias("_twice"))
-    plan = rows.withColumn("first_copy", F.when(F.col("_long") & ~same, F.lit(0)))
-    if not once.isEmpty():  # rows that repeat the first page_id: one of them is the response
-        plan = plan.join(once, F.col("_key") == F.col("_twice"), "left")
-        from pyspark.sql import Window
-
-        rank = F.row_number().over(Window.partitionBy("_key", "page_id").orderBy(F.col("url"))) - 1
-        repeated = plan.filter(F.col("_twice").isNotNull() & same).withColumn("copy", rank)
-        repeated = repeated.withColumn("first_copy", F.when(F.col("copy") > 0, F.lit(0)))
-        plan = plan.filter(F.col("_twice").isNull() | ~same).withColumn("copy", F.lit(0)).unionByName(repeated)
-    else:
-        plan = plan.withColumn("copy", F.lit(0))
+    again = rows.groupBy("_key", "page_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("_key").alias("_again"), F.col("page_id").alias("_id"))
+    if again.isEmpty():
+        plan = rows.withColumn("copy", F.lit(0))
+    else:  # rows that repeat a page_id and its payload are numbered; of the first page's one is the response
+        marked = rows.join(again, (F.col("_key") == F.col("_again")) & F.col("page_id").eqNullSafe(F.col("_id")), "left")
+        rank = F.row_number().over(Window.partitionBy("_key", "page_id").orderBy("url")) - 1
+        alone, several = marked.filter("_again is null"), marked.filter("_again is not null")
+        plan = alone.withColumn("copy", F.lit(0)).unionByName(several.withColumn("copy", rank))
+    plan = plan.withColumn("first_copy", F.when(F.col("_long") & ~(same & (F.col("copy") == 0)), F.lit(0)))
     records = plan.select("page_id", "copy", "url", "html", "first", "first_copy").mapInArrow(_to_warc, "value string")
     # A record ends in two empty lines, which is what the text writer puts after each row.
-    records.write.mode("overwrite").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", 5000).text(out_dir)
+    writer = records.write.mode("overwrite").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", 5000)
+    writer.option("compression", "gzip").text(out_dir)
 
 
 def read_warc(spark, path: str) -> DataFrame:
-    """Records of the WARC files in path: READ_DDL. Payload digests of responses are checked."""
+    """Records of the WARC files (plain or gzip) in path: READ_DDL. Payload digests of responses are checked."""
     files = spark.read.format("binaryFile").load(path).filter(F.col("length") > 0).select("content")
     return files.mapInArrow(_from_warc, READ_DDL)
 
