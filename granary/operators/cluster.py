@@ -306,8 +306,13 @@ def gaussian_mixture(df: DataFrame, vector: str, k: int, iterations: int = 30, t
     """EM from a sample of at most `sample` rows; each batch sends its partial sums (k rows), which are added by a group-by."""
     rows = np.array([r[0] for r in df.select(dense(vector)).orderBy(F.xxhash64(dense(vector), F.lit(seed))).limit(sample).collect()])
     d = rows.shape[1]
-    per = max(1, len(rows) // k)
-    parts = [rows[i * per : (i + 1) * per] for i in range(k)]
+    far = ((rows - rows[0]) ** 2).sum(axis=1)
+    seeds = [rows[0]]
+    while len(seeds) < k:  # each next seed is the sample row farthest from those before
+        seeds.append(rows[far.argmax()])
+        far = np.minimum(far, ((rows - seeds[-1]) ** 2).sum(axis=1))
+    near = np.stack([((rows - s) ** 2).sum(axis=1) for s in seeds]).argmin(axis=0)
+    parts = [rows[near == i] if (near == i).any() else rows for i in range(k)]
     m = Mixture(np.full(k, 1 / k), [p.mean(axis=0) for p in parts], [np.diag(p.var(axis=0) + 1e-6) for p in parts])
     before = -np.inf
     for _ in range(iterations):

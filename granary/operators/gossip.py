@@ -105,6 +105,23 @@ def _edge_frame(spark: SparkSession, pairs: dict[int, int], a: str, b: str) -> D
     return spark.createDataFrame(sorted(pairs.items()) or [], f"{a} int, {b} int")
 
 
+def _local(model, critical: float | None):
+    """One edge's mean loss and gradient over its rows, or over the share of the largest losses."""
+    import pandas as pd
+
+    def local(pdf: pd.DataFrame) -> pd.DataFrame:
+        w = np.array(pdf["weights"].iloc[0])
+        x, y = np.stack(pdf["v"].to_numpy()), pdf["y"].to_numpy()
+        if critical is not None:
+            p = model.value(x, w)[np.arange(len(y)), y.astype(int)]
+            keep = np.argsort(p, kind="stable")[: max(1, int(len(y) * critical))]
+            x, y = x[keep], y[keep]
+        loss, g = model.loss_gradient(x, y, w)
+        return pd.DataFrame({"edge": [pdf["edge"].iloc[0]], "loss": [loss / len(y)], "grad": [(g / len(y)).tolist()]})
+
+    return local
+
+
 def train(df: DataFrame, model, vector: str, label: str, edge: str, cfg: GossipConfig, mode: str = "scored") -> tuple[DataFrame, list[float]]:
     """(state, mean losses): each epoch every edge steps on its own rows (label 0-based), then edges exchange.
 
@@ -112,8 +129,6 @@ def train(df: DataFrame, model, vector: str, label: str, edge: str, cfg: GossipC
     with the partner of the iteration, then a step). With `critical` only that share of an edge's rows,
     those of the largest loss, is used after the first epoch.
     """
-    import pandas as pd
-
     from granary.functions.vectors import dense
     from granary.session import cut
 
@@ -122,18 +137,8 @@ def train(df: DataFrame, model, vector: str, label: str, edge: str, cfg: GossipC
     rows = df.select(F.col(edge).cast("int").alias("edge"), dense(vector).alias("v"), F.col(label).cast("double").alias("y"))
     for epoch in range(cfg.epochs):
 
-        def local(pdf: pd.DataFrame, epoch=epoch) -> pd.DataFrame:
-            w = np.array(pdf["weights"].iloc[0])
-            x, y = np.stack(pdf["v"].to_numpy()), pdf["y"].to_numpy()
-            if cfg.critical is not None and epoch:
-                p = model.value(x, w)[np.arange(len(y)), y.astype(int)]
-                keep = np.argsort(np.log(np.maximum(p, 1e-300)), kind="stable")[: max(1, int(len(y) * cfg.critical))]
-                x, y = x[keep], y[keep]
-            loss, g = model.loss_gradient(x, y, w)
-            return pd.DataFrame({"edge": [pdf["edge"].iloc[0]], "loss": [loss / len(y)], "grad": [(g / len(y)).tolist()]})
-
         # An edge's rows are its own data set, which by the simulation's terms fits one machine.
-        got = cut(rows.join(state.select("edge", "weights"), "edge").groupBy("edge").applyInPandas(local, "edge int, loss double, grad array<double>"))
+        got = cut(rows.join(state.select("edge", "weights"), "edge").groupBy("edge").applyInPandas(_local(model, cfg.critical if epoch else None), "edge int, loss double, grad array<double>"))
         history.append(got.agg(F.avg("loss")).first()[0])
         if mode == "ring":
             peers = state.select("edge", ring_peer(F.col("edge"), epoch, cfg.edges).alias("peer"))

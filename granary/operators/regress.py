@@ -248,7 +248,7 @@ def zip_regression(df: DataFrame, model, vector: str, label: str, key: str, weig
 
     bucketed = df.join(rounds(df, vector, key, per_bucket, hyper), key)
     bucketed = regroup_small(bucketed, vector, per_bucket).withColumnRenamed("bucket", "zip_id")
-    zips = centroids(bucketed, vector, ["zip_id"], label).withColumn("part", F.pmod(F.xxhash64("zip_id"), F.lit(4)))
+    zips = centroids(bucketed, vector, ["zip_id"], label).withColumnRenamed("label", label).withColumn("part", F.pmod(F.xxhash64("zip_id"), F.lit(4)))
     return zip_descent(bucketed, zips, model, vector, label, weights, iterations, step, ratio, "part")
 
 
