@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import bounded_join
+from granary.llm.common import bounded_join, keyed_join
 from granary.session import cut
 
 #: What stands between words: every ASCII character but 0-9 and a-z (A-Z are lower-cased first).
@@ -78,7 +78,7 @@ def verified_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_
     # A hash shared by windows of two sizes can give a start outside its size's range; verification drops it.
     found = cut(hits.groupBy("k").agg(F.collect_set(one).alias("found")))
     texts = docs.select(_key(F.col(text_col)).alias("_k"), F.col(text_col).alias("_text"))
-    pairs = bounded_join(texts, found, F.col("_k") == F.col("k"), "inner")
+    pairs = keyed_join(texts, found, "_k", "k")
     # Copies of one text agree, so any of them may stand for all.
     def true(w):
         return F.filter("found", lambda x: (x["start"] >= 1) & (F.array_join(F.slice(w, x["start"], x["size"]), " ") == x["gram"]))
@@ -107,7 +107,7 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str =
     """
     hits = verified_hits(docs, items, window, text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), _key(F.col(text_col)).alias("_k"), F.size(words(F.col(text_col))).cast("long").alias("n_words"))
-    out = bounded_join(rows, hits, F.col("_k") == F.col("k"), "left")
+    out = rows.join(hits, F.col("_k") == F.col("k"), "left")
     n_hit = F.coalesce(covered(F.col("spans")), F.lit(0).cast("long"))
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("spans", F.array().cast("array<struct<start:int,size:int>>")).alias("spans"), F.col("spans").isNotNull().alias("contaminated"))
 
@@ -120,7 +120,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, remove: str = "documents",
         return bounded_join(docs, hits.select("_k"), keyed, "left_anti")
     if remove != "spans":
         raise ValueError(remove)
-    joined = bounded_join(docs, hits, keyed, "left")
+    joined = docs.withColumn("_own", _key(F.col(text_col))).join(hits, F.col("_own") == F.col("_k"), "left").drop("_own")
     text, gap = F.col(text_col), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
     pieces = F.regexp_extract_all(text, F.lit(rf"(?s)^{gap}+|[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+{gap}*"), 0)
 
