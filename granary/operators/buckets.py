@@ -288,3 +288,38 @@ def cluster_by(df: DataFrame, vector: str, key: str, label: str, upper: int, met
         part = part.select(key, label, F.col("bucket").cast("int").alias("bucket"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def hash_iterative(df: DataFrame, features: list[Column], key: str, upper: int, parts: int = 2, deepest: int = 50) -> DataFrame:
+    """df with bucket: equal rank slices by one feature after another, only of buckets that still hold over `upper` rows.
+
+    A bucket's name has one step a split. Stops when no bucket is larger, the features are used up, or at `deepest`.
+    """
+    from granary.session import cut
+
+    out = df.withColumn("bucket", F.lit(""))
+    for depth, f in enumerate(features[:deepest]):
+        sizes = out.groupBy("bucket").agg(F.count("*").alias("_n")).filter(F.col("_n") > upper)
+        if depth % 5 == 4:
+            out = cut(out)
+        if sizes.isEmpty():
+            break
+        joined = out.join(sizes, "bucket", "left")
+        w = Window.partitionBy("bucket")
+        rank = F.row_number().over(w.orderBy(f, key)) - 1
+        step = F.concat("bucket", F.lit("/"), F.least(F.floor(rank * parts / F.col("_n")), F.lit(parts - 1)).cast("string"))
+        large = joined.filter("_n is not null").withColumn("bucket", step)
+        out = large.unionByName(joined.filter("_n is null")).drop("_n")
+    return out
+
+
+def nested(layered: DataFrame, coarse: str, fine: str) -> DataFrame:
+    """coarse key, fine (array of keys, sorted), sizes: a two-layer aggregate as one row; members stay in their own table."""
+    counts = layered.groupBy(coarse, fine).agg(F.count("*").alias("size"))
+    pairs = counts.groupBy(coarse).agg(F.array_sort(F.collect_list(F.struct(fine, "size"))).alias("_p"))
+    return pairs.select(coarse, F.transform("_p", lambda p: p[fine]).alias(fine), F.transform("_p", lambda p: p["size"]).alias("sizes"), F.aggregate("_p", F.lit(0).cast("long"), lambda a, p: a + p["size"]).alias("total"))
+
+
+def select_members(layered: DataFrame, chosen: DataFrame, by: list[str]) -> DataFrame:
+    """The rows of the chosen aggregates (by their keys)."""
+    return layered.join(chosen.select(*by).distinct(), by, "left_semi")
