@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from granary.session import load
 
 RULES = ["block com/en/", "allow example.com/en/7", "allow net/de/", "block example.net/de/8", "block org/es/"]
-EMPTY = "sha2('', 256)"
 
 
 def op1_url_filter(spark, d):
