@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Most bytes of text that a Python worker expands at once (a single longer text is one chunk).
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 #: Most rows that a checked broadcast may have; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
@@ -130,6 +130,18 @@ def shingles(hashes: np.ndarray, docs: np.ndarray, k: int) -> tuple[np.ndarray,
     return out, offsets
 
 
+#: Rows of an Arrow batch at most: texts are long, and a batch stands in the JVM and in a worker at once.
+BATCH_ROWS = 500
+
+
+def lean(df: DataFrame) -> DataFrame:
+    """df, after limiting the session's Arrow batches to BATCH_ROWS rows, so that workers stay small whatever the texts' length."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def bounded_join(left: DataFrame, right: DataFrame, on, how: str, limit: int = BROADCAST_ROWS) -> DataFrame:
     """left join right, broadcasting right only where a count shows that it has at most `limit` rows.
 

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import bounded_join, chunks, flat
+from granary.llm.common import bounded_join, chunks, lean
 from granary.session import cut
 
 #: Characters that the comparison ignores: [\x20\x09-\x0D].
@@ -143,7 +143,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = docs.count()
     lanes = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows / OWNER_ROWS)
     bits = max(0, math.ceil(math.log2(lanes))) if rows else 0
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    narrow = lean(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sent = cut(narrow.mapInArrow(_sender(bits), _SENT_DDL))
     each = sent.filter("part is null").select("doc_id", "n_chars", "text_sha256", F.col("k").cast("long").alias("task"), F.col("owner").alias("row"))
     mail = sent.filter("part is not null")

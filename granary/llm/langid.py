@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import chunks, flat
+from granary.llm.common import chunks, flat, lean
 
 DIM = 4096
 PER_LANG = 1200
@@ -145,7 +145,7 @@ def has_letter(text: str | None) -> bool:
 
 def train(labelled: DataFrame, per_lang: int = PER_LANG, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """A model of at most `per_lang` documents of each non-null lang (bounded sample: smallest hash of the id), None without any."""
-    rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.xxhash64(id_col).alias("h"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    rows = lean(labelled).filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.xxhash64(id_col).alias("h"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     counts = dict(rows.groupBy("lang").count().collect())
     if not counts:
         return None
@@ -176,7 +176,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     lang_pred is 'und' with score 0 if the text is null or has no letter, or nothing was learned.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).alias("text"))
+    source = lean(docs).select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).alias("text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[:-1]) + ", lang_pred string, score double"
 
     def run(batches):

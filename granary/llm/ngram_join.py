@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import bounded_join, chunks, flat, shingles, words
+from granary.llm.common import bounded_join, chunks, flat, lean, shingles, words
 from granary.llm.url_filter import components
 from granary.session import cut
 
@@ -60,7 +60,7 @@ def least_matches(seen: int, threshold: float = THRESHOLD, tolerance: float = TO
 
 def _sets(batches, k):
     """(batch, sorted distinct shingles of each row end to end, offsets) for bounded batches of (id, text)."""
-    for batch in chunks(batches, "text", 2 << 20):
+    for batch in chunks(batches, "text"):
         h, at = shingles(*words(*flat(batch.column(1))), k)
         owner = np.repeat(np.arange(batch.num_rows), np.diff(at))
         order = np.lexsort((h, owner))
@@ -263,7 +263,7 @@ def similarity_join(docs: DataFrame, k: int = WORDS, threshold: float = THRESHOL
     words, null included, has no links and is its own class. Repeated rows count as rows; other
     columns are ignored.
     """
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    narrow = lean(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = cut(narrow.mapInArrow(_sign(k), "doc_id long, n long, class binary, sig binary"))
     classes = cut(signed.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("sig").alias("sig")))
 

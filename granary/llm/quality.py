@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import bounded_join, chunks, flat
+from granary.llm.common import bounded_join, chunks, flat, lean
 from granary.session import cut
 
 #: n-grams of this many bytes: they pack into 40 bits, so that keys are exact.
@@ -29,7 +29,7 @@ QUANTILE = 0.99
 #: A language with fewer unseen trusted documents takes the threshold of all of them.
 LEAST_TRUSTED = 30
 #: n-grams in one shard of the model at most on average, and in a task's count before it is sent on.
-SHARD_ROWS, HELD_ROWS = 2_000_000, 4_000_000
+SHARD_ROWS, HELD_ROWS = 1_000_000, 2_000_000
 
 
 def ngrams(data: np.ndarray, offsets: np.ndarray, n: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -65,7 +65,7 @@ def _count(batches):
         held[0][:], held[1][:] = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
 
     pending = 0
-    for batch in chunks(batches, "text", 2 << 20):
+    for batch in chunks(batches, "text"):
         data, offsets = flat(batch.column(0))
         fit = np.array(batch.column(1).to_pylist(), bool)
         key, at = ngrams(data, offsets)
@@ -124,7 +124,7 @@ class Lookup:
     """An open-addressing table of distinct keys, filled and read in whole arrays."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(math.ceil(math.log2(max(1, len(keys)) * 2.5))))
+        self.bits = max(4, int(math.ceil(math.log2(max(1, len(keys)) * 1.6))))
         size = 1 << self.bits
         self.keys, self.values = np.full(size, np.uint64(0xFFFFFFFFFFFFFFFF)), np.zeros(size, np.float32)
         empty, left, slot = np.uint64(0xFFFFFFFFFFFFFFFF), np.arange(len(keys)), self.slot(keys)
@@ -166,7 +166,7 @@ def _scorer(shard, names):
             _TABLES.clear()
             _TABLES[shard.id] = Lookup(*shard.arrays.value)
         table = _TABLES[shard.id]
-        for batch in chunks(batches, "_text", 2 << 20):
+        for batch in chunks(batches, "_text"):
             data, offsets = flat(batch.column(0))
             key, at = ngrams(data, offsets)
             got = table.get(key).astype(np.float64)
@@ -207,7 +207,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     threshold, and every text that isn't empty is kept. Repeated rows give repeated rows.
     """
     good = cut(trusted(labels))
-    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("_text"))
+    narrow = lean(docs).select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("_text"))
     marked = bounded_join(narrow.select("doc_id", "_text"), good.filter("_fit"), F.col("doc_id") == F.col("_id"), "left")
     counts = marked.select(F.col("_text").alias("text"), F.coalesce("_fit", F.lit(False)).alias("fit")).mapInArrow(_count, "gram long, n long")
     counts = cut(counts.groupBy("gram").agg(F.sum("n").alias("n")))

@@ -17,7 +17,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import chunks, flat
+from granary.llm.common import chunks, flat, lean
 
 #: Shortest candidate in bytes, and the bytes before and after it that count as its neighbourhood.
 LEAST, NEAR = 16, 48
@@ -140,7 +140,7 @@ def candidates(docs: DataFrame, words: Dictionary, id_col: str = "doc_id", text_
 
     def run(batches):
         book = shared.value
-        for batch in chunks(batches, "text", 2 << 20):
+        for batch in chunks(batches, "text"):
             data, offsets = flat(batch.column(2))
             paths, rows, out = batch.column(1).to_pylist(), [], [[], [], [], []]
             for s, e in zip(*_spans(data, offsets, least), strict=True):
@@ -159,7 +159,7 @@ def candidates(docs: DataFrame, words: Dictionary, id_col: str = "doc_id", text_
                     col.append(v)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.list_(pa.float64()))], names=["doc_id", "start", "end", "candidate", "features"])
 
-    source = docs.select(F.col(id_col).alias("doc_id"), path.alias("path"), F.col(text_col).alias("text"))
+    source = lean(docs).select(F.col(id_col).alias("doc_id"), path.alias("path"), F.col(text_col).alias("text"))
     return source.mapInArrow(run, f"doc_id {kind}, start long, end long, candidate string, features array<double>")
 
 

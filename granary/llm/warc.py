@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import chunks
+from granary.llm.common import chunks, lean
 from granary.session import shared_dir
 
 #: Fixed values of the formats.
@@ -199,7 +199,7 @@ def decided(pages: DataFrame, least: int = 0, id_col: str = "page_id", url_col:
     null ids come last.
     """
     html = F.coalesce(F.col(html_col), F.lit(""))
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.sha2(html, 256).alias("_key"))
+    rows = lean(pages).select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.sha2(html, 256).alias("_key"))
     groups = rows.groupBy("_key").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
     many = groups.filter("n > 1").select(F.col("_key").alias("_many"), "first")
     both = rows.join(many, F.col("_key") == F.col("_many"), "left")
