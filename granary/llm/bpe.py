@@ -17,9 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import chunks
+from granary.llm.common import chunks, lean
 
-#: Pre-tokens longer than this are not memoised; the memo is emptied at this many entries.
+#: Pre-tokens longer than this are not memoised; the older half of the memo goes when the newer half has this many entries.
 MEMO_LENGTH, MEMO_ENTRIES = 64, 120_000
 
 
@@ -43,14 +43,15 @@ class PerfectHash:
             slot = self._slots(left, seed, size)
             count = np.bincount(slot, minlength=size)
             index = np.where(count == 1, base + np.cumsum(count == 1) - 1, -1)
-            self.levels.append((seed, size, index.astype(np.int32).tolist()))
+            self.levels.append((seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF, size, index.astype(np.int32).tolist()))
             base += int((count == 1).sum())
             left = left[count[slot] != 1]
         self.size = base
 
     @staticmethod
     def digest(key: bytes) -> int:
-        return int.from_bytes(hashlib.blake2b(key, digest_size=8).digest(), "little")
+        """The process's own 64-bit hash: a table is made and used in one process."""
+        return hash(key) & 0xFFFFFFFFFFFFFFFF
 
     @staticmethod
     def _slots(h: np.ndarray, seed: int, size: int) -> np.ndarray:
@@ -60,8 +61,7 @@ class PerfectHash:
     def index(self, key: bytes) -> int:
         h = self.digest(key)
         for seed, size, index in self.levels:
-            x = (h ^ (seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF
-            if (at := index[(x >> 32) % size]) >= 0:
+            if (at := index[((h ^ seed) * 0xD6E8FEB86659FD93 >> 32 & 0xFFFFFFFF) % size]) >= 0:
                 return at
         return -1
 
@@ -90,6 +90,7 @@ class ByteBpe:
         self.at = np.concatenate([[0], np.cumsum(np.maximum(self.sizes, 0))])
         self.data = np.frombuffer(b"".join(x or b"" for x in self.bytes_of), np.uint8)
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def whole(self, piece: bytes) -> int | None:
         at = self.hash.index(piece)
@@ -97,16 +98,13 @@ class ByteBpe:
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """Ids of a pre-token that is no token: the pair of lowest rank, leftmost first, until none is left."""
-        n, rank_of = len(piece), self.ranks.get
+        n, rank_of, pop, push = len(piece), self.ranks.get, heapq.heappop, heapq.heappush
         ends = list(range(1, n + 1))  # the part that starts at i is piece[i:ends[i]]; 0 once it is gone
         before = list(range(-1, n - 1))
-        heap = []
-        for i in range(n - 1):
-            if (r := rank_of(piece[i : i + 2])) is not None:
-                heap.append((r, i, i + 2))
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank_of(piece[i : i + 2])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, end = heapq.heappop(heap)
+            _, i, end = pop(heap)
             mid = ends[i]
             if not mid or mid >= n or mid >= end or ends[mid] != end:
                 continue  # one of its parts has changed
@@ -114,21 +112,21 @@ class ByteBpe:
             if end < n:
                 before[end] = i
                 if (r := rank_of(piece[i : ends[end]])) is not None:
-                    heapq.heappush(heap, (r, i, ends[end]))
+                    push(heap, (r, i, ends[end]))
             if (j := before[i]) >= 0 and (r := rank_of(piece[j:end])) is not None:
-                heapq.heappush(heap, (r, j, end))
-        out, i = [], 0
-        while i < n:
-            out.append(self.ranks[piece[i : ends[i]]])
-            i = ends[i]
-        return tuple(out)
+                push(heap, (r, j, end))
+        ranks = self.ranks
+        return tuple([ranks[piece[i:end]] for i, end in enumerate(ends) if end])
 
     def piece(self, text: str) -> tuple[int, ...]:
-        raw = text.encode()
-        one = self.whole(raw)
-        ids = (one,) if one is not None else self.merge(raw)
+        ids = self.older.get(text)
+        if ids is None:
+            raw = text.encode()
+            one = self.whole(raw)
+            ids = (one,) if one is not None else self.merge(raw)
         if len(text) <= MEMO_LENGTH:
             if len(self.memo) >= MEMO_ENTRIES:
+                self.older = dict(self.memo)
                 self.memo.clear()
             self.memo[text] = ids
         return ids
@@ -181,7 +179,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["doc_id", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    return lean(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks: bytes, pattern: str, keep: list[str], ids_col: str = "ids") -> DataFrame:
