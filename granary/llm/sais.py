@@ -99,15 +99,17 @@ def suffix_arrays(t: np.ndarray) -> np.ndarray:
     _induce(sa, v, buckets)
 
     # Name them in their order, lane by lane; equal substrings get one name.
-    by_lane = np.ascontiguousarray(sa.T)
-    mask = by_lane >= 0
-    mask &= lms.T[np.arange(b)[:, None], np.where(mask, by_lane, 0)]
-    who, rank = np.nonzero(mask)
-    start = by_lane[who, rank]
-    following = np.full((n + 1, b), n - 1, np.int64)
+    rank, who = np.nonzero(sa > 0)  # position 0 is never leftmost-smaller
+    own = lms[sa[rank, who], who]
+    rank, who = rank[own], who[own]
+    order = np.argsort(who, kind="stable")
+    who, start = who[order], sa[rank[order], who[order]]
+    del sa, rank, own, order
+    following = np.full((n + 1, b), n - 1, np.int32)
     for i in range(n - 1, -1, -1):
         following[i] = np.where(lms[i], i, following[i + 1])
     length = following[np.minimum(start + 1, n), who] - start + 1
+    del following
     differ = np.ones(len(start), bool)
     open_ = np.flatnonzero((who[1:] == who[:-1]) & (length[1:] == length[:-1])) + 1
     differ[open_] = False
@@ -122,7 +124,7 @@ def suffix_arrays(t: np.ndarray) -> np.ndarray:
     total = np.cumsum(differ)
     name = total - total[first][who]
     many = np.diff(np.append(first, len(who)))
-    names = np.zeros((b, n), np.int64)
+    names = np.zeros((b, n), np.int32)
     names[who, start] = name
 
     lane_at, text_at = np.nonzero(lms.T)  # in text order, lane by lane
@@ -140,7 +142,7 @@ def suffix_arrays(t: np.ndarray) -> np.ndarray:
         order = np.argsort(order_lane, kind="stable")
         order_lane, order_at = order_lane[order], order_at[order]
 
-    sa.fill(-1)
+    sa = np.full((n, b), -1, np.int64)
     _place(sa, t, order_at, order_lane, buckets)
     _induce(sa, v, buckets)
     return sa
@@ -154,9 +156,9 @@ def permuted_common_prefixes(t: np.ndarray, sa: np.ndarray, stops: np.ndarray) -
     """
     n, b = t.shape
     lane = np.arange(b)
-    phi = np.full((n, b), -1, np.int64)
+    phi = np.full((n, b), -1, np.int32)
     phi[sa[1:], np.broadcast_to(lane, (n - 1, b))] = sa[:-1]
-    plcp = np.zeros((n, b), np.int64)
+    plcp = np.zeros((n, b), np.int32)
     known = phi >= 0
     before = np.where(phi > 0, phi - 1, 0)
     fresh = known.copy()
@@ -173,8 +175,8 @@ def permuted_common_prefixes(t: np.ndarray, sa: np.ndarray, stops: np.ndarray) -
         open_ = open_[ok]
         length[open_] += 1
     plcp[x, who] = length
-    base = np.where(fresh, np.arange(n)[:, None], -1)
-    base = np.maximum.accumulate(base, axis=0)
-    carried = plcp[np.maximum(base, 0), lane] - (np.arange(n)[:, None] - base)
+    at = np.arange(n, dtype=np.int32)[:, None]
+    base = np.maximum.accumulate(np.where(fresh, at, np.int32(-1)), axis=0)
+    carried = plcp[np.maximum(base, 0), lane] - (at - base)
     plcp = np.where(known & ~fresh & (base >= 0), np.maximum(carried, 0), plcp)
     return plcp, phi

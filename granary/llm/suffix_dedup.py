@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import bounded_join, chunks, flat, keyed_join, mix, prefix_hash
+from granary.llm.common import bounded_join, chunks, flat, keyed_join, lean, mix, prefix_hash
 from granary.llm.ngram_join import _groups
 from granary.llm.sais import pack, permuted_common_prefixes, suffix_arrays
 from granary.session import cut
@@ -27,7 +27,7 @@ LENGTH = 400
 SHARD = 48
 SPLITS = (16, 1)
 #: Symbols of the lanes whose suffix arrays are induced at once.
-CELLS = 2_000_000
+CELLS = 1_200_000
 _POSITION = np.uint64((1 << 24) - 1)
 
 
@@ -185,7 +185,7 @@ def _suffix_arrays(length):
                 total = sum(map(len, raw[s:e])) + e - s
                 waiting.append((shard[s], context[s:e], lead[s:e], raw[s:e], total))
                 size += total
-            if size > 12 * CELLS:
+            if size > 10 * CELLS:
                 for jobs in batched(waiting, False):
                     yield solve(jobs)
                 size = sum(j[4] for j in waiting)
@@ -216,7 +216,7 @@ def _resolve(ctx: DataFrame, rows: DataFrame, length: int, splits, parts: int) -
 def repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text") -> DataFrame:
     """k (hash of a text), starts (array of first and last start of windows that recur): one row for each text with one."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.filter(F.octet_length(text_col) >= length).select(F.unhex(F.md5(text_col)).alias("k"), F.col(text_col).alias("text"))
+    texts = lean(docs).filter(F.octet_length(text_col) >= length).select(F.unhex(F.md5(text_col)).alias("k"), F.col(text_col).alias("text"))
     every = texts.mapInArrow(_anchored(length), "shard long, context long, k binary, first int, last int, lead int")
     twice = every.groupBy("shard").agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col("shard").alias("_shard"))
     suspects = cut(every.join(twice, F.col("shard") == F.col("_shard")).drop("_shard"))
