@@ -10,6 +10,7 @@ language among trusted documents that the model has not seen.
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,8 @@ START, END = 0xFF, 0xFE
 SYMBOLS = 258
 #: The share of unseen trusted documents of a language that the threshold keeps.
 QUANTILE = 0.99
-#: A language with fewer unseen trusted documents takes the threshold of all of them.
-LEAST_TRUSTED = 30
+#: So many trusted documents weigh as much in a language's threshold as the spread that all languages share.
+PRIOR = 100
 #: n-grams in one shard of the model at most on average, and in a task's count before it is sent on.
 SHARD_ROWS, HELD_ROWS = 1_000_000, 2_000_000
 
@@ -202,9 +203,9 @@ def trusted(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE) -> DataFrame:
     """doc_id, lang, n_bytes, perplexity (a byte), threshold, kept: a row for each of docs.
 
-    Null and empty texts have no perplexity and are not kept. A null lang, and a language with few
-    trusted documents, takes the threshold of all languages. Without trusted text there is no
-    threshold, and every text that isn't empty is kept. Repeated rows give repeated rows.
+    Null and empty texts have no perplexity and are not kept. The threshold is the language's own (a
+    null lang is one too). Without unseen trusted text of a language there is none, and its texts that
+    aren't empty are kept. Repeated rows give repeated rows.
     """
     good = cut(trusted(labels))
     narrow = lean(docs).select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("_text"))
@@ -222,12 +223,22 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     scored = cut(scored.select("doc_id", "lang", size.alias("n_bytes"), F.when(size > 0, F.exp(-F.col("_lp") / (size + 1))).alias("perplexity")))
 
     unseen = bounded_join(scored.filter("n_bytes > 0"), good.filter("not _fit"), F.col("doc_id") == F.col("_id"), "left_semi")
-    limit = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000))
-    per = unseen.groupBy("lang").agg(limit.alias("_own"), F.count("*").alias("_n")).filter((F.col("_n") >= LEAST_TRUSTED) & F.col("lang").isNotNull()).select(F.col("lang").alias("_lang"), "_own")
-    overall = unseen.agg(limit).first()[0]
-    out = bounded_join(scored, cut(per), F.col("lang") == F.col("_lang"), "left")
-    threshold = F.coalesce("_own", F.lit(overall).cast("double"))
-    return out.select("doc_id", "lang", "n_bytes", "perplexity", threshold.alias("threshold"), ((F.col("n_bytes") > 0) & F.coalesce(F.col("perplexity") <= threshold, F.lit(True))).alias("kept"))
+    per = cut(_thresholds(unseen, quantile))
+    out = bounded_join(scored, per, F.col("lang").eqNullSafe(F.col("_lang")), "left")
+    return out.select("doc_id", "lang", "n_bytes", "perplexity", "threshold", ((F.col("n_bytes") > 0) & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))).alias("kept"))
+
+
+def _thresholds(unseen: DataFrame, quantile: float) -> DataFrame:
+    """_lang, threshold: the quantile of the language's log perplexities, smoothed towards that of a normal distribution around the language's mean.
+
+    Its deviation is that within all languages, so that one trusted document is enough for a threshold,
+    and perplexities of different languages are never compared.
+    """
+    x, n = F.log("perplexity"), F.col("_n")
+    per = cut(unseen.groupBy(F.col("lang").alias("_lang")).agg(F.percentile_approx(x, F.lit(quantile), F.lit(10_000)).alias("_q"), F.avg(x).alias("_mean"), F.coalesce(F.var_samp(x), F.lit(0.0)).alias("_var"), F.count("*").alias("_n")))
+    within = per.agg(F.sum(F.col("_var") * (n - 1)) / F.greatest(F.sum(n - 1), F.lit(1))).first()[0] or 0.0
+    normal = F.col("_mean") + NormalDist().inv_cdf(quantile) * math.sqrt(within) * F.sqrt(1 + 1 / n)
+    return per.select("_lang", F.exp((n * F.col("_q") + PRIOR * normal) / (n + PRIOR)).alias("threshold"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:

@@ -103,6 +103,24 @@ def test_quality_keeps_clean_and_drops_junk(spark, monkeypatch):
     assert all(r.kept == bool(r.n_bytes) for r in score(df, lb.limit(0)).collect())
 
 
+
+def test_thresholds_never_compare_languages(spark):
+    rng = random.Random(5)
+    sets = {"en": ["north", "river", "stone", "water", "light", "green"], "de": ["straße", "über", "wälder", "mühle", "höhe", "grün"], None: ["maison", "rivière", "été", "forêt", "pierre", "lumière"], "es": ["casa", "río", "piedra", "año", "montaña", "verde"]}
+    rows, labels = [], []
+    for i in range(800):
+        lang = list(sets)[i % 4]
+        rows.append((i, " ".join(rng.choice(sets[lang]) for _ in range(30)), lang, "g", 1))
+        # es has no trusted text, the unlabelled ones few
+        if lang == "en" or lang == "de" and i < 100 or lang is None and i < 120:
+            labels.append((i, 1, 0))
+    got = score(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    for lang in sets:
+        mine = [r for r in got if r.lang == lang]
+        assert sum(r.kept for r in mine) >= 0.8 * len(mine), lang
+    assert all(r.threshold is None for r in got if r.lang == "es")
+    assert len({r.threshold for r in got}) == 4
+
 SAMPLES = {
     "en": "the and of to in that with this from house water people",
     "de": "der die und das nicht mit ein auch haus wasser für über",
