@@ -1,10 +1,10 @@
-"""Quality by an interpolated modified Kneser-Ney model of UTF-8 bytes, trained on trusted text.
+"""Quality by an interpolated modified Kneser-Ney model trained on trusted text.
 
-Counts of byte n-grams are gathered over all documents: those of the trusted fit fold train the
-model, those of the rest say which n-grams are asked for. Joins of the sharded count tables give each
-distinct n-gram its log probability. The documents then look up the n-grams shard by shard (each of a
-bounded size) and sum them into a perplexity a byte, which is held against the quantile of its
-language among trusted documents that the model has not seen.
+The unit is the word: granary.llm.word_model has trigrams of whole texts, counted in the trusted fit
+fold and joined by shard to the n-grams of all documents. The smaller model of bytes in this module is
+there for unit="byte": counts of byte n-grams of all documents, looked up shard by shard. Either gives a
+perplexity, which is held against the quantile of its language among trusted documents that the model
+has not seen.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granary.llm import word_model
 from granary.llm.common import bounded_join, chunks, flat, lean
 from granary.session import cut
 
@@ -200,15 +201,7 @@ def trusted(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return ids.select("_id", (F.crc32(F.col("_id").cast("string").cast("binary")) % 2 == 0).alias("_fit"))
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE) -> DataFrame:
-    """doc_id, lang, n_bytes, perplexity (a byte), threshold, kept: a row for each of docs.
-
-    Null and empty texts have no perplexity and are not kept. The threshold is the language's own (a
-    null lang is one too). Without unseen trusted text of a language there is none, and its texts that
-    aren't empty are kept. Repeated rows give repeated rows.
-    """
-    good = cut(trusted(labels))
-    narrow = lean(docs).select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("_text"))
+def _byte_scores(narrow: DataFrame, good: DataFrame) -> DataFrame:
     marked = bounded_join(narrow.select("doc_id", "_text"), good.filter("_fit"), F.col("doc_id") == F.col("_id"), "left")
     counts = marked.select(F.col("_text").alias("text"), F.coalesce("_fit", F.lit(False)).alias("fit")).mapInArrow(_count, "gram long, n long")
     counts = cut(counts.groupBy("gram").agg(F.sum("n").alias("n")))
@@ -220,7 +213,29 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for shard in _shards(lps):
         scored = scored.mapInArrow(_scorer(shard, names), f"_text string, _lp double, doc_id {ids}, lang {langs}")
     size = F.octet_length(F.coalesce("_text", F.lit(""))).cast("long")
-    scored = cut(scored.select("doc_id", "lang", size.alias("n_bytes"), F.when(size > 0, F.exp(-F.col("_lp") / (size + 1))).alias("perplexity")))
+    return scored.select("doc_id", "lang", size.alias("n_bytes"), F.when(size > 0, F.exp(-F.col("_lp") / (size + 1))).alias("perplexity"))
+
+
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, unit: str = "word") -> DataFrame:
+    """doc_id, lang, n_bytes, perplexity (a token, or a byte by unit), threshold, kept: a row for each of docs.
+
+    Null and empty texts have no perplexity and are not kept. The threshold is the language's own (a
+    null lang is one too). Without unseen trusted text of a language there is none, and its texts that
+    aren't empty are kept. Repeated rows give repeated rows.
+    """
+    good = cut(trusted(labels))
+    narrow = lean(docs).select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("_text"))
+    if unit == "byte":
+        scored = _byte_scores(narrow, good)
+    else:
+        fit = bounded_join(narrow.select("doc_id", "_text"), good.filter("_fit"), F.col("doc_id") == F.col("_id"), "left_semi").select("_text")
+        model = word_model.model(fit, _discounts)
+        size = F.octet_length(F.coalesce("_text", F.lit(""))).cast("long")
+        lps = word_model.scores(narrow.select("_text", "doc_id", "lang", size.alias("n_bytes")), model, SHARD_ROWS)
+        scored = lps.select("doc_id", "lang", "n_bytes", F.when(F.col("n_bytes") > 0, F.exp(-F.col("_lp") / (F.col("_tokens") + 1))).alias("perplexity"))
+    scored = cut(scored)
+    if unit != "byte":
+        word_model.drop(docs.sparkSession, model.folder)
 
     unseen = bounded_join(scored.filter("n_bytes > 0"), good.filter("not _fit"), F.col("doc_id") == F.col("_id"), "left_semi")
     per = cut(_thresholds(unseen, quantile))

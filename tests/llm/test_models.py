@@ -69,6 +69,28 @@ def test_ngrams_and_lookup():
     assert table.get(np.array([2**41, 2**42], np.uint64)).tolist() == [0, 0]
 
 
+def test_word_model_matches_a_plain_one(spark, monkeypatch):
+    from granary.llm import word_model
+
+    rng = random.Random(3)
+    vocab = [f"w{i}" for i in range(30)]
+    fit = [" ".join(rng.choice(vocab) for _ in range(rng.randrange(1, 40))) for _ in range(30)] + ["w1 w2, w3!", "Été w1"]
+    # the last two have the same words in another order, which 5 bytes of context can't tell apart
+    asked = fit[:5] + ["", None, "w3 new w4 w4 w1", "  ,, w1", "w1 w2, w3!", "w3 w2, w1!"]
+    toks = lambda t: ["<s>", "<s>", *__import__("re").findall(r"[0-9A-Za-z\x80-\U0010ffff]+|[^0-9A-Za-z\x80-\U0010ffff\s]+", t or ""), "</s>"]
+    grams = lambda t: [tuple(toks(t)[i : i + 3]) for i in range(len(toks(t)) - 2)]
+    counts = Counter(g for t in fit for g in grams(t))
+    monkeypatch.setattr(quality, "SYMBOLS", len({g[-1] for g in counts}) + 1)
+    p = kneser_ney(counts, 3)
+    want = [sum(math.log(p(g)) for g in grams(t)) for t in asked]
+    model = word_model.model(spark.createDataFrame([(t,) for t in fit], "_text string"), quality._discounts)
+    docs = spark.createDataFrame([(t, i) for i, t in enumerate(asked)], "_text string, doc_id long")
+    monkeypatch.setattr(word_model, "BLOCK_TEXTS", 2)
+    for rows in (50, 10**6):
+        got = {r.doc_id: r for r in word_model.scores(docs, model, rows).collect()}
+        assert [got[i]._lp for i in range(len(asked))] == pytest.approx(want, abs=1e-3)
+        assert [got[i]._tokens for i in range(len(asked))] == [len(grams(t)) - 1 for t in asked]
+
 def corpus(n=400):
     rng = random.Random(4)
     words = ["north", "river", "stone", "water", "light", "green", "house", "under"]
