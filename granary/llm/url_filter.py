@@ -49,9 +49,26 @@ def matched(host: Column, path: Column, rules: list[str]) -> tuple[Column, Colum
     return rule, verdict
 
 
+def _without_dots(path: Column) -> Column:
+    """path after removing its segments . and .. (which takes the one before away)."""
+    parts = F.slice(F.split(path, "/"), 2, F.size(F.split(path, "/")))
+    step = lambda acc, s: F.when(s == ".", acc).when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(s)))
+    left = F.aggregate(parts, F.array().cast("array<string>"), step)
+    end = F.when(F.element_at(parts, -1).isin(".", "..") & (F.size(left) > 0), "/").otherwise("")
+    return F.concat(F.lit("/"), F.array_join(left, "/"), end)
+
+
+def normal(url: Column) -> Column:
+    """url without its fragment; with a scheme and ://, these and the host in lower case, no dot segments, and / for an empty path."""
+    bare = F.regexp_replace(url, r"(?s)#.*$", "")
+    part = lambda i: F.regexp_extract(bare, r"(?s)^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?]*)([^?]*)(.*)$", i)
+    path = F.when(part(3) == "", F.lit("/")).when(part(3).contains("/."), _without_dots(part(3))).otherwise(part(3))
+    return F.when(part(1) == "", bare).otherwise(F.concat(F.lower(part(1)), F.lit("://"), F.lower(part(2)), path, part(4)))
+
+
 def node(url: Column) -> Column:
-    """A url's identity in the graph: the 16-byte hash of the url without its fragment."""
-    return F.unhex(F.md5(F.regexp_replace(url, r"(?s)#.*$", "")))
+    """A url's identity in the graph: the 16-byte hash of its normal form."""
+    return F.unhex(F.md5(normal(url)))
 
 
 def absolute(base: Column, link: Column) -> Column:
@@ -68,18 +85,21 @@ def absolute(base: Column, link: Column) -> Column:
 
 
 def links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(src, dst) urls of each page's canonical link and of its meta refresh, in whole pages.
+    """(src, dst) urls of each page's canonical link and of its meta refresh, in whole pages; relative ones go by its <base href>, if any.
 
     Null urls or pages, and pages without such a tag, give no edge.
     """
     url, html = F.col(url_col), F.col(html_col)
-    tags = F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), 0)
+    tags = F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta|base)\b[^>]*>"), 0)
     canonical = F.filter(tags, lambda t: t.rlike(r"(?is)^<link\b.*\brel\s*=\s*[\"']?canonical\b"))
     refresh = F.filter(tags, lambda t: t.rlike(r"(?is)^<meta\b.*\bhttp-equiv\s*=\s*[\"']?refresh\b"))
     href = F.transform(canonical, lambda t: F.regexp_extract(t, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
     goal = F.transform(refresh, lambda t: F.regexp_extract(t, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1))
-    found = pages.filter(url.isNotNull()).select(url.alias("src"), F.explode(F.concat(href, goal)).alias("link")).filter("link <> ''")
-    return found.select("src", absolute(F.col("src"), F.replace(F.col("link"), F.lit("&amp;"), F.lit("&"))).alias("dst"))
+    bases = F.filter(F.transform(tags, lambda t: F.regexp_extract(t, r"(?is)^<base\b.*\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)), lambda b: b != "")
+    base = F.coalesce(F.replace(F.get(bases, 0), F.lit("&amp;"), F.lit("&")), F.lit(""))
+    found = pages.filter(url.isNotNull()).select(url.alias("src"), base.alias("base"), F.explode(F.concat(href, goal)).alias("link")).filter("link <> ''")
+    found = found.withColumn("base", F.when(F.col("base") == "", F.col("src")).otherwise(absolute(F.col("src"), F.col("base"))))
+    return found.select("src", absolute(F.col("base"), F.replace(F.col("link"), F.lit("&amp;"), F.lit("&"))).alias("dst"))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) -> DataFrame:
@@ -129,7 +149,7 @@ def url_filter(pages: DataFrame, rules: list[str], edges: DataFrame | None = Non
     roots = cut(components(found.select(node(F.col("src")).alias("a"), node(F.col("dst")).alias("b"))))
     # Every url that the graph names is judged, page or not.
     urls = found.select(F.col("src").alias("u")).union(found.select(F.col("dst").alias("u"))).distinct()
-    _, own = matched(host_of(F.col("u")), path_of(F.col("u")), rules)
+    _, own = matched(host_of(normal(F.col("u"))), path_of(normal(F.col("u"))), rules)
     named = urls.select(node(F.col("u")).alias("node"), own.alias("own")).filter("own is not null")
     judged = named.join(roots, "node").groupBy("root").agg(F.max(F.when(F.col("own") == "allow", 2).otherwise(1)).alias("rank"))
     passed = roots.join(judged, "root").select(F.col("node").alias("_node"), F.when(F.col("rank") == 2, "allow").otherwise("block").alias("_passed"))

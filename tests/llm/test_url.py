@@ -3,7 +3,7 @@ import random
 import pytest
 
 from granary.llm.queries import RULES
-from granary.llm.url_filter import components, parse_rule, url_filter
+from granary.llm.url_filter import components, normal, parse_rule, url_filter
 
 SCHEMA = "page_id long, url string, html string, node string, root string"
 
@@ -47,6 +47,29 @@ def test_decisions_spread_with_allow_first(spark):
     assert url_filter(spark.createDataFrame(pages, SCHEMA).limit(0), RULES).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("alias", "html"),
+    [
+        ("http://alias.info/case", canonical("HTTP://Bad.COM/en/1")),
+        ("http://bad.com/x/dots", canonical("../en/./1")),
+        ("http://alias.info/base", '<base href="http://bad.com/en/">' + canonical("1")),
+        ("http://alias.info", canonical("http://bad.com/en/1")),
+    ],
+)
+def test_decisions_reach_aliases_written_otherwise(spark, alias, html):
+    # the last: a page that another names with a path of /
+    pages = [page(1, "http://bad.com/en/1"), page(2, alias, html), page(3, "http://third.info/a", canonical("http://ALIAS.info/"))]
+    got = {r.page_id: (r.verdict, r.spread) for r in url_filter(spark.createDataFrame(pages, SCHEMA), RULES).collect()}
+    assert got[1] == ("block", False) and got[2] == ("block", True)
+    assert got[3] == (("block", True) if alias == "http://alias.info" else ("allow", False))
+
+
+def test_normal_form(spark):
+    want = {"HTTP://H.com": "http://h.com/", "http://h?q": "http://h/?q", "http://h/a/../../b/.#f": "http://h/b/", "http://h/..": "http://h/", "http://h/A/%2e?x=/../": "http://h/A/%2e?x=/../", "no scheme/../a": "no scheme/../a", "": ""}
+    rows = spark.createDataFrame([(u,) for u in want], "u string")
+    assert {r.u: r.n for r in rows.select("u", normal(rows.u).alias("n")).collect()} == want
+
+
 def test_components_match_union_find(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(300, i) for i in range(301, 360)] + [(i, i + 1) for i in range(400, 430)]
