@@ -28,7 +28,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(docs, *_ranks())
+    return bpe.round_trip(docs, *_ranks(), with_ids=True)
 
 
 STAGES = [

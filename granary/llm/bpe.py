@@ -201,10 +201,11 @@ def decode(encoded: DataFrame, ranks: bytes, pattern: str, keep: list[str], ids_
     return encoded.select(*keep, F.col(ids_col).alias("_ids")).mapInArrow(run, schema)
 
 
-def round_trip(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (of decimal ids joined by a space), decoded_sha256."""
+def round_trip(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (of decimal ids joined by a space), decoded_sha256, and the ids where they are asked for."""
     ids = encode(docs, ranks, pattern, id_col, text_col)
     said = F.regexp_replace(F.replace(F.col("ids").cast("string"), F.lit(", "), F.lit(" ")), r"^\[|\]$", "")
     ids = ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(said, 256).alias("ids_sha256"), "ids")
-    back = decode(ids, ranks, pattern, ["doc_id", "n_tokens", "ids_sha256"])
-    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    kept = ["ids"] if with_ids else []
+    back = decode(ids, ranks, pattern, ["doc_id", "n_tokens", "ids_sha256", *kept])
+    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), *kept)

@@ -3,10 +3,11 @@ import random
 
 import pytest
 
-pytest.importorskip("tiktoken")
+tiktoken = pytest.importorskip("tiktoken")
 P = pytest.importorskip("public_tokenizers")
 
 import corpus_pipeline  # noqa: E402
+from granary.llm.bpe import parse_ranks  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -48,3 +49,14 @@ def test_stages_and_result(spark, folder):
     assert {r.doc_id for r in out} == clean
     assert all(r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() for r in out)
     assert [len(corpus_pipeline.STAGES), corpus_pipeline.ORACLE_SQL] == [5, None]
+
+
+def test_last_stage_returns_the_ids(spark, folder):
+    texts = {1: "north river, stone.", 2: "", 3: None, 4: "été #$%"}
+    docs = spark.createDataFrame([(i, t, "en", "src", len(t or "")) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in corpus_pipeline.byte_bpe(spark, docs, folder).collect()}
+    ranks, pattern = corpus_pipeline._ranks()
+    plain = tiktoken.Encoding("plain", pat_str=pattern, mergeable_ranks=parse_ranks(ranks), special_tokens={})
+    for i, t in texts.items():
+        assert got[i].ids == plain.encode_ordinary(t or "") and got[i].n_tokens == len(got[i].ids)
+        assert got[i].ids_sha256 == hashlib.sha256(" ".join(map(str, got[i].ids)).encode()).hexdigest()
