@@ -130,15 +130,16 @@ def shingles(hashes: np.ndarray, docs: np.ndarray, k: int) -> tuple[np.ndarray,
     return out, offsets
 
 
-#: Rows of an Arrow batch at most: texts are long, and a batch stands in the JVM and in a worker at once.
-BATCH_ROWS = 500
+#: Rows and bytes of an Arrow batch at most (a longer text stands alone): a batch stands in the JVM and in a worker at once.
+BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
 
 
 def lean(df: DataFrame) -> DataFrame:
-    """df, after limiting the session's Arrow batches to BATCH_ROWS rows, so that workers stay small whatever the texts' length."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
+    """df, after limiting the session's Arrow batches to BATCH_ROWS rows and BATCH_BYTES bytes, so that workers stay small whatever the texts' length."""
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if not 0 < int(conf.get(key).rstrip("b")) <= most:
+            conf.set(key, str(most))
     return df
 
 
@@ -159,3 +160,13 @@ def keyed_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str)
     """
     keys = right.select(F.col(right_key).alias("_few"))
     return bounded_join(left, keys, F.col(left_key) == F.col("_few"), "left_semi").join(right, F.col(left_key) == F.col(right_key))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df (narrow: keys and counts) dealt anew row by row.
+
+    A side that is an aggregate by the join's key lends the join its partitioning, and adaptive
+    execution can then not split a hot key's rows on the other side. Dealt anew, both sides are
+    shuffled for the join alone, and it can.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

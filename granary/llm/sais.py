@@ -39,9 +39,9 @@ class _Buckets:
         self.b = t.shape[1]
         self.k = int(t.max()) + 1
         self.lane = np.arange(self.b)
-        count = np.bincount((t.astype(np.int64) * self.b + self.lane).ravel(), minlength=self.k * self.b).reshape(self.k, self.b)
+        count = np.bincount((t * np.intp(self.b) + self.lane).ravel(), minlength=self.k * self.b).reshape(self.k, self.b)
         ends = np.cumsum(count, axis=0)
-        self.heads, self.tails = (ends - count).ravel(), (ends - 1).ravel()
+        self.heads, self.tails = (ends - count).ravel().astype(np.int32), (ends - 1).ravel().astype(np.int32)
 
 
 def _place(sa: np.ndarray, t: np.ndarray, at: np.ndarray, lanes: np.ndarray, buckets: _Buckets) -> None:
@@ -54,7 +54,7 @@ def _place(sa: np.ndarray, t: np.ndarray, at: np.ndarray, lanes: np.ndarray, buc
     last = np.append(sorted_cell[1:] != sorted_cell[:-1], True)
     stop = np.flatnonzero(last)
     after = stop[np.searchsorted(stop, np.arange(len(cell)))] - np.arange(len(cell))
-    sa[buckets.tails[sorted_cell] - after, lanes[order]] = at[order]
+    sa[buckets.tails[sorted_cell] - after, lanes[order]] = at[order]  # int32, as all positions
 
 
 def _induce(sa: np.ndarray, v: np.ndarray, buckets: _Buckets) -> None:
@@ -63,22 +63,23 @@ def _induce(sa: np.ndarray, v: np.ndarray, buckets: _Buckets) -> None:
     lane, flat_v, flat_sa = buckets.lane, v.ravel(), sa.ravel()
     for forward in (True, False):
         place = (buckets.heads if forward else buckets.tails).copy()
-        step = 1 if forward else -1
+        step, kind = (1, 0) if forward else (-1, 1)
         for j in range(n) if forward else range(n - 1, -1, -1):
-            before = sa[j] - 1
-            on = np.flatnonzero(before >= 0)
+            row = sa[j]
+            on = (row > 0).nonzero()[0]
             if not len(on):
                 continue
-            before, own = before[on], lane[on]
-            got = flat_v[before * b + own]
-            on = np.flatnonzero((got & 1) == (0 if forward else 1))
-            if not len(on):
+            from_ = row.take(on) - np.int32(1)
+            cell = from_ * np.intp(b) + lane.take(on)
+            got = flat_v.take(cell)
+            fits = ((got & 1) == kind).nonzero()[0]
+            if not len(fits):
                 continue
-            before, own = before[on], own[on]
-            cell = (got[on] >> 1) * b + own
-            at = place[cell]
-            flat_sa[at * b + own] = before
-            place[cell] = at + step
+            own = on.take(fits)
+            slot = (got.take(fits) >> 1) * np.intp(b) + own
+            at = place.take(slot)
+            flat_sa[at * np.intp(b) + own] = from_.take(fits)
+            place[slot] = at + np.int32(step)
 
 
 def suffix_arrays(t: np.ndarray) -> np.ndarray:
@@ -89,12 +90,14 @@ def suffix_arrays(t: np.ndarray) -> np.ndarray:
     s = _types(t)
     lms = np.zeros(t.shape, bool)
     lms[1:] = s[1:] & ~s[:-1]
-    v = t.astype(np.int64) * 2 + s
+    v = t * np.int32(2) + s
+    if int(t.max()) < 1 << 14:
+        v = v.astype(np.int16)
     buckets = _Buckets(t)
 
     # Sort the leftmost-smaller substrings: from any order of their starts, induction sorts them.
     at, lanes = np.nonzero(lms)
-    sa = np.full((n, b), -1, np.int64)
+    sa = np.full((n, b), -1, np.int32)
     _place(sa, t, at, lanes, buckets)
     _induce(sa, v, buckets)
 
@@ -142,7 +145,7 @@ def suffix_arrays(t: np.ndarray) -> np.ndarray:
         order = np.argsort(order_lane, kind="stable")
         order_lane, order_at = order_lane[order], order_at[order]
 
-    sa = np.full((n, b), -1, np.int64)
+    sa = np.full((n, b), -1, np.int32)
     _place(sa, t, order_at, order_lane, buckets)
     _induce(sa, v, buckets)
     return sa

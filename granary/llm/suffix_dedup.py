@@ -1,7 +1,7 @@
 """Removal of byte strings that occur more than once, found with suffix arrays.
 
 A string of `length` bytes can only recur where an anchor recurs: the least of the hashes of its
-substrings of `length // 2` bytes, a choice that depends on the string alone. Texts that share an
+substrings of `length // ANCHOR` bytes, a choice that depends on the string alone. Texts that share an
 anchor meet in one shard, each with the context that the anchor answers for; equal contexts are one.
 Each shard's suffix array is induced, and permuted common prefixes of at least `length` mark the
 repeats. Shards of many contexts are split by the bytes that all their windows share, so that none
@@ -17,17 +17,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import bounded_join, chunks, flat, keyed_join, lean, mix, prefix_hash
+from granary.llm.common import BASE, bounded_join, chunks, flat, keyed_join, lean, mix, prefix_hash, spread
 from granary.llm.ngram_join import _groups
 from granary.llm.sais import pack, permuted_common_prefixes, suffix_arrays
 from granary.session import cut
 
 LENGTH = 400
+#: An anchor is this part of a string: 2 (half) cost the least on the check tables; shorter ones recur more often by themselves.
+ANCHOR = 2
 #: Contexts in a shard at most; larger shards are split by windows that start within 16 bytes of each other, then within 1.
 SHARD = 48
 SPLITS = (16, 1)
 #: Symbols of the lanes whose suffix arrays are induced at once.
-CELLS = 1_200_000
+CELLS = 800_000
+#: Stretches of distances to the anchor by which contexts are told that can't share a window.
+STRETCHES = 8
 _POSITION = np.uint64((1 << 24) - 1)
 
 
@@ -36,7 +40,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int):
 
     Windows start at first..last of the text; place is the anchor's start. All in bytes from the text's start.
     """
-    k = max(1, length // 2)
+    k = max(1, length // ANCHOR)
     w = length - k + 1
     none = (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 4
     if len(data) < length:
@@ -124,9 +128,13 @@ def _split(length, grain):
 def repeated_starts(groups: list[list[bytes]], length: int) -> list[list[np.ndarray]]:
     """For each group of contexts, for each context, the starts of `length` bytes that also start elsewhere in the group."""
     lanes, owner = [], []
+    used = np.zeros(256, bool)
     for group in groups:
-        # 0 stands between contexts; bytes are 1 to 256. A common prefix stops at a 0.
-        lane = np.concatenate([np.append(np.frombuffer(x, np.uint8).astype(np.int32) + 1, np.int32(0)) for x in group])
+        used[np.frombuffer(b"".join(group), np.uint8)] = True
+    rank = np.cumsum(used).astype(np.int32)
+    for group in groups:
+        # 0 stands between contexts; bytes are numbered from 1 in their order. A common prefix stops at a 0.
+        lane = np.concatenate([np.append(rank[np.frombuffer(x, np.uint8)], np.int32(0)) for x in group])
         owner.append(np.concatenate([[0], np.cumsum([len(x) + 1 for x in group])]))
         lanes.append(lane)
     t = pack(lanes)
@@ -152,6 +160,34 @@ def _ranges(starts: np.ndarray, lead: int) -> list[dict]:
     return [{"low": int(lead - b), "high": int(lead - a)} for a, b in zip(low, high, strict=True)]
 
 
+def suspects(raw: list[bytes], lead: np.ndarray, shard: np.ndarray, length: int) -> np.ndarray:
+    """True for each context that shares a long stretch around its anchor with another one of its shard.
+
+    Equal windows lie alike to their anchors. All windows whose distance to the anchor is in one of
+    STRETCHES stretches hold the same bytes around it, so a context that shares none of these byte
+    strings (by their hashes) has no window in common with another and needs no suffix array.
+    """
+    k = max(1, length // ANCHOR)
+    span = length - k
+    step = max(1, -(-span // STRETCHES))
+    size = np.array([len(x) for x in raw], np.int64)
+    base = np.concatenate([[0], np.cumsum(size)])[:-1]
+    p, inv = prefix_hash(np.frombuffer(b"".join(raw), np.uint8))
+    keys, owner = [], []
+    for j, left in enumerate(range(0, span + 1, step)):
+        a, b = lead - left, lead + k + span - left - step + 1
+        on = np.flatnonzero((a >= 0) & (b <= size) & (a < b))
+        start = base[on] + a[on]
+        name = mix(shard[on].astype(np.int64).view(np.uint64) + np.uint64((j + 1) * BASE % (1 << 64)))
+        keys.append(mix((p[base[on] + b[on]] - p[start]) * inv[start]) ^ name)
+        owner.append(on)
+    keys, owner = np.concatenate(keys), np.concatenate(owner)
+    _, at, times = np.unique(keys, return_inverse=True, return_counts=True)
+    out = np.zeros(len(raw), bool)
+    out[owner[times[at] > 1]] = True
+    return out
+
+
 def _suffix_arrays(length):
     kind = pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())]))
 
@@ -181,9 +217,14 @@ def _suffix_arrays(length):
         waiting, size = [], 0
         for table, starts in _groups(batches, ("shard",)):
             shard, context, lead, raw = (table.column(c).to_pylist() for c in ("shard", "context", "lead", "bytes"))
+            shared = suspects(raw, np.array(lead, np.int64), np.array(shard, np.int64), length)
             for s, e in zip(starts, [*starts[1:], len(shard)], strict=True):
-                total = sum(map(len, raw[s:e])) + e - s
-                waiting.append((shard[s], context[s:e], lead[s:e], raw[s:e], total))
+                left = s + np.flatnonzero(shared[s:e])
+                if len(left) < 2:
+                    continue
+                own = [raw[i] for i in left]
+                total = sum(map(len, own)) + len(own)
+                waiting.append((shard[s], [context[i] for i in left], [lead[i] for i in left], own, total))
                 size += total
             if size > 10 * CELLS:
                 for jobs in batched(waiting, False):
@@ -207,7 +248,7 @@ def _resolve(ctx: DataFrame, rows: DataFrame, length: int, splits, parts: int) -
     small = cut(large.mapInArrow(_split(length, splits[0]), "shard long, context long, lead int, bytes binary, from_shard long, from_context long"))
     each = small.groupBy("shard", "context").agg(F.count("*").alias("n"), F.first("lead").alias("lead"), F.first("bytes").alias("bytes"))
     sizes = small.select("shard", "context").distinct().groupBy("shard").agg(F.count("*").alias("m"))
-    each = cut(each.join(sizes, "shard").filter("n > 1 or m > 1"))
+    each = cut(each.join(spread(sizes), "shard").filter("n > 1 or m > 1"))
     found = _resolve(each, each.withColumn("size", F.length("bytes")), length, splits[1:], parts)
     back = small.select("shard", "context", "from_shard", "from_context").join(found, ["shard", "context"])
     return out.unionByName(back.select(F.col("from_shard").alias("shard"), F.col("from_context").alias("context"), "ranges"))
@@ -219,17 +260,17 @@ def repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text") -> Da
     texts = lean(docs).filter(F.octet_length(text_col) >= length).select(F.unhex(F.md5(text_col)).alias("k"), F.col(text_col).alias("text"))
     every = texts.mapInArrow(_anchored(length), "shard long, context long, k binary, first int, last int, lead int")
     twice = every.groupBy("shard").agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col("shard").alias("_shard"))
-    suspects = cut(every.join(twice, F.col("shard") == F.col("_shard")).drop("_shard"))
-    rows = suspects.groupBy("shard", "context").agg(F.count("*").alias("n"), F.min(F.struct("k", "first", "last", "lead")).alias("one"))
-    sizes = suspects.select("shard", "context").distinct().groupBy("shard").agg(F.count("*").alias("m"))
-    rows = cut(rows.join(sizes, "shard").select("shard", "context", "n", "m", "one.*").withColumn("size", F.col("last") - F.col("first") + length))
+    met = cut(every.join(spread(twice), F.col("shard") == F.col("_shard")).drop("_shard"))
+    rows = met.groupBy("shard", "context").agg(F.count("*").alias("n"), F.min(F.struct("k", "first", "last", "lead")).alias("one"))
+    sizes = met.select("shard", "context").distinct().groupBy("shard").agg(F.count("*").alias("m"))
+    rows = cut(rows.join(spread(sizes), "shard").select("shard", "context", "n", "m", "one.*").withColumn("size", F.col("last") - F.col("first") + length))
     wanted = rows.filter("m > 1").groupBy("k").agg(F.collect_list(F.struct("shard", "context", "first", "last", "lead")).alias("wanted"))
     sources = keyed_join(texts.withColumnRenamed("k", "_k"), cut(wanted), "_k", "k")
     ctx = sources.select("text", "wanted").mapInArrow(_contexts(length), "shard long, context long, lead int, bytes binary")
     # Copies of a text send the same contexts.
-    ctx = cut(ctx.dropDuplicates(["shard", "context"]).join(rows.filter("m > 1").select("shard", "m").distinct(), "shard"))
+    ctx = cut(ctx.dropDuplicates(["shard", "context"]).join(spread(rows.filter("m > 1").select("shard", "m").distinct()), "shard"))
     found = cut(_resolve(ctx, rows, length, SPLITS, parts))
-    hits = suspects.join(found.groupBy("shard", "context").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), ["shard", "context"])
+    hits = met.join(found.groupBy("shard", "context").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), ["shard", "context"])
     place = F.col("first") + F.col("lead")
     spans = F.transform("ranges", lambda r: F.struct((place - r["high"]).alias("first"), (place - r["low"]).alias("last")))
     return cut(hits.select("k", "first", spans.alias("s")).groupBy("k", "first").agg(F.first("s").alias("s")).groupBy("k").agg(F.array_sort(F.flatten(F.collect_list("s"))).alias("starts")))
