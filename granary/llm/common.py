@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most bytes of text that a Python worker expands at once (a single longer text is one chunk).
@@ -170,3 +171,38 @@ def spread(df: DataFrame) -> DataFrame:
     shuffled for the join alone, and it can.
     """
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """names, each with as many underscores before it as it takes to be no column of df (in either case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared one, once what was made of its tables is kept."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def freed(spark: SparkSession):
+    """Inside, Spark deletes the shuffle files of a query when it ends, not when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def kept(df: DataFrame, path: str) -> DataFrame:
+    """df by way of Parquet in the shared folder: packed, where a checkpoint would hold whole rows, and without its partitioning."""
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
