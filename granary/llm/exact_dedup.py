@@ -1,8 +1,9 @@
 """Exact deduplication by a Golomb-coded fingerprint exchange.
 
-Partitions send the sorted 64-bit fingerprints of their texts, Golomb-coded, to the owners of
-fingerprint ranges; owners answer each with a bitmap of the fingerprints that occur more than once;
-only the rows so marked ship their text, and equality is decided on the bytes.
+Partitions send the sorted 64-bit fingerprints of their texts, each once and Golomb-coded, to the
+owners of fingerprint ranges, with a bitmap of those that several of their own texts have; owners
+answer each with a bitmap of the fingerprints that occur more than once anywhere; only the rows so
+marked ship their text, and equality is decided on the bytes.
 """
 
 from __future__ import annotations
@@ -15,14 +16,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from granary.llm.common import bounded_join, chunks, lean
+from granary.llm.common import bounded_join, chunks, fresh, lean, spread
 from granary.session import cut
 
 #: Characters that the comparison ignores: [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
 #: Fingerprints that one owner holds at most on average, and that a message part holds at most.
-OWNER_ROWS, PART_ROWS = 4_000_000, 1_000_000
+OWNER_ROWS, PART_ROWS = 4_000_000, 200_000
 
 
 def golomb_encode(values: np.ndarray) -> tuple[int, bytes]:
@@ -58,50 +60,48 @@ def golomb_decode(n: int, k: int, code: bytes) -> np.ndarray:
     return np.cumsum(gaps, dtype=np.uint64)
 
 
-_SENT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("text_sha256", pa.string()), ("part", pa.int64()), ("owner", pa.int64()), ("n", pa.int32()), ("k", pa.int32()), ("code", pa.binary()), ("order", pa.binary())])
-_SENT_DDL = "doc_id long, n_chars long, text_sha256 string, part long, owner long, n int, k int, code binary, order binary"
+_SENT = pa.schema([("n_chars", pa.int64()), ("digest", pa.binary()), ("part", pa.int64()), ("owner", pa.int64()), ("n", pa.int32()), ("k", pa.int32()), ("code", pa.binary()), ("again", pa.binary())])
+_SENT_DDL = "n_chars long, digest binary, part long, owner long, n int, k int, code binary, again binary"
 
 
-def _sender(bits: int):
-    """Emits one row per text (no part) and, for each owner, a message (no text)."""
+def _sender(bits: int, kind: pa.DataType):
+    """kind: the type of ids. Emits one row per text (n: its fingerprint's place in its message; no k) and, for each owner, a message.
 
-    def messages(fps, rows, part):
-        fp = np.concatenate(fps)
-        row = np.arange(rows, rows + len(fp), dtype=np.int64)
-        order = np.argsort(fp, kind="stable")
-        fp, row = fp[order], row[order]
+    A message has each fingerprint of the part once, and a bitmap of those that several of its texts have.
+    """
+
+    schema = pa.schema([pa.field("doc_id", kind), *_SENT])
+
+    def part_of(held, part):
+        ids, sizes, digests = (pa.concat_arrays(x) for x in zip(*held, strict=True))
+        raw = np.frombuffer(digests.buffers()[1], np.uint8)[: 32 * len(digests)].reshape(-1, 32)
+        every = np.ascontiguousarray(raw[:, :8]).view(">u8").ravel().astype(np.uint64)
+        fp, row, times = np.unique(every, return_inverse=True, return_counts=True)
         owner = (fp >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(fp), np.int64)
         cuts = np.flatnonzero(np.diff(owner, prepend=-1))
-        out = {c: [] for c in _SENT.names}
+        place = np.arange(len(fp)) - cuts[np.searchsorted(cuts, np.arange(len(fp)), side="right") - 1]
+        n = len(ids)
+        yield pa.RecordBatch.from_arrays([ids, sizes, digests.cast(pa.binary()), pa.array(np.full(n, part)), pa.array(owner[row]), pa.array(place[row].astype(np.int32)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], schema=schema)
+        out = {c: [] for c in schema.names}
         for a, b in zip(cuts, [*cuts[1:], len(fp)], strict=True):
             base = np.uint64(owner[a]) << np.uint64(64 - bits) if bits else np.uint64(0)
             k, code = golomb_encode(fp[a:b] - base)
-            for c, v in zip(_SENT.names, (None, None, None, part, int(owner[a]), b - a, k, code, row[a:b].tobytes()), strict=True):
+            for c, v in zip(schema.names, (None, None, None, part, int(owner[a]), b - a, k, code, np.packbits(times[a:b] > 1).tobytes()), strict=True):
                 out[c].append(v)
-        return pa.RecordBatch.from_pydict(out, schema=_SENT)
+        yield pa.RecordBatch.from_pydict(out, schema=schema)
 
     def send(batches):
-        task = TaskContext.get().partitionId()
-        fps, held, rows, part = [], 0, 0, 0
+        held, rows, part = [], 0, TaskContext.get().partitionId() << 20
         for batch in chunks(batches, "text"):
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            sha, fp, size = [], np.empty(len(texts), np.uint64), []
-            for i, text in enumerate(texts):
-                h = hashlib.sha256((text or "").encode().translate(None, BLANKS.encode()))
-                sha.append(h.hexdigest())
-                fp[i] = int.from_bytes(h.digest()[:8], "big")
-                size.append(len(text or ""))
-            n = len(texts)
-            # owner carries the row's number in the task, by which a bitmap finds its rows again
-            number = pa.array(range(held + rows, held + rows + n), pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64()), pa.array(sha, pa.string()), pa.nulls(n, pa.int64()), number, pa.nulls(n, pa.int32()), pa.array([task] * n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], schema=_SENT)
-            fps.append(fp)
-            rows += n
+            texts = batch.column(1).to_pylist()
+            digests = [hashlib.sha256((text or "").encode().translate(None, BLANKS.encode())).digest() for text in texts]
+            held.append((batch.column(0), pa.array([len(text or "") for text in texts], pa.int64()), pa.array(digests, pa.binary(32))))
+            rows += len(texts)
             if rows >= PART_ROWS:
-                yield messages(fps, held, (task << 20) + part)
-                fps, held, rows, part = [], held + rows, 0, part + 1
-        if rows:
-            yield messages(fps, held, (task << 20) + part)
+                yield from part_of(held, part)
+                held, rows, part = [], 0, part + 1
+        if held:
+            yield from part_of(held, part)
 
     return send
 
@@ -114,28 +114,26 @@ def _answer(pdf):
     import pandas as pd
 
     got = [golomb_decode(n, k, code) for n, k, code in zip(pdf["n"], pdf["k"], pdf["code"], strict=True)]
+    again = [np.unpackbits(np.frombuffer(x, np.uint8))[:n].astype(bool) for n, x in zip(pdf["n"], pdf["again"], strict=True)]
     values, counts = np.unique(np.concatenate(got), return_counts=True)
     more = values[counts > 1]
-    marks = [np.packbits(np.isin(x, more)).tobytes() for x in got]
+    marks = [np.packbits(np.isin(x, more) | y).tobytes() for x, y in zip(got, again, strict=True)]
     return pd.DataFrame({"part": pdf["part"], "owner": pdf["owner"], "bitmap": marks})
 
 
 def _marked(batches):
+    """Bitmaps -> the places of their ones."""
     for batch in batches:
-        tasks, rows = [], []
-        for part, order, bitmap in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            at = np.frombuffer(order, np.int64)
-            hit = at[np.unpackbits(np.frombuffer(bitmap, np.uint8))[: len(at)].astype(bool)]
-            tasks.append(np.full(len(hit), part >> 20))
-            rows.append(hit)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tasks), pa.int64()), pa.array(np.concatenate(rows), pa.int64())], names=["task", "row"])
+        for part, owner, bitmap in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            at = np.flatnonzero(np.unpackbits(np.frombuffer(bitmap, np.uint8)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), part)), pa.array(np.full(len(at), owner)), pa.array(at.astype(np.int32))], names=["part", "owner", "n"])
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text), n_chars.
 
     Texts are equal when identical after deleting BLANKS. Of equal texts the row with the most code
-    points stays, then the smallest id; null ids come last. A null text counts as empty, and empty
+    points stays, then the smallest id (of any type that has an order); null ids come last. A null text counts as empty, and empty
     texts equal each other. Of rows repeated with the same id and length exactly one is kept. Other
     columns are ignored, so their names can't clash. An empty table gives an empty result.
     """
@@ -143,34 +141,33 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = docs.count()
     lanes = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows / OWNER_ROWS)
     bits = max(0, math.ceil(math.log2(lanes))) if rows else 0
-    narrow = lean(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sent = cut(narrow.mapInArrow(_sender(bits), _SENT_DDL))
-    each = sent.filter("part is null").select("doc_id", "n_chars", "text_sha256", F.col("k").cast("long").alias("task"), F.col("owner").alias("row"))
-    mail = sent.filter("part is not null")
-    answers = mail.select("part", "owner", "n", "k", "code").groupBy("owner").applyInPandas(_answer, _ANSWER_DDL)
-    marked = mail.select("part", "owner", "order").join(answers, ["part", "owner"]).select("part", "order", "bitmap").mapInArrow(_marked, "task long, row long")
-    suspects = cut(each.join(marked, ["task", "row"], "left_semi").select("doc_id", "text_sha256").distinct())
+    narrow = lean(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kind = narrow.schema["doc_id"].dataType
+    sent = cut(narrow.mapInArrow(_sender(bits, to_arrow_type(kind)), f"doc_id {kind.simpleString()}, {_SENT_DDL}"))
+    each = sent.filter("k is null").select("doc_id", "n_chars", F.lower(F.hex("digest")).alias("text_sha256"), "part", "owner", F.col("n").alias("place"), F.monotonically_increasing_id().alias("row"))
+    answers = sent.filter("k is not null").select("part", "owner", "n", "k", "code", "again").groupBy("owner").applyInPandas(_answer, _ANSWER_DDL)
+    marked = answers.mapInArrow(_marked, "part long, owner long, place int")
+    suspects = cut(each.join(marked, ["part", "owner", "place"], "left_semi").select("doc_id").distinct())
 
     # The marked rows' texts, compared byte for byte.
-    ids = suspects.select(F.col("doc_id").alias("_id")).distinct()
+    ids = suspects.select(F.col("doc_id").alias("_id"))
     texts = bounded_join(narrow, ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     norm = texts.select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), F.translate(F.coalesce("text", F.lit("")), BLANKS, "").alias("norm"))
     groups = (
         norm.groupBy("norm")
-        .agg(F.count("*").alias("group_size"), F.max(F.struct("n_chars", (-F.col("doc_id")).alias("neg"))).alias("best"))
+        .agg(F.count("*").alias("group_size"), F.min(F.struct((-F.col("n_chars")).alias("less"), F.col("doc_id").isNull().alias("none"), "doc_id")).alias("best"))
         .filter("group_size > 1")
-        .select(F.sha2("norm", 256).alias("text_sha256"), "group_size", (-F.col("best.neg")).alias("keep_id"), F.col("best.n_chars").alias("keep_chars"))
+        .select(F.sha2("norm", 256).alias("text_sha256"), "group_size", F.col("best.doc_id").alias("keep_id"), (-F.col("best.less")).alias("keep_chars"))
     )
     res = each.join(groups, "text_sha256", "left").withColumn("alone", F.col("group_size").isNull())
     best = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("keep_chars"))
-    place = F.struct("task", "row")
-    res = cut(res.withColumn("place", F.when(~F.col("alone") & best, place)))
-    chosen = res.filter("place is not null").groupBy("text_sha256").agg(F.min("place").alias("chosen"))
+    res = cut(res.withColumn("mine", F.when(~F.col("alone") & best, F.col("row"))))
+    chosen = spread(res.filter("mine is not null").groupBy("text_sha256").agg(F.min("mine").alias("chosen")))
     return res.join(chosen, "text_sha256", "left").select(
         "doc_id",
         F.when(F.col("alone"), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        (F.col("alone") | F.coalesce(F.col("place") == F.col("chosen"), F.lit(False))).alias("kept"),
+        (F.col("alone") | F.coalesce(F.col("mine") == F.col("chosen"), F.lit(False))).alias("kept"),
         "text_sha256",
         "n_chars",
     )
@@ -182,16 +179,17 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Where an id stands in several rows, the kept row is told from the others by its text's hash and
     length, and of rows alike in all columns one stays.
     """
+    key, sha, size, its_sha, its_size = fresh(docs, "_id", "_sha", "_n", "_s", "_c")
     kept = cut(exact_dedup(docs, id_col, text_col).select("doc_id", "kept", "text_sha256", "n_chars"))
-    shared = kept.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.when(F.col("kept"), 1).otherwise(0)).alias("any"))
-    single = shared.filter("n = 1 and any = 1").select(F.col("doc_id").alias("_id"))
-    out = bounded_join(docs, single, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
-    several = shared.filter("n > 1 and any = 1").select(F.col("doc_id").alias("_id"))
+    shared = kept.groupBy(F.col("doc_id").alias(key)).agg(F.count("*").alias("n"), F.max(F.when(F.col("kept"), 1).otherwise(0)).alias("any"))
+    same = F.col(id_col).eqNullSafe(F.col(key))
+    out = bounded_join(docs, shared.filter("n = 1 and any = 1").select(key), same, "left_semi")
+    several = shared.filter("n > 1 and any = 1").select(key)
     if several.isEmpty():
         return out
     body = F.coalesce(F.col(text_col), F.lit(""))
-    rest = bounded_join(docs, several, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
-    rest = rest.withColumns({"_sha": F.sha2(F.translate(body, BLANKS, ""), 256), "_n": F.length(body).cast("long")})
-    keep = kept.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_s"), F.col("n_chars").alias("_c"))
-    rest = rest.join(keep, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_s")) & (F.col("_n") == F.col("_c")), "left_semi")
-    return out.unionByName(rest.dropDuplicates([id_col, "_sha", "_n"]).drop("_sha", "_n"))
+    rest = bounded_join(docs, several, same, "left_semi")
+    rest = rest.withColumns({sha: F.sha2(F.translate(body, BLANKS, ""), 256), size: F.length(body).cast("long")})
+    keep = kept.filter("kept").select(F.col("doc_id").alias(key), F.col("text_sha256").alias(its_sha), F.col("n_chars").alias(its_size))
+    rest = rest.join(keep, same & (F.col(sha) == F.col(its_sha)) & (F.col(size) == F.col(its_size)), "left_semi")
+    return out.unionByName(rest.dropDuplicates([id_col, sha, size]).drop(sha, size))
