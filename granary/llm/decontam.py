@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import bounded_join, keyed_join
+from granary.llm.common import bounded_join, fresh, keyed_join, spread
 from granary.session import cut
 
 #: What stands between words: every ASCII character but 0-9 and a-z (A-Z are lower-cased first).
@@ -42,7 +42,7 @@ def _hashes(w: Column, n: Column, size: int) -> Column:
 
 
 def grams(items: DataFrame, window: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """h, size, gram, items: each distinct window of the items' words and the items it stands in.
+    """h, size, gram, items, set: each distinct window of the items' words, the items it stands in, and a key of their set.
 
     An item of fewer words than a window, but not none, is one window. Null texts have no words; a
     null item_id is in no list of items, though its windows count.
@@ -51,7 +51,8 @@ def grams(items: DataFrame, window: int = WINDOW, id_col: str = "item_id", text_
     size = F.least("n", F.lit(window))
     starts = w.select("item", "w", size.alias("size"), F.explode(F.sequence(F.lit(1), F.col("n") - size + 1)).alias("i"))
     cells = starts.select("item", "size", F.slice("w", F.col("i"), F.col("size")).alias("gram"))
-    return cells.groupBy("size", "gram").agg(F.collect_set("item").alias("items")).select(F.xxhash64("gram").alias("h"), "size", F.array_join("gram", " ").alias("gram"), "items")
+    out = cells.groupBy("size", "gram").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return out.select(F.xxhash64("gram").alias("h"), "size", F.array_join("gram", " ").alias("gram"), "items", F.md5(F.to_json("items")).alias("set"))
 
 
 def _key(text: Column) -> Column:
@@ -60,7 +61,11 @@ def _key(text: Column) -> Column:
 
 
 def verified_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_col: str = "text") -> DataFrame:
-    """One row per distinct text with a hit: k, spans (array of start, size; starts from 1, sorted), items."""
+    """One row per distinct text with a hit: k, spans (array of start, size; starts from 1, sorted), items.
+
+    Only hashes and sizes of windows, of fixed width, may be broadcast. What the windows say, and whose
+    they are, is fetched for the hits alone; windows with the same items share one list.
+    """
     tests = cut(grams(items, window))
     sizes = sorted((r[0] for r in tests.select("size").distinct().collect()), reverse=True)  # at most `window` values
     if not sizes:
@@ -68,25 +73,32 @@ def verified_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_
     hashed = let(words(F.col(text_col)), lambda w: F.struct(F.size(w).alias("n"), F.concat(*[_hashes(w, F.size(w), s) for s in sizes]).alias("hs")))
     base = docs.select(_key(F.col(text_col)).alias("k"), hashed.alias("x"))
     probes = base.select("k", F.col("x.n").alias("n"), F.posexplode("x.hs").alias("at", "h"))
-    hits = bounded_join(probes, tests.select("h", "size", "gram", "items"), "h", "inner")
+    hits = bounded_join(probes, cut(tests.select("h", "size").distinct()), "h", "inner")
     # The place in the joined array -> start among the windows of its size.
     before, start = F.lit(0), F.lit(None).cast("int")
     for s in sizes:
         start = F.when(F.col("size") == s, F.col("at") - before + 1).otherwise(start)
         before = before + F.greatest(F.col("n") - (s - 1), F.lit(0))
-    one = F.struct(start.cast("int").alias("start"), F.col("size").cast("int").alias("size"), "gram", "items")
+    one = F.struct(start.cast("int").alias("start"), F.col("size").cast("int").alias("size"), "h")
     # A hash shared by windows of two sizes can give a start outside its size's range; verification drops it.
     found = cut(hits.groupBy("k").agg(F.collect_set(one).alias("found")))
     texts = docs.select(_key(F.col(text_col)).alias("_k"), F.col(text_col).alias("_text"))
-    pairs = keyed_join(texts, found, "_k", "k")
     # Copies of one text agree, so any of them may stand for all.
-    def true(w):
-        return F.filter("found", lambda x: (x["start"] >= 1) & (F.array_join(F.slice(w, x["start"], x["size"]), " ") == x["gram"]))
+    pairs = keyed_join(texts, found, "_k", "k").dropDuplicates(["k"])
+
+    def said(w):
+        at = F.filter("found", lambda x: x["start"] >= 1)
+        return F.transform(at, lambda x: F.struct(x["start"].alias("start"), x["size"].alias("size"), x["h"].alias("h"), F.array_join(F.slice(w, x["start"], x["size"]), " ").alias("gram")))
 
-    pairs = pairs.select("k", let(words(F.col("_text")), true).alias("found")).filter(F.size("found") > 0)
-    spans = F.array_sort(F.array_distinct(F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["size"].alias("size")))))
-    items_in = F.array_sort(F.array_distinct(F.flatten(F.transform("found", lambda x: x["items"]))))
-    return cut(pairs.select("k", spans.alias("spans"), items_in.alias("items")).dropDuplicates(["k"]))
+    claims = pairs.select("k", F.explode(let(words(F.col("_text")), said)).alias("x")).select("k", "x.*")
+    real = claims.join(tests.select("h", "size", "gram", "set"), ["h", "size", "gram"])
+    spans = F.array_sort(F.collect_set(F.struct("start", "size"))).alias("spans")
+    real = cut(real.groupBy("k").agg(spans, F.collect_set("set").alias("sets")))
+    lists = tests.select("set", "items").dropDuplicates(["set"])
+    whose = real.select("k", F.explode("sets").alias("set")).join(lists, "set").select("k", F.explode("items").alias("item"))
+    whose = whose.groupBy(F.col("k").alias("_k")).agg(F.array_sort(F.collect_set("item")).alias("items"))
+    out = real.join(whose, F.col("k") == F.col("_k"), "left")
+    return cut(out.select("k", "spans", F.coalesce("items", F.array().cast("array<string>")).alias("items")))
 
 
 def covered(spans: Column) -> Column:
@@ -107,25 +119,28 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str =
     """
     hits = verified_hits(docs, items, window, text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), _key(F.col(text_col)).alias("_k"), F.size(words(F.col(text_col))).cast("long").alias("n_words"))
-    out = rows.join(hits, F.col("_k") == F.col("k"), "left")
+    out = rows.join(spread(hits), F.col("_k") == F.col("k"), "left")
     n_hit = F.coalesce(covered(F.col("spans")), F.lit(0).cast("long"))
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("spans", F.array().cast("array<struct<start:int,size:int>>")).alias("spans"), F.col("spans").isNotNull().alias("contaminated"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, remove: str = "documents", window: int = WINDOW, text_col: str = "text") -> DataFrame:
-    """docs without contaminated documents, or (remove="spans") with the hit words, and what follows each up to the next word, taken out of their texts."""
-    hits = verified_hits(docs, items, window, text_col).withColumnsRenamed({"k": "_k", "spans": "_spans"}).drop("items")
-    keyed = _key(F.col(text_col)) == F.col("_k")
+    """docs without contaminated documents, or (remove="spans") with the hit words, and what follows each up to the next word, taken out of their texts.
+
+    All columns stay, whatever their names.
+    """
+    key, spans, own = fresh(docs, "_k", "_spans", "_own")
+    hits = verified_hits(docs, items, window, text_col).withColumnsRenamed({"k": key, "spans": spans}).drop("items")
     if remove == "documents":
-        return bounded_join(docs, hits.select("_k"), keyed, "left_anti")
+        return bounded_join(docs, hits.select(key), _key(F.col(text_col)) == F.col(key), "left_anti")
     if remove != "spans":
         raise ValueError(remove)
-    joined = docs.withColumn("_own", _key(F.col(text_col))).join(hits, F.col("_own") == F.col("_k"), "left").drop("_own")
+    joined = docs.withColumn(own, _key(F.col(text_col))).join(spread(hits), F.col(own) == F.col(key), "left")
     text, gap = F.col(text_col), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
     pieces = F.regexp_extract_all(text, F.lit(rf"(?s)^{gap}+|[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+{gap}*"), 0)
 
     def clean(lead):
-        return F.filter(pieces, lambda _, i: ~F.exists("_spans", lambda s: (i - lead + 1 >= s["start"]) & (i - lead + 1 < s["start"] + s["size"])))
+        return F.filter(pieces, lambda _, i: ~F.exists(spans, lambda s: (i - lead + 1 >= s["start"]) & (i - lead + 1 < s["start"] + s["size"])))
 
     left = let(F.when(text.rlike(rf"^{gap}"), 1).otherwise(0), clean)
-    return joined.withColumn(text_col, F.when(F.col("_spans").isNotNull(), F.array_join(left, "")).otherwise(text)).drop("_k", "_spans")
+    return joined.withColumn(text_col, F.when(F.col(spans).isNotNull(), F.array_join(left, "")).otherwise(text)).drop(key, spans, own)
