@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import bounded_join, chunks, flat, lean, shingles, words
+from granary.llm.common import bounded_join, chunks, flat, fresh, lean, shingles, words
 from granary.llm.url_filter import components
 from granary.session import cut
 
@@ -256,15 +256,16 @@ def _verify(threshold):
 def similarity_join(docs: DataFrame, k: int = WORDS, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id, n_links, n_copies: a row for each row of docs.
 
-    class_id is the smallest id among the texts that links join, directly or not; n_links is the
+    Ids may be of any type that has an order. class_id is the smallest id among the texts that links join, directly or not; n_links is the
     number of other rows whose sets of k-word shingles have a Jaccard similarity of at least
     `threshold` with this row's, n_copies of which have the same set. Words are runs of 0-9, A-Z (in
     either case) and non-ASCII characters; a text of 1 to k-1 words is one shingle. A text without
     words, null included, has no links and is its own class. Repeated rows count as rows; other
     columns are ignored.
     """
-    narrow = lean(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = cut(narrow.mapInArrow(_sign(k), "doc_id long, n long, class binary, sig binary"))
+    narrow = lean(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kind = narrow.schema["doc_id"].dataType.simpleString()
+    signed = cut(narrow.mapInArrow(_sign(k), f"doc_id {kind}, n long, class binary, sig binary"))
     classes = cut(signed.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("sig").alias("sig")))
 
     banded = classes.select("class", "sig").mapInArrow(_bands, "class binary, keys array<long>").select("class", F.posexplode("keys").alias("band", "key"))
@@ -303,10 +304,11 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
 
     Rows that share an id stay or go together, but of rows alike in id and text one stays.
     """
-    rows = cut(similarity_join(docs, id_col=id_col, text_col=text_col, **kw).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(F.col("doc_id").alias("_id")).count())
-    on = F.col(id_col).eqNullSafe(F.col("_id"))
-    once = bounded_join(docs, rows.filter("count = 1").select("_id"), on, "left_semi")
-    more = rows.filter("count > 1").select("_id")
+    (key,) = fresh(docs, "_id")
+    rows = cut(similarity_join(docs, id_col=id_col, text_col=text_col, **kw).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(F.col("doc_id").alias(key)).agg(F.count("*").alias("n")))
+    on = F.col(id_col).eqNullSafe(F.col(key))
+    once = bounded_join(docs, rows.filter("n = 1").select(key), on, "left_semi")
+    more = rows.filter("n > 1").select(key)
     if more.isEmpty():
         return once
     return once.unionByName(bounded_join(docs, more, on, "left_semi").dropDuplicates([id_col, text_col]))
