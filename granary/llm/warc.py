@@ -9,16 +9,17 @@ from __future__ import annotations
 
 import base64
 import datetime
-import gzip
 import hashlib
 import uuid
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from granary.llm.common import chunks, lean
-from granary.session import shared_dir
+from granary.llm.common import chunks, drop, lean
+from granary.session import cut, shared_dir
 
 #: Fixed values of the formats.
 ARC_FIELDS = {1: ("url", "ip", "date", "mime", "length"), 2: ("url", "ip", "date", "mime", "status", "checksum", "location", "offset", "filename", "length")}
@@ -30,6 +31,9 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 GZIP = b"\x1f\x8b"
+HTTP = "application/http; msgtype=response"
+#: Bytes of records, before compression, after which a task goes on to another file (a longer record stands alone).
+FILE_BYTES = 64 << 20
 
 #: Capture time and address of records whose source has none.
 NO_DATE, NO_IP = "19700101000000", "0.0.0.0"
@@ -111,20 +115,45 @@ def record_id(key: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(NAMESPACE, key)}>"
 
 
+def http_message(payload: bytes, mime: str = "text/html", status: str = "200") -> bytes:
+    """The payload behind the header of a response; one that has a header stays as it is."""
+    if payload.startswith(b"HTTP/"):
+        return payload
+    return f"HTTP/1.1 {status} OK\r\nContent-Type: {mime}\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
+
+
+def body_of(message: bytes) -> bytes:
+    """What follows the header of an HTTP message (its lines end in CR LF, or LF alone in old archives)."""
+    ends = [(i, n) for i, n in ((message.find(b"\r\n\r\n"), 4), (message.find(b"\n\n"), 2)) if i >= 0]
+    if not ends:
+        return b""
+    i, n = min(ends)
+    return message[i + n :]
+
+
+def payload_of(head: dict, block: bytes) -> bytes:
+    """The payload in a record's block."""
+    return body_of(block) if head.get("content-type", "").startswith("application/http") else block
+
+
 def warc_record(fields: dict, payload: bytes, key: str, refers_to: str | None = None, extra: dict | None = None) -> bytes:
-    """A WARC 1.1 record: a response with the payload, or a revisit (no block) of the record of key `refers_to`."""
-    digest = base32_sha1(payload)
-    block = b"" if refers_to is not None else payload
+    """A WARC 1.1 record: a response, or a revisit (no block) of the record of key `refers_to`.
+
+    The block is an HTTP message; where the payload has no HTTP header, one is synthesised. Payload
+    digest and length are those of the body.
+    """
+    message = http_message(payload, fields["mime"], fields.get("status", "200"))
+    block = b"" if refers_to is not None else message
     head = {
         "WARC-Type": "response" if refers_to is None else "revisit",
         "WARC-Record-ID": record_id(key),
         "WARC-Date": warc_date(fields["date"]),
         "WARC-Target-URI": fields["url"] if fields["url"] is not None else "about:blank",
         "WARC-IP-Address": fields["ip"],
-        "WARC-Payload-Digest": f"sha1:{digest}",
+        "WARC-Payload-Digest": f"sha1:{base32_sha1(body_of(message))}",
         "WARC-Block-Digest": f"sha1:{base32_sha1(block)}",
         "WARC-Identified-Payload-Type": fields["mime"],
-        "Content-Type": fields["mime"],
+        "Content-Type": HTTP,
     }
     if refers_to is not None:
         head |= {"WARC-Profile": REVISIT_PROFILE, "WARC-Refers-To": record_id(refers_to)}
@@ -153,53 +182,95 @@ def parse_warc(data: bytes):
         at += size + 4
 
 
+def member(record: bytes) -> bytes:
+    """The record as a gzip member of its own."""
+    pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return pack.compress(record) + pack.flush()
+
+
+def members(data: bytes):
+    """What each gzip member holds (plain data: all of it), one after the other. Zeros after a member are padding."""
+    if not data.startswith(GZIP):
+        yield data
+        return
+    while data:
+        one = zlib.decompressobj(31)
+        out = one.decompress(data) + one.flush()
+        if not one.eof:
+            raise ValueError("a gzip member without its end")
+        yield out
+        data = one.unused_data.lstrip(b"\0")
+
+
 def _page_key(page_id, copy, payload: bytes) -> str:
     return f"page:{page_id}:{copy}:{base32_sha1(payload)}"
 
 
-def _to_warc(batches):
-    """Pages with their decision -> records, each page first as a legacy ARC record (both versions), then converted."""
-    for batch in chunks(batches, "html"):
-        out = []
-        for page, copy, url, html, first, first_copy in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            version = 1 + ((page or 0) & 1)
-            arc = arc_version_block(version) + arc_record(url, (html or "").encode(), version, filename="pages.arc")
-            for fields, payload in parse_arc(arc):
-                extra = {"WARC-X-Page-Id": "" if page is None else page, "WARC-X-Payload-Length": len(payload)}
-                if first_copy is not None:
-                    extra["WARC-X-Refers-To-Page"] = "" if first is None else first
-                record = warc_record(fields, payload, _page_key(page, copy, payload), None if first_copy is None else _page_key(first, first_copy, payload), extra)
-                out.append(record.removesuffix(b"\r\n\r\n").decode())
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
-
-
-READ_DDL = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, target_uri string, warc_date string"
-
-
-def _from_warc(batches):
-    for batch in batches:
-        for data in batch.column(0):
-            rows, raw = [], data.as_py()
-            for head, block in parse_warc(gzip.decompress(raw) if raw[:2] == GZIP else raw):
-                kind, digest = head["warc-type"], head["warc-payload-digest"].removeprefix("sha1:")
-                if kind == "response" and base32_sha1(block) != digest:
-                    raise ValueError(f"the payload of {head['warc-record-id']} doesn't have its digest")
-                size = len(block) if kind == "response" else int(head["warc-x-payload-length"])
-                page, to = head.get("warc-x-page-id"), head.get("warc-x-refers-to-page")
-                rows.append((int(page) if page else None, size, digest, kind, int(to) if to else None, head["warc-record-id"], head["warc-target-uri"], head["warc-date"]))
-            cols = list(zip(*rows, strict=True)) or [[]] * 8
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "target_uri", "warc_date"])
+def _to_warc(most: int):
+    """Pages with their decision -> (value, file): each page first as a legacy ARC record (both versions), then converted.
+
+    The value is the record's gzip member less its last byte. That byte, the highest of the record's
+    length, is 0 for records under 16 MB, and it is what the text writer puts after each row; after a
+    longer record it is padding.
+    """
+
+    def run(batches):
+        file = size = 0
+        for batch in chunks(batches, "html"):
+            out, files = [], []
+            for page, copy, url, html, first, first_copy in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                version, raw = 1 + ((page if isinstance(page, int) else 0) & 1), (html or "").encode()
+                arc = arc_version_block(version) + arc_record(url, http_message(raw), version, filename="pages.arc")
+                for fields, message in parse_arc(arc):
+                    extra = {"WARC-X-Page-Id": "" if page is None else page, "WARC-X-Payload-Length": len(raw)}
+                    if first_copy is not None:
+                        extra["WARC-X-Refers-To-Page"] = "" if first is None else first
+                    record = warc_record(fields, message, _page_key(page, copy, raw), None if first_copy is None else _page_key(first, first_copy, raw), extra)
+                    if size and size + len(record) > most:
+                        file, size = file + 1, 0
+                    size += len(record)
+                    packed = member(record)
+                    out.append(packed[:-1] if len(record) < 1 << 24 else packed)
+                    files.append(file)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(files, pa.int32())], names=["value", "file"])
+
+    return run
+
+
+READ_DDL = "page_id {kind}, payload_bytes long, payload_digest string, record_type string, refers_to {kind}, record_id string, target_uri string, warc_date string"
+
+
+def _from_warc(kind: pa.DataType):
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "target_uri", "warc_date"]
+    kinds = (kind, pa.int64(), pa.string(), pa.string(), kind, pa.string(), pa.string(), pa.string())
+    own = (lambda x: x) if pa.types.is_string(kind) else int
+
+    def run(batches):
+        for batch in batches:
+            for data in batch.column(0):
+                rows = []
+                for head, block in (x for part in members(data.as_py()) for x in parse_warc(part)):
+                    type_, digest = head["warc-type"], head["warc-payload-digest"].removeprefix("sha1:")
+                    payload = payload_of(head, block)
+                    if type_ == "response" and base32_sha1(payload) != digest:
+                        raise ValueError(f"the payload of {head['warc-record-id']} doesn't have its digest")
+                    size = len(payload) if type_ == "response" else int(head["warc-x-payload-length"])
+                    page, to = head.get("warc-x-page-id"), head.get("warc-x-refers-to-page")
+                    rows.append((own(page) if page else None, size, digest, type_, own(to) if to else None, head["warc-record-id"], head["warc-target-uri"], head["warc-date"]))
+                cols = list(zip(*rows, strict=True)) or [[]] * 8
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
+
+    return run
 
 
 def decided(pages: DataFrame, least: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, html, the payload's hash, first (the page whose payload others repeat) and whether that counts.
 
     Of records with equal payloads of at least `least` bytes the smallest page_id is the response;
-    null ids come last.
+    null ids come last. Ids are whole numbers or strings.
     """
     html = F.coalesce(F.col(html_col), F.lit(""))
-    rows = lean(pages).select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.sha2(html, 256).alias("_key"))
+    rows = lean(pages).select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.sha2(html, 256).alias("_key"))
     groups = rows.groupBy("_key").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
     many = groups.filter("n > 1").select(F.col("_key").alias("_many"), "first")
     both = rows.join(many, F.col("_key") == F.col("_many"), "left")
@@ -210,7 +281,8 @@ def decided(pages: DataFrame, least: int = 0, id_col: str = "page_id", url_col:
 def write_warc(pages: DataFrame, out_dir: str, least: int = 0) -> None:
     """Writes WARC files of pages (page_id, url, html) to out_dir, a folder that Spark can write.
 
-    A null or empty html is an empty payload. Every row gives one record.
+    A null or empty html is an empty payload. Every row gives one record, a gzip member of its own;
+    files are of about FILE_BYTES at most.
     """
     rows = decided(pages, least)
     same = F.col("page_id").eqNullSafe(F.col("first"))
@@ -223,24 +295,26 @@ def write_warc(pages: DataFrame, out_dir: str, least: int = 0) -> None:
         alone, several = marked.filter("_again is null"), marked.filter("_again is not null")
         plan = alone.withColumn("copy", F.lit(0)).unionByName(several.withColumn("copy", rank))
     plan = plan.withColumn("first_copy", F.when(F.col("_long") & ~(same & (F.col("copy") == 0)), F.lit(0)))
-    records = plan.select("page_id", "copy", "url", "html", "first", "first_copy").mapInArrow(_to_warc, "value string")
-    # A record ends in two empty lines, which is what the text writer puts after each row.
-    writer = records.write.mode("overwrite").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", 5000)
-    writer.option("compression", "gzip").text(out_dir)
+    records = plan.select("page_id", "copy", "url", "html", "first", "first_copy").mapInArrow(_to_warc(FILE_BYTES), "value binary, file int")
+    writer = records.select(F.col("value").cast("string"), "file").write.mode("overwrite").partitionBy("file")
+    writer.option("lineSep", "\0").option("compression", "none").text(out_dir)
 
 
-def read_warc(spark, path: str) -> DataFrame:
-    """Records of the WARC files (plain or gzip) in path: READ_DDL. Payload digests of responses are checked."""
-    files = spark.read.format("binaryFile").load(path).filter(F.col("length") > 0).select("content")
-    return files.mapInArrow(_from_warc, READ_DDL)
+def read_warc(spark, path: str, kind: str = "long") -> DataFrame:
+    """Records of the WARC files (plain or gzip) in path: READ_DDL, with ids of this kind. Payload digests of responses are checked."""
+    schema = spark.range(0).select(F.lit(None).cast(kind).alias("x")).schema
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter(F.col("length") > 0).select("content")
+    return lean(files).mapInArrow(_from_warc(to_arrow_type(schema["x"].dataType)), READ_DDL.format(kind=kind))
 
 
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
-    """Writes pages as WARC (through ARC) into the shared folder and reads them back."""
+    """Writes pages as WARC (through ARC) into the shared folder and reads them back; what was read is kept, and the archives go."""
     spark = pages.sparkSession
     out = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     write_warc(pages, out, least)
-    return read_warc(spark, out)
+    got = cut(read_warc(spark, out, pages.schema["page_id"].dataType.simpleString()))
+    drop(spark, out)
+    return got
 
 
 def records_of(arc: DataFrame, content: Column, key: Column) -> DataFrame:

@@ -4,7 +4,8 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from granary.llm.warc import arc_record, arc_version_block, parse_arc, parse_warc, records_of, round_trip, warc_date
+from granary.llm import warc
+from granary.llm.warc import arc_record, arc_version_block, parse_arc, members, parse_warc, payload_of, records_of, round_trip, warc_date, write_warc
 
 SCHEMA = "page_id long, url string, html string, first long, key string"
 
@@ -52,4 +53,24 @@ def test_archives_convert(spark):
     df = spark.createDataFrame([(bytearray(data), "f1"), (None, "f2")], "content binary, name string")
     out = {r.key: bytes(r.warc) for r in records_of(df, F.col("content"), F.col("name")).collect()}
     heads = list(parse_warc(out["f1"]))
-    assert [b for _, b in heads] == [b"one", b"two"] and out["f2"] == b"" and heads[0][0]["warc-type"] == "response"
+    assert [payload_of(*x) for x in heads] == [b"one", b"two"] and all(x[1].startswith(b"HTTP/1.1 200") for x in heads) and out["f2"] == b"" and heads[0][0]["warc-type"] == "response"
+
+
+def test_records_are_gzip_members_in_bounded_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 3000)
+    pages = [(i, f"http://h/{i}", "é" * (i * 100)) for i in range(20)] + [(99, "http://long", "x" * (17 << 20))]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    write_warc(df, str(tmp_path / "w"))
+    files = [f.read_bytes() for f in (tmp_path / "w").rglob("part-*")]
+    assert len(files) > 5
+    records = [r for f in files for r in members(f)]
+    assert len(records) == 21 and all(len(list(parse_warc(r))) == 1 for r in records)
+    assert all(len(f) < 3000 + 400 for f in files if len(list(members(f))) > 1)
+    assert {payload_of(*next(parse_warc(r))).decode() for r in records} == {p[2] for p in pages}
+    with pytest.raises(ValueError):
+        list(members(files[0][:-9]))
+
+
+def test_string_ids(spark):
+    df = spark.createDataFrame([("b", "u", "x"), ("a", "u", "x"), (None, "u", "y")], "page_id string, url string, html string")
+    assert {(r.page_id, r.record_type, r.refers_to) for r in round_trip(df).collect()} == {("a", "response", None), ("b", "revisit", "a"), (None, "response", None)}
