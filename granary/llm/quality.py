@@ -1,10 +1,8 @@
 """Quality by an interpolated modified Kneser-Ney model trained on trusted text.
 
-The unit is the word: granary.llm.word_model has trigrams of whole texts, counted in the trusted fit
-fold and joined by shard to the n-grams of all documents. The smaller model of bytes in this module is
-there for unit="byte": counts of byte n-grams of all documents, looked up shard by shard. Either gives a
-perplexity, which is held against the quantile of its language among trusted documents that the model
-has not seen.
+The unit is the word: granary.llm.word_model has the pairs of whole texts, counted in the trusted fit
+fold and joined by shard to the n-grams of all documents. A text's perplexity is held against the
+quantile of its language among trusted documents that the model has not seen.
 """
 
 from __future__ import annotations
@@ -12,80 +10,19 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm import word_model
-from granary.llm.common import bounded_join, chunks, flat, lean
+from granary.llm.common import bounded_join, fresh, lean
 from granary.session import cut
 
-#: n-grams of this many bytes: they pack into 40 bits, so that keys are exact.
-ORDER = 5
-#: Bytes that UTF-8 never uses mark a text's start and end.
-START, END = 0xFF, 0xFE
-SYMBOLS = 258
 #: The share of unseen trusted documents of a language that the threshold keeps.
 QUANTILE = 0.99
 #: So many trusted documents weigh as much in a language's threshold as the spread that all languages share.
 PRIOR = 100
-#: n-grams in one shard of the model at most on average, and in a task's count before it is sent on.
-SHARD_ROWS, HELD_ROWS = 1_000_000, 2_000_000
-
-
-def ngrams(data: np.ndarray, offsets: np.ndarray, n: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """Packed n-grams of each text, padded with n-1 starts and one end: len+1 of them, and their offsets."""
-    sizes = np.diff(offsets)
-    width = sizes + n
-    at = np.concatenate([[0], np.cumsum(width)])
-    padded = np.full(at[-1], START, np.uint8)
-    padded[np.repeat(at[:-1] + n - 1 - offsets[:-1], sizes) + np.arange(len(data))] = data
-    padded[at[1:] - 1] = END
-    total = len(padded) - n + 1
-    key = np.zeros(max(total, 0), np.uint64)
-    for j in range(n):
-        key = (key << np.uint64(8)) | padded[j : j + total]
-    keep = np.ones(max(total, 0), bool)
-    for j in range(1, n):  # n-grams that reach over into the next text
-        keep[at[1:-1] - j] = False
-    return key[keep], np.concatenate([[0], np.cumsum(sizes + 1)])
-
-
-def _count(batches):
-    held = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-
-    def merged():
-        keys, at = np.unique(np.concatenate(held[0]), return_inverse=True)
-        counts = np.bincount(at, np.concatenate(held[1]), len(keys)).astype(np.int64)
-        held[0][:], held[1][:] = [keys], [counts]
-
-    def out():
-        merged()
-        for a in range(0, len(held[0][0]), 1 << 18):
-            yield pa.RecordBatch.from_arrays([pa.array(held[0][0][a : a + (1 << 18)].astype(np.int64)), pa.array(held[1][0][a : a + (1 << 18)])], names=["gram", "n"])
-        held[0][:], held[1][:] = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-
-    pending = 0
-    for batch in chunks(batches, "text"):
-        data, offsets = flat(batch.column(0))
-        fit = np.array(batch.column(1).to_pylist(), bool)
-        key, at = ngrams(data, offsets)
-        key = (key << np.uint64(1)) | np.repeat(fit, np.diff(at)).astype(np.uint64)
-        keys, counts = np.unique(key, return_counts=True)
-        held[0].append(keys >> np.uint64(1))
-        held[1].append(np.where(keys & np.uint64(1), counts, 0))
-        pending += len(keys)
-        if pending > HELD_ROWS // 2:
-            merged()
-            pending = 0
-            if len(held[0][0]) > HELD_ROWS:
-                yield from out()
-    yield from out()
-
-
-def _mask(k: int) -> int:
-    return (1 << 8 * k) - 1
+#: n-grams in one shard of the model at most on average.
+SHARD_ROWS = 250_000
 
 
 def _discounts(table: DataFrame) -> tuple[float, float, float]:
@@ -97,127 +34,14 @@ def _discounts(table: DataFrame) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05), i + 0.95) for i, d in enumerate(raw))
 
 
-def log_probabilities(counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """gram, lp for every gram of counts (gram, n: its count in trusted text, 0 if only others have it)."""
-    seen = counts.filter("n > 0").select("gram", F.col("n").alias("c"))
-    tables = {order: cut(seen)}
-    for k in range(order - 1, 0, -1):  # continuation counts: how many different symbols come before
-        tables[k] = cut(tables[k + 1].groupBy(F.col("gram").bitwiseAND(F.lit(_mask(k))).alias("gram")).agg(F.count("*").alias("c")))
-    lower = None
-    for k in range(1, order + 1):
-        d = _discounts(tables[k])
-        c = F.col("c")
-        off = F.when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2])
-        context = F.shiftright("gram", 8)
-        ctx = tables[k].groupBy(context.alias("ctx")).agg(F.sum("c").alias("total"), F.sum(off).alias("off"))
-        asked = counts.select(F.col("gram").bitwiseAND(F.lit(_mask(k))).alias("gram")).distinct() if k < order else counts.select("gram")
-        rows = asked.join(tables[k], "gram", "left").withColumn("ctx", context).join(ctx, "ctx", "left")
-        if lower is None:
-            rows = rows.withColumn("low", F.lit(1.0 / SYMBOLS))
-        else:
-            rows = rows.withColumn("suffix", F.col("gram").bitwiseAND(F.lit(_mask(k - 1)))).join(lower.select(F.col("gram").alias("suffix"), F.col("p").alias("low")), "suffix")
-        own = F.when(c.isNotNull(), F.greatest(c - off, F.lit(0.0)) / F.col("total")).otherwise(0.0)
-        p = F.when(F.col("total").isNull(), F.col("low")).otherwise(own + F.col("off") / F.col("total") * F.col("low"))
-        lower = cut(rows.select("gram", p.alias("p")))
-    return lower.select("gram", F.log("p").cast("float").alias("lp"))
-
-
-class Lookup:
-    """An open-addressing table of distinct keys, filled and read in whole arrays."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(math.ceil(math.log2(max(1, len(keys)) * 1.6))))
-        size = 1 << self.bits
-        self.keys, self.values = np.full(size, np.uint64(0xFFFFFFFFFFFFFFFF)), np.zeros(size, np.float32)
-        empty, left, slot = np.uint64(0xFFFFFFFFFFFFFFFF), np.arange(len(keys)), self.slot(keys)
-        while len(left):
-            at = slot[left]
-            free = self.keys[at] == empty
-            self.keys[at[free]] = keys[left[free]]  # of several for one slot one wins
-            won = self.keys[at] == keys[left]
-            self.values[at[won]] = values[left[won]]
-            left = left[~won]
-            slot[left] = (slot[left] + 1) & (size - 1)
-
-    def slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        """Values of keys; 0 for keys that it doesn't hold."""
-        at = self.slot(keys)
-        found = self.keys[at]
-        out = np.where(found == keys, self.values[at], np.float32(0))
-        left = np.flatnonzero((found != keys) & (found != np.uint64(0xFFFFFFFFFFFFFFFF)))
-        while len(left):
-            at[left] = (at[left] + 1) & (len(self.keys) - 1)
-            found = self.keys[at[left]]
-            hit = found == keys[left]
-            out[left[hit]] = self.values[at[left[hit]]]
-            left = left[~hit & (found != np.uint64(0xFFFFFFFFFFFFFFFF))]
-        return out
-
-
-_TABLES: dict[int, Lookup] = {}
-
-
-def _scorer(shard, names):
-    """Adds to column lp the log probabilities of the n-grams that the shard holds."""
-
-    def run(batches):
-        if shard.id not in _TABLES:
-            _TABLES.clear()
-            _TABLES[shard.id] = Lookup(*shard.arrays.value)
-        table = _TABLES[shard.id]
-        for batch in chunks(batches, "_text"):
-            data, offsets = flat(batch.column(0))
-            key, at = ngrams(data, offsets)
-            got = table.get(key).astype(np.float64)
-            lp = np.add.reduceat(got, at[:-1]) + batch.column(1).to_numpy()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lp, pa.float64()), *batch.columns[2:]], names=names)
-
-    return run
-
-
-class _Shard:
-    def __init__(self, spark, keys, values):
-        self.arrays = spark.sparkContext.broadcast((keys, values))
-        self.id = self.arrays._jbroadcast.id()
-
-    def __getstate__(self):
-        return {"arrays": self.arrays, "id": self.id}
-
-
-def _shards(table: DataFrame):
-    spark = table.sparkSession
-    n = max(1, math.ceil(table.count() / SHARD_ROWS))
-    for i in range(n):
-        got = table.filter(F.pmod(F.xxhash64("gram"), F.lit(n)) == i).toArrow()
-        yield _Shard(spark, got.column("gram").to_numpy().astype(np.uint64), got.column("lp").to_numpy())
-
-
 def trusted(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Ids whose labels all say quality 1, and their fold: fit trains, the other calibrates. Null ids are not trusted."""
     ids = labels.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(F.coalesce("quality", F.lit(0))).alias("q")).filter("q = 1")
     return ids.select("_id", (F.crc32(F.col("_id").cast("string").cast("binary")) % 2 == 0).alias("_fit"))
 
 
-def _byte_scores(narrow: DataFrame, good: DataFrame) -> DataFrame:
-    marked = bounded_join(narrow.select("doc_id", "_text"), good.filter("_fit"), F.col("doc_id") == F.col("_id"), "left")
-    counts = marked.select(F.col("_text").alias("text"), F.coalesce("_fit", F.lit(False)).alias("fit")).mapInArrow(_count, "gram long, n long")
-    counts = cut(counts.groupBy("gram").agg(F.sum("n").alias("n")))
-    lps = cut(log_probabilities(counts))
-
-    names = ["_text", "_lp", "doc_id", "lang"]
-    ids, langs = (narrow.schema[c].dataType.simpleString() for c in ("doc_id", "lang"))
-    scored = narrow.select("_text", F.lit(0.0).alias("_lp"), "doc_id", "lang")
-    for shard in _shards(lps):
-        scored = scored.mapInArrow(_scorer(shard, names), f"_text string, _lp double, doc_id {ids}, lang {langs}")
-    size = F.octet_length(F.coalesce("_text", F.lit(""))).cast("long")
-    return scored.select("doc_id", "lang", size.alias("n_bytes"), F.when(size > 0, F.exp(-F.col("_lp") / (size + 1))).alias("perplexity"))
-
-
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, unit: str = "word") -> DataFrame:
-    """doc_id, lang, n_bytes, perplexity (a token, or a byte by unit), threshold, kept: a row for each of docs.
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE) -> DataFrame:
+    """doc_id, lang, n_bytes, perplexity (a token), threshold, kept: a row for each of docs.
 
     Null and empty texts have no perplexity and are not kept. The threshold is the language's own (a
     null lang is one too). Without unseen trusted text of a language there is none, and its texts that
@@ -225,17 +49,11 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     good = cut(trusted(labels))
     narrow = lean(docs).select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("_text"))
-    if unit == "byte":
-        scored = _byte_scores(narrow, good)
-    else:
-        fit = bounded_join(narrow.select("doc_id", "_text"), good.filter("_fit"), F.col("doc_id") == F.col("_id"), "left_semi").select("_text")
-        model = word_model.model(fit, _discounts)
-        size = F.octet_length(F.coalesce("_text", F.lit(""))).cast("long")
-        lps = word_model.scores(narrow.select("_text", "doc_id", "lang", size.alias("n_bytes")), model, SHARD_ROWS)
-        scored = lps.select("doc_id", "lang", "n_bytes", F.when(F.col("n_bytes") > 0, F.exp(-F.col("_lp") / (F.col("_tokens") + 1))).alias("perplexity"))
-    scored = cut(scored)
-    if unit != "byte":
-        word_model.drop(docs.sparkSession, model.folder)
+    fit = bounded_join(narrow.select("doc_id", "_text"), good.filter("_fit"), F.col("doc_id") == F.col("_id"), "left_semi").select("_text")
+    model = word_model.model(fit, _discounts, SHARD_ROWS)
+    size = F.octet_length(F.coalesce("_text", F.lit(""))).cast("long")
+    lps = word_model.scores(narrow.select("_text", "doc_id", "lang", size.alias("n_bytes")), model)
+    scored = lps.select("doc_id", "lang", "n_bytes", F.when(F.col("n_bytes") > 0, F.exp(-F.col("_lp") / (F.col("_tokens") + 1))).alias("perplexity"))
 
     unseen = bounded_join(scored.filter("n_bytes > 0"), good.filter("not _fit"), F.col("doc_id") == F.col("_id"), "left_semi")
     per = cut(_thresholds(unseen, quantile))
@@ -263,5 +81,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **kw)
     differ in length and are judged apart; of the same length they are kept if one of them is.
     """
     text = kw.get("text_col", "text")
-    good = cut(score(docs, labels, id_col, **kw).filter("kept").select(F.col("doc_id").alias("_id"), F.col("n_bytes").alias("_n")).distinct())
-    return bounded_join(docs, good, F.col(id_col).eqNullSafe(F.col("_id")) & (F.octet_length(F.col(text)).cast("long") == F.col("_n")), "left_semi")
+    key, size = fresh(docs, "_id", "_n")
+    good = cut(score(docs, labels, id_col, **kw).filter("kept").select(F.col("doc_id").alias(key), F.col("n_bytes").alias(size)).distinct())
+    return bounded_join(docs, good, F.col(id_col).eqNullSafe(F.col(key)) & (F.octet_length(F.col(text)).cast("long") == F.col(size)), "left_semi")

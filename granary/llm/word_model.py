@@ -1,9 +1,14 @@
-"""An interpolated modified Kneser-Ney model of word trigrams, of whole texts, kept in shards from end to end.
+"""An interpolated modified Kneser-Ney model of word pairs, of whole texts, kept in shards from end to end.
 
-In back-off form a text's log probability is a plain sum of one value for each of its words, word pairs
-and trigrams that trusted text has: the value of an n-gram is what it adds to its suffix, and that of
-an n-gram as a context is its back-off weight. So the n-grams of a block of texts are dealt to the
-shards of the model, each shard adds up what it holds for every text, and the sums are added by text.
+In back-off form a text's log probability is a plain sum of one value for each of its words and word
+pairs that trusted text has: the value of a word is what it adds to an unknown one and its back-off
+weight as a context, that of a pair is what it adds to these. So the n-grams of a block of texts are
+dealt to the shards of the model, each shard adds up what it holds for every text of the block, and
+the sums are added by text.
+
+What is shuffled is several times the texts, so both halves of the work go slice by slice: counts by
+the hash of the first word, texts by a hash of the row. A slice's shuffle files are freed when its
+table is written, and the disk in use at once is that of one slice.
 """
 
 from __future__ import annotations
@@ -15,11 +20,11 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import _WORD, chunks, flat, mix, prefix_hash
-from granary.session import shared_dir
+from granary.llm.common import _WORD, chunks, drop, flat, freed, kept, mix, prefix_hash, spread
+from granary.session import cut, shared_dir
 
 #: Classes of bytes: blanks part tokens, and a token is a run of one other class (of words or of signs).
 _CLASS = np.where(_WORD, 1, 2).astype(np.uint8)
@@ -27,8 +32,12 @@ _CLASS[[9, 10, 11, 12, 13, 32]] = 0
 START, END = np.uint64(0x51A7B3C90D2E4F61), np.uint64(0x2F8D6E1B7C5A4093)
 #: Tokens and texts of a block at most: it is counted at once (a longer text stands alone).
 BLOCK_TOKENS, BLOCK_TEXTS = 400_000, 30_000
-COUNTS = "a long, b long, c long, n long"
+#: Slices in which pairs are counted, and in which texts are scored.
+COUNT_SLICES, TEXT_SLICES = 4, 8
+#: n-grams that a message of the model holds at most.
+PACK_ROWS = 1_000_000
 DEALT = "shard int, kind int, part long, keys binary, vals binary, rows binary"
+SUMS = "part long, kind int, vals binary, rows binary"
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -45,31 +54,19 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return mix((p[ends] - p[starts]) * inv[starts]), np.searchsorted(starts, offsets, side="left")
 
 
-def padded(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens with two starts and an end around each text, the text of each, and its place in the text."""
+def padded(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens with a start and an end around each text, and the text of each."""
     n = np.diff(docs)
-    at = np.concatenate([[0], np.cumsum(n + 3)])
+    at = np.concatenate([[0], np.cumsum(n + 2)])
     out = np.full(at[-1], START, np.uint64)
-    out[np.repeat(at[:-1] + 2 - docs[:-1], n) + np.arange(len(hashes))] = hashes
+    out[np.repeat(at[:-1] + 1 - docs[:-1], n) + np.arange(len(hashes))] = hashes
     out[at[1:] - 1] = END
-    owner = np.repeat(np.arange(len(n)), n + 3)
-    return out, owner, np.arange(len(out)) - at[:-1][owner]
-
-
-def _turn(x, k):
-    return (x << np.uint64(k)) | (x >> np.uint64(64 - k))
+    return out, np.repeat(np.arange(len(n)), n + 2)
 
 
 def pair(a, b):
-    return a ^ _turn(b, 17)
-
-
-def triple(a, b, c):
-    return a ^ _turn(b, 29) ^ _turn(c, 47)
-
-
-def _turned(x, k):
-    return F.shiftleft(x, k).bitwiseOR(F.shiftrightunsigned(x, 64 - k))
+    """The key of a word pair: not that of any word, nor of the pair turned round."""
+    return mix(a ^ ((b << np.uint64(17)) | (b >> np.uint64(47))))
 
 
 def _blocks(batches):
@@ -91,96 +88,75 @@ def _joined(held):
     return np.concatenate([h for h, _, _ in held]), np.concatenate([[0], np.cumsum(sizes)]), [b for _, _, b in held]
 
 
-def _count(batches):
-    for hashes, docs, _ in _blocks(batches):
-        w, _, place = padded(hashes, docs)
-        i = np.flatnonzero(place >= 2)
-        a, b, c = w[i - 2], w[i - 1], w[i]
-        order = np.lexsort((c, b, a))
-        a, b, c = a[order], b[order], c[order]
-        new = np.ones(len(a), bool)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])
-        first = np.flatnonzero(new)
-        n = np.diff(np.append(first, len(a)))
-        for s in range(0, len(first), 1 << 16):
-            f = first[s : s + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(x[f].view(np.int64)) for x in (a, b, c)] + [pa.array(n[s : s + (1 << 16)])], names=["a", "b", "c", "n"])
+def _count(slices: int, own: int):
+    """Pairs whose first word is of slice `own`, counted block by block."""
+
+    def run(batches):
+        for hashes, docs, _ in _blocks(batches):
+            w, owner = padded(hashes, docs)
+            on = np.flatnonzero((owner[1:] == owner[:-1]) & ((w[:-1] >> np.uint64(20)) % np.uint64(slices) == own))
+            a, b = w[:-1][on], w[1:][on]
+            key = pair(a, b)
+            _, first, n = np.unique(key, return_index=True, return_counts=True)
+            for s in range(0, len(first), 1 << 16):
+                f = first[s : s + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(x[f].view(np.int64)) for x in (a, b)] + [pa.array(n[s : s + (1 << 16)])], names=["a", "b", "n"])
+
+    return run
 
 
 class Model(NamedTuple):
-    """gram, v of every n-gram, where rows of one gram add up; the log probability of an unknown word; rows of grams; and the folder of its tables."""
+    """The log probability of an unknown word, the number of shards, and the folder of the tables (packed: what each n-gram adds, by shard)."""
 
-    grams: DataFrame | None
     unknown: float
-    size: int
+    shards: int
     folder: str
 
 
-def _kept(df: DataFrame, path: str) -> DataFrame:
-    """df by way of Parquet in the shared folder: packed, where a checkpoint would hold whole rows."""
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop(spark: SparkSession, path: str) -> None:
-    """Deletes a model's tables, once its scores are kept."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def _with_context(table: DataFrame, *context: str) -> DataFrame:
-    """With what its context has: the total, and how many n-grams of count 1, 2 and 3 or more."""
-    w, n = Window.partitionBy(*context), F.col("n")
-    seen = lambda x: F.sum(F.when(x, 1).otherwise(0)).over(w)
-    return table.select("*", F.sum("n").over(w).alias("total"), seen(n == 1).alias("m1"), seen(n == 2).alias("m2"), seen(n >= 3).alias("m3"))
-
-
-def _parts(table: DataFrame, discounts) -> tuple:
-    """Columns: the discounted share of the n-gram itself, and the weight of the lower order."""
-    d = discounts(table.select(F.col("n").alias("c")))
-    n, total = F.col("n"), F.col("total")
-    off = F.when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2])
-    return F.greatest(n - off, F.lit(0.0)) / total, (d[0] * F.col("m1") + d[1] * F.col("m2") + d[2] * F.col("m3")) / total
+def _off(d):
+    n = F.col("n")
+    return F.when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2])
 
 
-def model(texts: DataFrame, discounts) -> Model:
+def model(texts: DataFrame, discounts, shard_rows: int) -> Model:
     """The model of column _text; discounts gives the three of a table with counts c."""
     spark = texts.sparkSession
     folder = f"{shared_dir(spark).rstrip('/')}/words-{uuid.uuid4().hex}"
-    rows = texts.mapInArrow(_count, COUNTS)
-    t3 = _kept(_with_context(rows.repartition("a", "b").groupBy("a", "b", "c").agg(F.sum("n").alias("n")), "a", "b"), f"{folder}/t3")
-    t2 = _kept(_with_context(t3.groupBy("b", "c").agg(F.count("*").alias("n")), "b"), f"{folder}/t2")
-    t1 = _kept(t2.groupBy("c").agg(F.count("*").alias("n")), f"{folder}/t1")
-    total, m1, m2, m3, size = t1.agg(F.sum("n"), *(F.count_if(F.expr(x)) for x in ("n = 1", "n = 2", "n >= 3")), F.count("*")).first()
-    if not size:
-        return Model(None, 0.0, 0, folder)
-    d = discounts(t1.select(F.col("n").alias("c")))
-    base = (d[0] * m1 + d[1] * m2 + d[2] * m3) / total / (size + 1)
-    n = F.col("n")
-    p1 = t1.select("c", (F.greatest(n - F.when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2]), F.lit(0.0)) / total + base).alias("p1"))
-    own, bow = _parts(t2, discounts)
-    p2 = _kept(t2.select("b", "c", own.alias("own"), bow.alias("bow")).join(p1, "c").select("b", "c", "bow", (F.col("own") + F.col("bow") * F.col("p1")).alias("p2"), "p1"), f"{folder}/p2")
-    drop(spark, f"{folder}/t2")
-    own, bow = _parts(t3, discounts)
-    v3 = t3.select("a", "b", "c", own.alias("own"), bow.alias("bow")).join(p2.select("b", "c", "p2"), ["b", "c"])
-    a, b, c = F.col("a"), F.col("b"), F.col("c")
-    pair_of = lambda x, y: x.bitwiseXOR(_turned(y, 17))
-    parts = [
-        p1.select(c.alias("gram"), (F.log("p1") - math.log(base)).alias("v")),
-        p2.select("b", "bow").distinct().select(b.alias("gram"), F.log("bow").alias("v")),
-        p2.select(pair_of(b, c).alias("gram"), (F.log("p2") - F.log("bow") - F.log("p1")).alias("v")),
-        t3.select("a", "b", bow.alias("bow")).distinct().select(pair_of(a, b).alias("gram"), F.log("bow").alias("v")),
-        v3.select(a.bitwiseXOR(_turned(b, 29)).bitwiseXOR(_turned(c, 47)).alias("gram"), (F.log(F.col("own") + F.col("bow") * F.col("p2")) - F.log("bow") - F.log("p2")).alias("v")),
-    ]
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    # a bigram may also be a context, and so may a word
-    return Model(out, math.log(base), t3.count() + 2 * p2.count() + 2 * size, folder)
+    with freed(spark):
+        slices = []
+        for s in range(COUNT_SLICES):
+            rows = texts.mapInArrow(_count(COUNT_SLICES, s), "a long, b long, n long")
+            slices.append(kept(rows.groupBy("a", "b").agg(F.sum("n").alias("n")), f"{folder}/pairs/{s}"))
+        every = slices[0]
+        for x in slices[1:]:
+            every = every.unionByName(x)
+        t1 = kept(every.groupBy("b").agg(F.count("*").alias("n")).withColumnRenamed("b", "w"), f"{folder}/words")
+        total, m1, m2, m3, size = t1.agg(F.sum("n"), *(F.count_if(F.expr(x)) for x in ("n = 1", "n = 2", "n >= 3")), F.count("*")).first()
+        if not size:
+            return Model(0.0, 1, folder)
+        d = discounts(t1.select(F.col("n").alias("c")))
+        base = (d[0] * m1 + d[1] * m2 + d[2] * m3) / total / (size + 1)
+        n = F.col("n")
+        p1 = t1.select("w", (F.greatest(n - _off(d), F.lit(0.0)) / total + base).alias("p1"))
+        d = discounts(every.select(F.col("n").alias("c")))
+        shards = max(1, math.ceil((total + 2 * size) / shard_rows))  # total: the number of different pairs
+        pack = lambda df, name: df.select("x", "y", F.col("v").cast("float").alias("v")).mapInArrow(_pack(shards), DEALT).write.option("compression", "zstd").parquet(f"{folder}/packed/{name}")
+        no = F.lit(None).cast("long")
+        pack(p1.select(F.col("w").alias("x"), no.alias("y"), (F.log("p1") - math.log(base)).alias("v")), "words")
+        for s, part in enumerate(slices):
+            context = part.groupBy(F.col("a").alias("w")).agg(F.sum("n").alias("total"), F.sum(_off(d)).alias("off"))
+            context = kept(context.select("w", "total", (F.col("off") / F.col("total")).alias("bow")), f"{folder}/contexts/{s}")
+            pack(context.select(F.col("w").alias("x"), no.alias("y"), F.log("bow").alias("v")), f"contexts-{s}")
+            shares = part.join(spread(context.withColumnRenamed("w", "a")), "a").select("a", "b", (F.greatest(n - _off(d), F.lit(0.0)) / F.col("total")).alias("own"), "bow")
+            pairs = shares.join(p1.withColumnRenamed("w", "b"), "b")
+            v = F.log(F.col("own") + F.col("bow") * F.col("p1")) - F.log("bow") - F.log("p1")
+            pack(pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), v.alias("v")), f"pairs-{s}")
+            drop(spark, f"{folder}/pairs/{s}")
+    return Model(math.log(base), shards, folder)
 
 
 def _shard(keys: np.ndarray, n: int) -> np.ndarray:
-    return ((keys >> np.uint64(44)).astype(np.int64) * n) >> 20
+    return ((keys >> np.uint64(32)).astype(np.int64) * n) >> 32
 
 
 def _dealt(shards, kind, part, keys, vals, rows):
@@ -188,6 +164,8 @@ def _dealt(shards, kind, part, keys, vals, rows):
 
 
 def _pack(n: int):
+    """Rows (x, y or null, v) -> messages of kind 0: the keys of words (no y) or pairs, and their values."""
+
     def run(batches):
         held, rows = [], 0
 
@@ -201,9 +179,13 @@ def _pack(n: int):
 
         for batch in batches:
             if batch.num_rows:
-                held.append((batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy().astype(np.float32)))
+                x, y = (batch.column(i) for i in (0, 1))
+                keys = x.to_numpy().view(np.uint64)
+                if not y.null_count:
+                    keys = pair(keys, y.to_numpy().view(np.uint64))
+                held.append((keys, batch.column(2).to_numpy()))
                 rows += batch.num_rows
-            if rows > 1_000_000:
+            if rows > PACK_ROWS:
                 yield out()
                 held, rows = [], 0
         if held:
@@ -218,10 +200,10 @@ def _deal(n: int):
     def run(batches):
         part = TaskContext.get().partitionId() << 32
         for hashes, docs, info in _blocks(batches):
-            w, owner, place = padded(hashes, docs)
-            i, j = np.flatnonzero(place >= 1), np.flatnonzero(place >= 2)
-            key = np.concatenate([w[i], pair(w[i - 1], w[i]), triple(w[j - 2], w[j - 1], w[j])])
-            row = np.concatenate([owner[i], owner[i], owner[j]]).astype(np.uint16)
+            w, owner = padded(hashes, docs)
+            inside = owner[1:] == owner[:-1]
+            key = np.concatenate([w, pair(w[:-1], w[1:])[inside]])
+            row = np.concatenate([owner, owner[1:][inside]]).astype(np.uint16)
             order = np.argsort(key, kind="stable")
             key, row = key[order], row[order]
             first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -235,60 +217,87 @@ def _deal(n: int):
             table = pa.Table.from_batches(info).append_column("_tokens", pa.array(np.diff(docs)))
             with pa.ipc.new_stream(sink, table.schema) as writer:
                 writer.write_table(table)
-            yield _dealt([int(part % n)], 2, part, [None], [None], [sink.getvalue().to_pybytes()])
+            yield _dealt([int((part >> 32) % n)], 2, part, [None], [None], [sink.getvalue().to_pybytes()])
             part += 1
 
     return run
 
 
-def _sum(names):
+def _sum(batches):
+    """Whole shards, the model's messages first -> what each adds to the texts of each block, and the texts' own columns as kind 0."""
+    shard, held, keys, vals = None, [], None, None
+    for batch in batches:
+        out = [[], [], [], []]
+        for r in batch.to_pylist():
+            if r["shard"] != shard:
+                shard, held, keys, vals = r["shard"], [], np.zeros(0, np.uint64), np.zeros(0)
+            if r["kind"] == 0:
+                held.append((np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["vals"], np.float32)))
+                continue
+            if held:
+                keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+                vals, held = np.bincount(at, np.concatenate([v for _, v in held]).astype(np.float64), len(keys)), []
+            if r["kind"] == 2:
+                add = (r["part"], 0, None, r["rows"])
+            elif len(keys):
+                asked, times, rows = (np.frombuffer(r[x], t) for x, t in (("keys", np.uint64), ("vals", np.uint32), ("rows", np.uint16)))
+                at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+                value = np.repeat(np.where(keys[at] == asked, vals[at], 0.0), times)
+                sums = np.bincount(rows, value)
+                found = np.flatnonzero(sums)
+                add = (r["part"], 1, sums[found].tobytes(), found.astype(np.uint16).tobytes())
+            else:
+                continue
+            for col, v in zip(out, add, strict=True):
+                col.append(v)
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())], names=["part", "kind", "vals", "rows"])
+
+
+def _add(unknown: float):
+    """Whole blocks, their texts' columns first -> a row for each text."""
+
     def run(batches):
-        shard, held, keys, vals = None, [], None, None
+        table, lp = None, None
+
+        def out():
+            tokens_ = table.column("_tokens").to_numpy()
+            yield from table.append_column("_lp", pa.array(lp + (tokens_ + 1) * unknown)).combine_chunks().to_batches()
+
         for batch in batches:
             for r in batch.to_pylist():
-                if r["shard"] != shard:
-                    shard, held, keys, vals = r["shard"], [], np.zeros(0, np.uint64), np.zeros(0)
                 if r["kind"] == 0:
-                    held.append((np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["vals"], np.float32)))
-                    continue
-                if held:
-                    keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-                    vals, held = np.bincount(at, np.concatenate([v for _, v in held]).astype(np.float64), len(keys)), []
-                if r["kind"] == 1:
-                    if not len(keys):
-                        continue
-                    asked, times, rows = (np.frombuffer(r[x], t) for x, t in (("keys", np.uint64), ("vals", np.uint32), ("rows", np.uint16)))
-                    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-                    value = np.repeat(np.where(keys[at] == asked, vals[at], 0.0), times)
-                    sums = np.bincount(rows[value != 0], value[value != 0])
-                    found = np.flatnonzero(sums)
-                    info = [pa.nulls(len(found), t) for t in names.types] + [pa.nulls(len(found), pa.int64())]
-                    lp = sums[found]
-                else:
+                    if table is not None:
+                        yield from out()
                     table = pa.ipc.open_stream(r["rows"]).read_all()
-                    info = [c.combine_chunks() for c in table.columns]
-                    found, lp = np.arange(table.num_rows), np.zeros(table.num_rows)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), r["part"]), pa.int64()), pa.array(found, pa.int64()), pa.array(lp, pa.float64()), *info], names=["_part", "_row", "_lp", *names.names, "_tokens"])
+                    lp = np.zeros(table.num_rows)
+                else:
+                    lp[np.frombuffer(r["rows"], np.uint16)] += np.frombuffer(r["vals"], np.float64)
+        if table is not None:
+            yield from out()
 
     return run
 
 
-def scores(docs: DataFrame, model: Model, shard_rows: int) -> DataFrame:
-    """The columns of docs but _text (its first), with _lp, the log probability, and _tokens, the number of tokens."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
+def scores(docs: DataFrame, model: Model) -> DataFrame:
+    """The columns of docs but _text (its first), with _tokens, the number of tokens, and _lp, the log probability."""
+    spark = docs.sparkSession
     fields = [f for f in docs.schema.fields if f.name != "_text"]
-    names = to_arrow_schema(StructType(fields))
-    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)
-    if model.grams is None:
-        dealt, n = docs.mapInArrow(_deal(1), DEALT), 1
-    else:
-        n = max(1, math.ceil(model.size / shard_rows))
-        dealt = docs.mapInArrow(_deal(n), DEALT).unionByName(model.grams.mapInArrow(_pack(n), DEALT))
-    width = max(1, min(n, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4))
-    dealt = dealt.repartition(width, "shard").sortWithinPartitions("shard", "kind")
-    sums = dealt.mapInArrow(_sum(names), f"_part long, _row long, _lp double, {columns}, _tokens long")
-    # one row of each text has its columns and _tokens; the others have nulls
-    out = sums.groupBy("_part", "_row").agg(F.sum("_lp").alias("_sum"), *(F.max(f.name).alias(f.name) for f in fields), F.max("_tokens").alias("_tokens"))
-    return out.select(*(f.name for f in fields), (F.col("_sum") + (F.col("_tokens") + 1) * F.lit(model.unknown)).alias("_lp"), "_tokens")
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    own = F.pmod(F.xxhash64(*(f.name for f in fields)), F.lit(TEXT_SLICES))
+    out = []
+    with freed(spark):
+        for s in range(TEXT_SLICES):
+            dealt = docs.filter(own == s).mapInArrow(_deal(model.shards), DEALT)
+            if model.unknown:
+                dealt = dealt.unionByName(spark.read.schema(DEALT).parquet(f"{model.folder}/packed/*"))
+            sums = dealt.repartition(width, "shard").sortWithinPartitions("shard", "kind").mapInArrow(_sum, SUMS)
+            rows = sums.repartition(width, "part").sortWithinPartitions("part", "kind").mapInArrow(_add(model.unknown), f"{columns}, _tokens long, _lp double")
+            out.append(kept(rows, f"{model.folder}/scored/{s}"))
+        every = out[0]
+        for x in out[1:]:
+            every = every.unionByName(x)
+        every = cut(every)
+    drop(spark, model.folder)
+    return every

@@ -1,20 +1,21 @@
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from granary.llm import langid, quality, secret_scan
+from granary.llm import langid, quality, secret_scan, word_model
 from granary.llm.langid import family, predict, train
-from granary.llm.quality import Lookup, keep_good, log_probabilities, ngrams, score
+from granary.llm.quality import keep_good, score
 
 DOCS = "doc_id long, text string, lang string, gram string, n int"
 
 
-def kneser_ney(counts, order=5):
-    """Plain interpolated modified Kneser-Ney over byte strings, from raw counts of n-grams."""
-    tables = {order: {g: c for g, c in counts.items() if c}}
+def kneser_ney(counts, order, symbols):
+    """Plain interpolated modified Kneser-Ney over tuples, from raw counts of n-grams."""
+    tables = {order: counts}
     for k in range(order - 1, 0, -1):
         tables[k] = Counter(g[1:] for g in tables[k + 1])
     discounts = {}
@@ -27,7 +28,7 @@ def kneser_ney(counts, order=5):
     def p(g):
         k = len(g)
         if k == 0:
-            return 1 / quality.SYMBOLS
+            return 1 / symbols
         ctx = [(h, c) for h, c in tables[k].items() if h[:-1] == g[:-1]]
         low = p(g[1:])
         if not ctx:
@@ -41,55 +42,27 @@ def kneser_ney(counts, order=5):
 
 
 def grams_of(text):
-    raw = b"\xff" * 4 + text.encode() + b"\xfe"
-    return [raw[i : i + 5] for i in range(len(raw) - 4)]
+    toks = ["<s>", *re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+|[^0-9A-Za-z\x80-\U0010ffff\s]+", text or ""), "</s>"]
+    return list(zip(toks, toks[1:], strict=False))
 
 
-def test_language_model_matches_a_plain_one(spark):
-    trusted = ["the cat sat on the mat. the hat.", "a cat and a hat sat", "éàü"]
-    other = ["zzz the", ""]
-    counts = Counter(g for t in trusted for g in grams_of(t))
-    asked = {g: counts.get(g, 0) for t in trusted + other for g in grams_of(t)}
-    rows = [(int.from_bytes(g, "big"), n) for g, n in asked.items()]
-    got = {r.gram: r.lp for r in log_probabilities(spark.createDataFrame(rows, "gram long, n long")).collect()}
-    p = kneser_ney(counts)
-    for g in asked:
-        assert got[int.from_bytes(g, "big")] == pytest.approx(math.log(p(g)), abs=1e-5), g
-
-
-def test_ngrams_and_lookup():
-    texts = ["abc", "", "é"]
-    data = np.frombuffer("".join(texts).encode(), np.uint8)
-    key, at = ngrams(data, np.array([0, 3, 3, 5]))
-    want = [int.from_bytes(g, "big") for t in texts for g in grams_of(t)]
-    assert key.tolist() == want and at.tolist() == [0, 4, 5, 8]
-    keys = np.unique(np.random.default_rng(1).integers(0, 2**40, 3000, dtype=np.uint64))
-    table = Lookup(keys, np.arange(len(keys), dtype=np.float32))
-    assert table.get(keys).tolist() == list(range(len(keys)))
-    assert table.get(np.array([2**41, 2**42], np.uint64)).tolist() == [0, 0]
-
-
-def test_word_model_matches_a_plain_one(spark, monkeypatch):
-    from granary.llm import word_model
-
+@pytest.mark.parametrize("rows", [50, 10**6])
+def test_language_model_matches_a_plain_one(spark, monkeypatch, rows):
     rng = random.Random(3)
     vocab = [f"w{i}" for i in range(30)]
-    fit = [" ".join(rng.choice(vocab) for _ in range(rng.randrange(1, 40))) for _ in range(30)] + ["w1 w2, w3!", "Été w1"]
-    # the last two have the same words in another order, which 5 bytes of context can't tell apart
+    fit = [" ".join(rng.choice(vocab) for _ in range(rng.randrange(1, 40))) for _ in range(30)] + ["w1 w2, w3!", "Été w1", "w1 w2, w3!"]
     asked = fit[:5] + ["", None, "w3 new w4 w4 w1", "  ,, w1", "w1 w2, w3!", "w3 w2, w1!"]
-    toks = lambda t: ["<s>", "<s>", *__import__("re").findall(r"[0-9A-Za-z\x80-\U0010ffff]+|[^0-9A-Za-z\x80-\U0010ffff\s]+", t or ""), "</s>"]
-    grams = lambda t: [tuple(toks(t)[i : i + 3]) for i in range(len(toks(t)) - 2)]
-    counts = Counter(g for t in fit for g in grams(t))
-    monkeypatch.setattr(quality, "SYMBOLS", len({g[-1] for g in counts}) + 1)
-    p = kneser_ney(counts, 3)
-    want = [sum(math.log(p(g)) for g in grams(t)) for t in asked]
-    model = word_model.model(spark.createDataFrame([(t,) for t in fit], "_text string"), quality._discounts)
-    docs = spark.createDataFrame([(t, i) for i, t in enumerate(asked)], "_text string, doc_id long")
+    counts = Counter(g for t in fit for g in grams_of(t))
+    p = kneser_ney(counts, 2, len({g[-1] for g in counts}) + 1)
+    want = [sum(math.log(p(g)) for g in grams_of(t)) for t in asked]
     monkeypatch.setattr(word_model, "BLOCK_TEXTS", 2)
-    for rows in (50, 10**6):
-        got = {r.doc_id: r for r in word_model.scores(docs, model, rows).collect()}
-        assert [got[i]._lp for i in range(len(asked))] == pytest.approx(want, abs=1e-3)
-        assert [got[i]._tokens for i in range(len(asked))] == [len(grams(t)) - 1 for t in asked]
+    monkeypatch.setattr(word_model, "PACK_ROWS", 30)
+    model = word_model.model(spark.createDataFrame([(t,) for t in fit], "_text string").repartition(3), quality._discounts, rows)
+    docs = spark.createDataFrame([(t, i) for i, t in enumerate(asked)], "_text string, doc_id long").repartition(2)
+    got = {r.doc_id: r for r in word_model.scores(docs, model).collect()}
+    assert [got[i]._lp for i in range(len(asked))] == pytest.approx(want, abs=1e-4)
+    assert [got[i]._tokens for i in range(len(asked))] == [len(grams_of(t)) - 1 for t in asked]
+
 
 def corpus(n=400):
     rng = random.Random(4)
@@ -125,7 +98,6 @@ def test_quality_keeps_clean_and_drops_junk(spark, monkeypatch):
     assert all(r.kept == bool(r.n_bytes) for r in score(df, lb.limit(0)).collect())
 
 
-
 def test_thresholds_never_compare_languages(spark):
     rng = random.Random(5)
     sets = {"en": ["north", "river", "stone", "water", "light", "green"], "de": ["straße", "über", "wälder", "mühle", "höhe", "grün"], None: ["maison", "rivière", "été", "forêt", "pierre", "lumière"], "es": ["casa", "río", "piedra", "año", "montaña", "verde"]}
@@ -143,6 +115,7 @@ def test_thresholds_never_compare_languages(spark):
     assert all(r.threshold is None for r in got if r.lang == "es")
     assert len({r.threshold for r in got}) == 4
 
+
 SAMPLES = {
     "en": "the and of to in that with this from house water people",
     "de": "der die und das nicht mit ein auch haus wasser für über",
