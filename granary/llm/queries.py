@@ -91,15 +91,44 @@ def queries():
 
 _RULE_ROWS = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in ((r.split(" ")[0], r.split(" ")[1].split("/", 1)[0], "/" + r.split("/", 1)[1]) for r in RULES))
 
+_HOST = r"translate(regexp_extract({}, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PATH = r"regexp_extract({}, '^(?s:.*?)://[^/?#]*([^?#]*)', 1)"
+
+
+def _absolute(base: str, link: str, empty: str = "''") -> str:
+    return rf"""CASE WHEN {link} = '' THEN {empty} WHEN regexp_matches({link}, '^[A-Za-z][A-Za-z0-9+.\-]*:') THEN {link} WHEN starts_with({link}, '//') THEN regexp_extract({base}, '^([^:]*):', 1) || ':' || {link}
+                         WHEN starts_with({link}, '/') THEN regexp_extract({base}, '^(.*?://[^/?#]*)', 1, 's') || {link} WHEN starts_with({link}, '?') THEN regexp_extract({base}, '^([^?#]*)', 1) || {link}
+                         ELSE rtrim(regexp_extract({base}, '^(.*?://[^/?#]*(/[^?#]*/|/)?)', 1, 's'), '/') || '/' || {link} END"""
+
+
 ORACLE = {
+    # Aliases are walked to, edge by edge, from every url of a page.
     "op1_url_filter": rf"""
-        WITH p AS (SELECT page_id,
-                          translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-                          regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+        WITH RECURSIVE
+             tags AS (SELECT DISTINCT url, unnest(regexp_extract_all(regexp_replace(html, '<!--.*?(-->|$)', '', 'gs'), '<(?:link|meta|base)\b[^>]*>', 0, 'is')) AS t FROM pages WHERE url IS NOT NULL),
+             bases AS (SELECT url, any_value(regexp_extract(t, '\bhref\s*=\s*["'']?([^"''\s>]+)', 1, 'is')) AS base FROM tags WHERE regexp_matches(t, '^<base\b.*\bhref', 'is') GROUP BY url),
+             raw AS (SELECT url, CASE WHEN regexp_matches(t, '^<link\b.*?\srel\s*=\s*("([^"]*\s)?canonical(\s[^"]*)?"|''([^'']*\s)?canonical(\s[^'']*)?''|canonical[\s/>])', 'is') THEN regexp_extract(t, '\bhref\s*=\s*["'']?([^"''\s>]+)', 1, 'is')
+                                      WHEN regexp_matches(t, '^<meta\b.*\bhttp-equiv\s*=\s*["'']?refresh\b', 'is') THEN regexp_extract(t, '\burl\s*=\s*["'']?([^"''\s>]+)', 1, 'is') END AS link FROM tags),
+             based AS (SELECT raw.url, replace(link, '&amp;', '&') AS link, replace(coalesce(base, ''), '&amp;', '&') AS base FROM raw LEFT JOIN bases USING (url) WHERE link <> ''),
+             full_base AS (SELECT url, link, {_absolute("url", "base", empty="url")} AS base FROM based),
+             found AS (SELECT DISTINCT url AS src, {_absolute("base", "link")} AS dst FROM full_base),
+             named AS (SELECT src AS u FROM found UNION SELECT dst FROM found UNION SELECT url FROM pages WHERE url IS NOT NULL),
+             bare AS (SELECT u, regexp_replace(u, '#.*$', '', 's') AS b FROM named),
+             parts AS (SELECT u, b, regexp_extract(b, '^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?]*)([^?]*)(.*)$', ['scheme', 'host', 'path', 'rest'], 's') AS x FROM bare),
+             nodes AS (SELECT u, CASE WHEN x.scheme = '' THEN b ELSE lower(x.scheme) || '://' || lower(x.host) || CASE WHEN x.path = '' THEN '/' ELSE x.path END || x.rest END AS node FROM parts),
+             edge AS (SELECT a.node AS x, b.node AS y FROM found JOIN nodes a ON src = a.u JOIN nodes b ON dst = b.u),
+             both_ways AS (SELECT x, y FROM edge UNION SELECT y, x FROM edge),
+             reach(x, y) AS (SELECT x, x FROM both_ways UNION SELECT reach.x, both_ways.y FROM reach JOIN both_ways ON reach.y = both_ways.x),
+             p AS (SELECT page_id, url, {_HOST.format("coalesce(url, '')")} AS host, {_PATH.format("coalesce(url, '')")} AS path FROM pages),
              r(verdict, rhost, rpath) AS (VALUES {_RULE_ROWS}),
              m AS (SELECT page_id, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(verdict, length(rhost || rpath)) AS verdict
-                   FROM p JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id)
-        SELECT p.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN m USING (page_id)""",
+                   FROM p JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id),
+             q AS (SELECT DISTINCT node, {_HOST.format("node")} AS host, {_PATH.format("node")} AS path FROM nodes),
+             own AS (SELECT node, arg_max(verdict, length(rhost || rpath)) AS verdict
+                     FROM q JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY node),
+             passed AS (SELECT reach.x AS node, min(verdict) AS verdict FROM reach JOIN own ON own.node = reach.y GROUP BY reach.x)
+        SELECT p.page_id, host, path, rule, coalesce(m.verdict, passed.verdict, 'allow') AS verdict
+        FROM p LEFT JOIN m USING (page_id) LEFT JOIN nodes ON nodes.u = p.url LEFT JOIN passed ON passed.node = nodes.node""",
     "op4_decontamination": r"""
         WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
              bw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granary.llm.common import spread
 from granary.session import cut
 
 
@@ -72,7 +73,7 @@ def node(url: Column) -> Column:
 
 
 def absolute(base: Column, link: Column) -> Column:
-    """link as an absolute url: with a scheme as it is, // and / relative to base's scheme and host, else to base's folder."""
+    """link as an absolute url: with a scheme as it is, // and / relative to base's scheme and host, ? to base's path, else to base's folder."""
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1)
     root = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
     folder = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*(?:/[^?#]*/|/)?)", 1)
@@ -80,18 +81,23 @@ def absolute(base: Column, link: Column) -> Column:
         F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), link)
         .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
         .when(link.startswith("/"), F.concat(root, link))
+        .when(link.startswith("?"), F.concat(F.regexp_extract(base, r"(?s)^([^?#]*)", 1), link))
         .otherwise(F.concat(F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/"))), link))
     )
 
 
+#: A link whose relations, a list of words, have canonical among them.
+CANONICAL = r"""(?is)^<link\b.*?\srel\s*=\s*(?:"(?:[^"]*\s)?canonical(?:\s[^"]*)?"|'(?:[^']*\s)?canonical(?:\s[^']*)?'|canonical[\s/>])"""
+
+
 def links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(src, dst) urls of each page's canonical link and of its meta refresh, in whole pages; relative ones go by its <base href>, if any.
 
-    Null urls or pages, and pages without such a tag, give no edge.
+    Null urls or pages, and pages without such a tag outside comments, give no edge.
     """
-    url, html = F.col(url_col), F.col(html_col)
+    url, html = F.col(url_col), F.regexp_replace(F.col(html_col), r"(?s)<!--.*?(?:-->|$)", "")
     tags = F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta|base)\b[^>]*>"), 0)
-    canonical = F.filter(tags, lambda t: t.rlike(r"(?is)^<link\b.*\brel\s*=\s*[\"']?canonical\b"))
+    canonical = F.filter(tags, lambda t: t.rlike(CANONICAL))
     refresh = F.filter(tags, lambda t: t.rlike(r"(?is)^<meta\b.*\bhttp-equiv\s*=\s*[\"']?refresh\b"))
     href = F.transform(canonical, lambda t: F.regexp_extract(t, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
     goal = F.transform(refresh, lambda t: F.regexp_extract(t, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1))
@@ -106,7 +112,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
     """(node, root): the smallest node of each connected component, for nodes with an edge to another.
 
     Large-star and small-star steps until nothing changes; each step joins a node's neighbours with
-    the node's minimum (one row a node), so that a hub's edges can be split over tasks.
+    the node's minimum (one row a node, dealt anew), so that a hub's edges can be split over tasks.
     """
     edges = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
     edges = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
@@ -116,9 +122,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
             break
         both = edges.union(edges.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
-        star = both.join(low, F.col("u") == F.col("c")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        star = both.join(spread(low), F.col("u") == F.col("c")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = star.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), "m")
-        joined = star.join(low, F.col("u") == F.col("c"))
+        joined = star.join(spread(low), F.col("u") == F.col("c"))
         small = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select(F.col("c").alias("u"), F.col("m").alias("v")))
         edges = cut(small.distinct())
         now = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("v", "u").cast("decimal(20,0)"))).first()
@@ -144,14 +150,12 @@ def url_filter(pages: DataFrame, rules: list[str], edges: DataFrame | None = Non
     rows = pages.select(F.col(id_col).alias("page_id"), url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"))
     rule, verdict = matched(F.col("host"), F.col("path"), rules)
     rows = rows.select("*", rule.alias("rule"), verdict.alias("_own"))
-    if found.isEmpty():
-        return rows.select("page_id", "url", "host", "path", "rule", F.coalesce("_own", F.lit("allow")).alias("verdict"), F.lit(False).alias("spread"))
     roots = cut(components(found.select(node(F.col("src")).alias("a"), node(F.col("dst")).alias("b"))))
     # Every url that the graph names is judged, page or not.
     urls = found.select(F.col("src").alias("u")).union(found.select(F.col("dst").alias("u"))).distinct()
     _, own = matched(host_of(normal(F.col("u"))), path_of(normal(F.col("u"))), rules)
     named = urls.select(node(F.col("u")).alias("node"), own.alias("own")).filter("own is not null")
-    judged = named.join(roots, "node").groupBy("root").agg(F.max(F.when(F.col("own") == "allow", 2).otherwise(1)).alias("rank"))
+    judged = named.join(spread(roots), "node").groupBy("root").agg(F.max(F.when(F.col("own") == "allow", 2).otherwise(1)).alias("rank"))
     passed = roots.join(judged, "root").select(F.col("node").alias("_node"), F.when(F.col("rank") == 2, "allow").otherwise("block").alias("_passed"))
     rows = rows.withColumn("_n", node(F.col("url")))
     out = rows.join(passed, F.col("_n") == F.col("_node"), "left")

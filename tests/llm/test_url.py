@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from granary.llm.queries import RULES
+from granary.llm.queries import RULES, oracle_sql, queries
 from granary.llm.url_filter import components, normal, parse_rule, url_filter
 
 SCHEMA = "page_id long, url string, html string, node string, root string"
@@ -92,3 +92,37 @@ def test_components_match_union_find(spark):
 def test_bad_rules():
     with pytest.raises(ValueError):
         parse_rule("deny com/")
+
+
+@pytest.mark.parametrize(
+    ("alias", "html", "blocked"),
+    [
+        ("http://bad.com/x?a=1", canonical("?b=2"), False),
+        ("http://alias.info/q", '<link rel="up canonical" href="http://bad.com/en/1">', True),
+        ("http://alias.info/q", "<link rel=canonical href=http://bad.com/en/1>", True),
+        ("http://alias.info/q", '<link rel="noncanonical" href="http://bad.com/en/1">', False),
+        ("http://alias.info/q", "<!-- " + canonical("http://bad.com/en/1") + " -->", False),
+    ],
+)
+def test_links_that_count(spark, alias, html, blocked):
+    got = {r.page_id: r.verdict for r in url_filter(spark.createDataFrame([page(1, "http://bad.com/en/1"), page(2, alias, html)], SCHEMA), RULES).collect()}
+    assert got == {1: "block", 2: "block" if blocked else "allow"}
+
+
+def test_sql_walks_the_same_edges(spark, tmp_path):
+    """The registered SQL against the query on pages full of redirects: chains, rings, hubs, mixed decisions."""
+    duckdb = pytest.importorskip("duckdb")
+    rng = random.Random(8)
+    hosts = ["bad.com", "www.example.com", "q.net", "example.net", "org", "free.info", "Alias.INFO"]
+    url = lambda: f"{rng.choice(['http', 'HTTPS'])}://{rng.choice(hosts)}{rng.choice(['/en/', '/de/', '/es/', '/x/'])}{rng.randrange(12)}{rng.choice(['', '?p', '#f'])}"
+    link = lambda: rng.choice([url(), url(), f"/en/{rng.randrange(9)}", f"{rng.randrange(9)}", "?z", "//free.info/x/1"])
+    html = lambda: rng.choice([None, "", canonical(link()), f"<META content='0;URL={link()}' http-equiv='refresh'>", f"<base href='{url()}'>" + canonical(link()), f"<!--{canonical(url())}-->"])
+    pages = [(i, url(), html()) for i in range(250)] + [(300, None, canonical("http://bad.com/en/1")), (301, "", None), (302, "http://free.info", canonical("http://bad.com/en/1"))]
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    got = queries()["op1_url_filter"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    want = con.execute(oracle_sql()["op1_url_filter"]).fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    spread = url_filter(spark.createDataFrame(pages, "page_id long, url string, html string"), RULES).filter("spread").groupBy("verdict").count().collect()
+    assert {r.verdict for r in spread} == {"allow", "block"}
