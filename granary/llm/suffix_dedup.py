@@ -11,16 +11,17 @@ grows with a common passage.
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import BASE, bounded_join, chunks, flat, keyed_join, lean, mix, prefix_hash, spread
+from granary.llm.common import BASE, bounded_join, chunks, drop, flat, freed, keyed_join, kept, lean, mix, prefix_hash, spread
 from granary.llm.ngram_join import _groups
 from granary.llm.sais import pack, permuted_common_prefixes, suffix_arrays
-from granary.session import cut
+from granary.session import cut, shared_dir
 
 LENGTH = 400
 #: An anchor is this part of a string: 2 (half) cost the least on the check tables; shorter ones recur more often by themselves.
@@ -75,8 +76,19 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int):
 
 
 def _anchored(length):
+    """Rows of (k, text) -> the anchors of each different text of the task."""
+
     def run(batches):
+        seen: set[bytes] = set()
         for batch in chunks(batches, "text"):
+            new = []
+            for i, k in enumerate(batch.column(0).to_pylist()):
+                if k not in seen:
+                    seen.add(k)
+                    new.append(i)
+            if not new:
+                continue
+            batch = batch.take(pa.array(new))
             h, c, text, first, last, place = anchors(*flat(batch.column(1)), length)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), batch.column(0).take(pa.array(text)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array((place - first).astype(np.int32))], names=["shard", "context", "k", "first", "last", "lead"])
 
@@ -256,24 +268,34 @@ def _resolve(ctx: DataFrame, rows: DataFrame, length: int, splits, parts: int) -
 
 def repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text") -> DataFrame:
     """k (hash of a text), starts (array of first and last start of windows that recur): one row for each text with one."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folder = f"{shared_dir(spark).rstrip('/')}/repeats-{uuid.uuid4().hex}"
     texts = lean(docs).filter(F.octet_length(text_col) >= length).select(F.unhex(F.md5(text_col)).alias("k"), F.col(text_col).alias("text"))
-    every = texts.mapInArrow(_anchored(length), "shard long, context long, k binary, first int, last int, lead int")
-    twice = every.groupBy("shard").agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col("shard").alias("_shard"))
-    met = cut(every.join(spread(twice), F.col("shard") == F.col("_shard")).drop("_shard"))
-    rows = met.groupBy("shard", "context").agg(F.count("*").alias("n"), F.min(F.struct("k", "first", "last", "lead")).alias("one"))
-    sizes = met.select("shard", "context").distinct().groupBy("shard").agg(F.count("*").alias("m"))
-    rows = cut(rows.join(spread(sizes), "shard").select("shard", "context", "n", "m", "one.*").withColumn("size", F.col("last") - F.col("first") + length))
-    wanted = rows.filter("m > 1").groupBy("k").agg(F.collect_list(F.struct("shard", "context", "first", "last", "lead")).alias("wanted"))
-    sources = keyed_join(texts.withColumnRenamed("k", "_k"), cut(wanted), "_k", "k")
-    ctx = sources.select("text", "wanted").mapInArrow(_contexts(length), "shard long, context long, lead int, bytes binary")
-    # Copies of a text send the same contexts.
-    ctx = cut(ctx.dropDuplicates(["shard", "context"]).join(spread(rows.filter("m > 1").select("shard", "m").distinct()), "shard"))
-    found = cut(_resolve(ctx, rows, length, SPLITS, parts))
-    hits = met.join(found.groupBy("shard", "context").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), ["shard", "context"])
-    place = F.col("first") + F.col("lead")
-    spans = F.transform("ranges", lambda r: F.struct((place - r["high"]).alias("first"), (place - r["low"]).alias("last")))
-    return cut(hits.select("k", "first", spans.alias("s")).groupBy("k", "first").agg(F.first("s").alias("s")).groupBy("k").agg(F.array_sort(F.flatten(F.collect_list("s"))).alias("starts")))
+    with freed(spark):
+        # All of a text with a copy recurs; of the copies in one task the anchors of one do.
+        copied = texts.groupBy("k").agg(F.count("*").alias("n"), F.first(F.octet_length("text")).alias("size")).filter("n > 1")
+        copied = kept(copied.select("k", F.array(F.struct(F.lit(0).alias("first"), (F.col("size") - length).alias("last"))).alias("s")), f"{folder}/copied")
+        every = kept(texts.mapInArrow(_anchored(length), "shard long, context long, k binary, first int, last int, lead int"), f"{folder}/anchors")
+        twice = every.groupBy("shard").agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col("shard").alias("_shard"))
+        met = kept(every.join(spread(twice), F.col("shard") == F.col("_shard")).drop("_shard"), f"{folder}/met")
+        drop(spark, f"{folder}/anchors")
+        rows = met.groupBy("shard", "context").agg(F.count("*").alias("n"), F.min(F.struct("k", "first", "last", "lead")).alias("one"))
+        sizes = met.select("shard", "context").distinct().groupBy("shard").agg(F.count("*").alias("m"))
+        rows = cut(rows.join(spread(sizes), "shard").select("shard", "context", "n", "m", "one.*").withColumn("size", F.col("last") - F.col("first") + length))
+        wanted = rows.filter("m > 1").groupBy("k").agg(F.collect_list(F.struct("shard", "context", "first", "last", "lead")).alias("wanted"))
+        sources = keyed_join(texts.withColumnRenamed("k", "_k"), cut(wanted), "_k", "k")
+        ctx = sources.select("text", "wanted").mapInArrow(_contexts(length), "shard long, context long, lead int, bytes binary")
+        # Copies of a text send the same contexts.
+        ctx = cut(ctx.dropDuplicates(["shard", "context"]).join(spread(rows.filter("m > 1").select("shard", "m").distinct()), "shard"))
+        found = cut(_resolve(ctx, rows, length, SPLITS, parts))
+        ranges = spread(found.groupBy("shard", "context").agg(F.flatten(F.collect_list("ranges")).alias("ranges")))
+        place = F.col("first") + F.col("lead")
+        spans = F.transform("ranges", lambda r: F.struct((place - r["high"]).alias("first"), (place - r["low"]).alias("last")))
+        hits = met.join(ranges, ["shard", "context"]).select("k", "first", spans.alias("s")).groupBy("k", "first").agg(F.first("s").alias("s")).select("k", "s")
+        out = cut(hits.unionByName(copied).groupBy("k").agg(F.array_sort(F.flatten(F.collect_list("s"))).alias("starts")))
+    drop(spark, folder)
+    return out
 
 
 def _removed(length):
