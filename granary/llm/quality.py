@@ -22,7 +22,7 @@ QUANTILE = 0.99
 #: So many trusted documents weigh as much in a language's threshold as the spread that all languages share.
 PRIOR = 100
 #: n-grams in one shard of the model at most on average.
-SHARD_ROWS = 250_000
+SHARD_ROWS = 4_000_000
 
 
 def _discounts(table: DataFrame) -> tuple[float, float, float]:

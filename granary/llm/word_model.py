@@ -20,7 +20,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm.common import _WORD, chunks, drop, flat, freed, kept, mix, prefix_hash, spread
@@ -118,8 +118,15 @@ def _off(d):
     return F.when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2])
 
 
+def _width(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def model(texts: DataFrame, discounts, shard_rows: int) -> Model:
-    """The model of column _text; discounts gives the three of a table with counts c."""
+    """The model of column _text; discounts gives the three of a table with counts c.
+
+    Each shuffle partition has a shard, or several where that would be more than shard_rows n-grams.
+    """
     spark = texts.sparkSession
     folder = f"{shared_dir(spark).rstrip('/')}/words-{uuid.uuid4().hex}"
     with freed(spark):
@@ -139,7 +146,8 @@ def model(texts: DataFrame, discounts, shard_rows: int) -> Model:
         n = F.col("n")
         p1 = t1.select("w", (F.greatest(n - _off(d), F.lit(0.0)) / total + base).alias("p1"))
         d = discounts(every.select(F.col("n").alias("c")))
-        shards = max(1, math.ceil((total + 2 * size) / shard_rows))  # total: the number of different pairs
+        # total is the number of different pairs
+        shards = max(_width(spark), math.ceil((total + 2 * size) / shard_rows))
         pack = lambda df, name: df.select("x", "y", F.col("v").cast("float").alias("v")).mapInArrow(_pack(shards), DEALT).write.option("compression", "zstd").parquet(f"{folder}/packed/{name}")
         no = F.lit(None).cast("long")
         pack(p1.select(F.col("w").alias("x"), no.alias("y"), (F.log("p1") - math.log(base)).alias("v")), "words")
@@ -284,7 +292,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
     spark = docs.sparkSession
     fields = [f for f in docs.schema.fields if f.name != "_text"]
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    width = _width(spark)
     own = F.pmod(F.xxhash64(*(f.name for f in fields)), F.lit(TEXT_SLICES))
     out = []
     with freed(spark):
@@ -292,7 +300,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
             dealt = docs.filter(own == s).mapInArrow(_deal(model.shards), DEALT)
             if model.unknown:
                 dealt = dealt.unionByName(spark.read.schema(DEALT).parquet(f"{model.folder}/packed/*"))
-            sums = dealt.repartition(width, "shard").sortWithinPartitions("shard", "kind").mapInArrow(_sum, SUMS)
+            sums = dealt.repartitionById(model.shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(_sum, SUMS)
             rows = sums.repartition(width, "part").sortWithinPartitions("part", "kind").mapInArrow(_add(model.unknown), f"{columns}, _tokens long, _lp double")
             out.append(kept(rows, f"{model.folder}/scored/{s}"))
         every = out[0]
