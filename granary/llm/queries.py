@@ -142,6 +142,36 @@ ORACLE = {
              it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY doc_id)
         SELECT dw.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM dw LEFT JOIN c USING (doc_id) LEFT JOIN it USING (doc_id)""",
+    # Windows of 400 bytes are 800 hexadecimal digits, grouped by their MD5 as a number.
+    "op7_suffix_dedup": r"""
+        WITH d AS (SELECT doc_id, row_number() OVER () AS k, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+             w AS (SELECT k, i, md5_number(substr(h, 2 * i + 1, 800)) AS g FROM (SELECT k, h, unnest(range(length(h) // 2 - 399)) AS i FROM d WHERE length(h) >= 800)),
+             hit AS (SELECT k, i, i - lag(i) OVER (PARTITION BY k ORDER BY i) <= 400 AS goes_on FROM w SEMI JOIN (SELECT g FROM w GROUP BY g HAVING count(*) > 1) USING (g)),
+             run AS (SELECT k, min(i) AS start, max(i) + 400 AS stop FROM (SELECT k, i, sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY k ORDER BY i) AS r FROM hit) GROUP BY k, r),
+             piece AS (SELECT k, start, stop, coalesce(lag(stop) OVER (PARTITION BY k ORDER BY start), 0) AS before FROM run),
+             gone AS (SELECT k, sum(stop - start)::BIGINT AS n_removed, count(*) AS n_spans, max(stop) AS tail, string_agg(substr(h, 2 * before + 1, 2 * (start - before)), '' ORDER BY start) AS head FROM piece JOIN d USING (k) GROUP BY k)
+        SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(CASE WHEN tail IS NULL THEN h ELSE head || substr(h, 2 * tail + 1) END)) AS kept_sha256
+        FROM d LEFT JOIN gone USING (k)""",
+    # Classes of equal shingle sets, their pairs by a join on shingles, and a walk over the links.
+    "op8_ngram_join": r"""
+        WITH RECURSIVE
+             t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+             s AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i : i + 4], ' ')))) AS s FROM t WHERE len(w) > 0),
+             c AS (SELECT s, min(doc_id) AS class, count(*) AS size, len(s) AS n FROM s GROUP BY s),
+             e AS (SELECT class, unnest(s) AS g FROM c),
+             shared AS (SELECT a.class AS a, b.class AS b, count(*) AS k FROM e a JOIN e b ON a.g = b.g AND a.class <> b.class GROUP BY 1, 2),
+             link AS (SELECT a, b FROM shared JOIN c x ON x.class = a JOIN c y ON y.class = b WHERE k >= 0.8 * (x.n + y.n - k) - 1e-9),
+             reach(a, b) AS (SELECT class, class FROM c UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+             root AS (SELECT a AS class, min(b) AS class_id FROM reach GROUP BY a),
+             others AS (SELECT a AS class, sum(size)::BIGINT AS n FROM link JOIN c ON class = b GROUP BY a)
+        SELECT t.doc_id, coalesce(class_id, t.doc_id) AS class_id, coalesce(size - 1 + coalesce(others.n, 0), 0) AS n_links, coalesce(size - 1, 0) AS n_copies
+        FROM t LEFT JOIN s USING (doc_id) LEFT JOIN c USING (s) LEFT JOIN root USING (class) LEFT JOIN others USING (class)""",
+    # 40 hexadecimal digits are 160 bits: 32 digits of base 32.
+    "op9_warc": r"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+             b AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda i: substr('0000000100100011010001010110011110001001101010111100110111101111', 4 * strpos('0123456789abcdef', substr(sha1(h), i, 1)) - 3, 4)), '') AS bits FROM p),
+             f AS (SELECT *, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(5), lambda j: (substr(bits, 5 * i + j + 1, 1) = '1')::INT * (16 >> j)))::INT, 1)), '') AS digest, min(page_id) OVER (PARTITION BY h) AS first FROM b)
+        SELECT page_id, octet_length(encode(h)) AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f""",
     "op10_exact_dedup": r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents)
         SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size, row_number() OVER w = 1 AS kept, sha256(norm) AS text_sha256
