@@ -2,7 +2,8 @@
 
 Features are hashed counts of byte pairs and triples of the whole text, scaled to unit length.
 Training takes at most `per_lang` labelled documents of each language, those with the smallest hash
-of their id; prediction sees the text alone.
+of their id, and every machine is trained in a task of its own; only weights come to the driver.
+Prediction sees the text alone.
 """
 
 from __future__ import annotations
@@ -13,9 +14,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.llm.common import chunks, flat, lean
+from granary.session import cut
 
 DIM = 4096
 PER_LANG = 1200
+#: Documents of all languages that train the machine of a family at most (but 50 of each language).
+FAMILY_ROWS = 6000
 
 #: Families of languages by ISO 639-1 code. A language that isn't listed is of family "other".
 FAMILIES = {
@@ -70,42 +74,51 @@ def features(data: np.ndarray, offsets: np.ndarray, dim: int = DIM) -> np.ndarra
 
 
 def linear_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, steps: int = 150) -> tuple[np.ndarray, float]:
-    """Weights and bias of min |w|^2/2 + c*mean(max(0, 1 - y f)^2)*n_eff by accelerated gradient; y in {-1, 1}."""
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32) * c * 100
+    """(w, b) of least |w|^2/2 + c*50*(mean squared hinge loss of either side), by accelerated gradients; y in {-1, 1}."""
+    weight = (np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * c * 100).astype(np.float32)
+    y = y.astype(np.float32)
     w, b = np.zeros(x.shape[1], np.float32), np.float32(0)
     vw, vb, t = w, b, 1.0
-    rate = 1.0 / (1.0 + 2 * weight.sum() * 2)
+    rate = np.float32(1.0 / (1.0 + 2 * float(weight.sum()) * 2))
     for _ in range(steps):
         slack = np.maximum(0, 1 - y * (x @ vw + vb)) * y * weight
         nw = vw - rate * (vw - 2 * (slack @ x))
         nb = vb + rate * 2 * slack.sum()
         nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        vw, vb = nw + (t - 1) / nt * (nw - w), nb + (t - 1) / nt * (nb - b)
-        w, b, t = nw.astype(np.float32), np.float32(nb), nt
+        go = np.float32((t - 1) / nt)
+        vw, vb = nw + go * (nw - w), nb + go * (nb - b)
+        w, b, t = nw, nb, nt
     return w, float(b)
 
 
+class Plan:
+    """The machines to be trained: one of each family against the others, and one of each two languages of a family."""
+
+    def __init__(self, names: list[str]):
+        self.names = sorted(names)
+        self.families = sorted({family(v) for v in self.names})
+        self.members = {f: [v for v in self.names if family(v) == f] for f in self.families}
+        self.jobs = [(f,) for f in self.families] if len(self.families) > 1 else []
+        self.jobs += [(f, a, b) for f, m in self.members.items() for i, a in enumerate(m) for b in m[i + 1 :]]
+
+    def rows(self, per_lang: int) -> list[tuple[str, int, int, int]]:
+        """(language, job, side, documents of it at most) for each language of each job."""
+        shared = min(per_lang, max(50, FAMILY_ROWS // max(1, len(self.names))))
+        out = []
+        for j, (f, *two) in enumerate(self.jobs):
+            langs = two or self.names
+            out += [(v, j, 1 if v == two[0] else -1, per_lang) if two else (v, j, 1 if family(v) == f else -1, shared) for v in langs]
+        return out
+
+
 class Model:
-    def __init__(self, x: np.ndarray, langs: list[str]):
-        names = sorted(set(langs))
-        lang = np.array([names.index(v) for v in langs])
-        fam_of = np.array([family(v) for v in names])
-        self.families = sorted(set(fam_of))
-        self.members = {f: [v for v, g in zip(names, fam_of, strict=True) if g == f] for f in self.families}
-        self.family_w = self._fit(x, [np.where(fam_of[lang] == f, 1, -1) for f in self.families]) if len(self.families) > 1 else None
-        self.pairs = {}
-        for f, members in self.members.items():
-            pairs = [(a, b) for i, a in enumerate(members) for b in members[i + 1 :]]
-            fits = []
-            for a, b in pairs:
-                rows = np.isin(lang, [names.index(a), names.index(b)])
-                fits.append(self._fit(x[rows], [np.where(lang[rows] == names.index(a), 1, -1)]))
-            self.pairs[f] = (pairs, np.concatenate([w for w, _ in fits], axis=1), np.concatenate([b for _, b in fits])) if pairs else None
-
-    @staticmethod
-    def _fit(x, targets):
-        got = [linear_svm(x, y.astype(np.float32)) for y in targets]
-        return np.stack([w for w, _ in got], axis=1), np.array([b for _, b in got], np.float32)
+    def __init__(self, plan: Plan, fits: list[tuple[np.ndarray, float]]):
+        """fits: weights and bias of each of the plan's jobs."""
+        self.families, self.members = plan.families, plan.members
+        stack = lambda js: (np.stack([fits[j][0] for j in js], axis=1), np.array([fits[j][1] for j in js], np.float32))
+        of = {f: [j for j, job in enumerate(plan.jobs) if len(job) == 3 and job[0] == f] for f in self.families}
+        self.family_w = stack(range(len(self.families))) if len(self.families) > 1 else None
+        self.pairs = {f: ([plan.jobs[j][1:] for j in js], *stack(js)) if js else None for f, js in of.items()}
 
     def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
         """Languages, and scores in 0..1: the weakest of the logistic margins that led there."""
@@ -163,11 +176,25 @@ def train(labelled: DataFrame, per_lang: int = PER_LANG, id_col: str = "doc_id",
 
     sparse = rows.mapInArrow(run, "h long, lang string, at binary, value binary")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "at", "value"))
-    got = sparse.withColumn("rank", rank).filter(F.col("rank") <= per_lang).orderBy("lang", "rank").select("lang", "at", "value").collect()
-    x = np.zeros((len(got), DIM), np.float32)
-    for i, r in enumerate(got):
-        x[i, np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["value"], np.float16)
-    return Model(x, [r["lang"] for r in got])
+    sample = sparse.withColumn("rank", rank).filter(F.col("rank") <= per_lang).select("lang", "rank", "at", "value")
+
+    plan = Plan(list(counts))
+    if not plan.jobs:
+        return Model(plan, [])
+
+    def fit(pdf):
+        import pandas as pd
+
+        x = np.zeros((len(pdf), DIM), np.float32)
+        for i, (at, value) in enumerate(zip(pdf["at"], pdf["value"], strict=True)):
+            x[i, np.frombuffer(at, np.uint16)] = np.frombuffer(value, np.float16)
+        w, b = linear_svm(x, pdf["side"].to_numpy())
+        return pd.DataFrame({"job": pdf["job"][:1], "w": [w.tobytes()], "b": [b]})
+
+    jobs = labelled.sparkSession.createDataFrame(plan.rows(per_lang), "lang string, job int, side int, most int")  # as many as the plan has
+    work = cut(sample).join(F.broadcast(jobs), "lang").filter("rank <= most")
+    got = {r["job"]: (np.frombuffer(r["w"], np.float32), r["b"]) for r in work.groupBy("job").applyInPandas(fit, "job int, w binary, b double").collect()}
+    return Model(plan, [got[j] for j in range(len(plan.jobs))])
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -147,6 +147,40 @@ def test_language_identification_held_out(spark):
     assert family("pt-BR") == "romance" and family("zz") == "other"
 
 
+def test_machines_reach_the_least_loss_and_are_trained_on_the_plans_rows(spark):
+    """Against plain gradient descent on the same features, and train() against fits made here."""
+    rng = np.random.default_rng(1)
+    x = langid.features(*_flat([" ".join(rng.choice(SAMPLES[v].split(), 12)) for v in ("en", "de") * 30]))
+    y = np.tile([1, -1], 30)
+
+    def loss(w, b):
+        hinge = np.maximum(0, 1 - y * (x @ w + b)) ** 2
+        return w @ w / 2 + 500 * (hinge[y > 0].mean() + hinge[y < 0].mean())
+
+    w, b = np.zeros(x.shape[1]), 0.0
+    for _ in range(20_000):
+        slack = np.maximum(0, 1 - y * (x @ w + b)) * y * 500 / 30
+        w, b = w - 2e-4 * (w - 2 * slack @ x), b + 2e-4 * 2 * slack.sum()
+    assert loss(*langid.linear_svm(x, y)) <= 1.02 * loss(w, b)
+
+    rows = [(i, " ".join(rng.choice(SAMPLES[v].split(), 12)), v) for i, v in enumerate(["en", "de", "fr"] * 10)]
+    model = train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_lang=100)
+    f = langid.features(*_flat([t for _, t, _ in rows])).astype(np.float16).astype(np.float32)
+    side = np.array([1 if v != "fr" else -1 for *_, v in rows])
+    want, _ = langid.linear_svm(f, side)
+    assert model.families == ["germanic", "romance"]
+    assert model.family_w[0][:, 0] == pytest.approx(want, abs=1e-3)
+    two = np.array([v != "fr" for *_, v in rows])
+    want, _ = langid.linear_svm(f[two], np.array([1 if v == "de" else -1 for *_, v in rows])[two])
+    assert model.pairs["germanic"][0] == [("de", "en")] and model.pairs["germanic"][1][:, 0] == pytest.approx(want, abs=1e-3)
+    assert langid.Plan(["de", "en", "nl", "fr"]).rows(100)[:4] == [("de", 0, 1, 100), ("en", 0, 1, 100), ("fr", 0, -1, 100), ("nl", 0, 1, 100)]
+
+
+def _flat(texts):
+    raw = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+
+
 @pytest.fixture(scope="module")
 def book():
     return secret_scan.Dictionary("water stone river light house under example changeme class import".split())
