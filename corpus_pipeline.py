@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from granary.llm import bpe, decontam, exact_dedup, ngram_join, quality
+from granary.llm.common import drop
 from granary.llm.queries import _ranks
 from granary.session import load, shared_dir
 
@@ -44,11 +45,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents; each result is written as Parquet in the shared folder and read again."""
+    """The stages applied to documents; each result is written as Parquet in the shared folder and read again.
+
+    A stage's table goes once the next one is written; the last is the result, in a folder of its own
+    (what Spark reads lazily can't be removed here).
+    """
     out = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = load(spark, sf_dir, "documents")
+    docs, before = load(spark, sf_dir, "documents"), None
     for i, (name, stage) in enumerate(STAGES):
         path = f"{out}/{i}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            drop(spark, before)
+        before = path
     return docs
