@@ -195,6 +195,119 @@ def test_secret_features_and_spans(book):
     assert s.tolist() == [0, 20] and e.tolist() == [20, 40]
 
 
+def plain_candidates(text):
+    """The rules of candidates(), character by character and with none of its expressions."""
+    raw = (text or "").encode()
+    visible, closing = set(range(0x21, 0x7F)), b".,;:)]}>"
+    low, values, at = raw.lower(), [], 0
+
+    def value_after(i):
+        """The value that follows a secret word ending at i, or None."""
+        while i < len(raw) and (chr(low[i]).isalnum() and raw[i] < 128 or raw[i] in b"_-"):
+            i += 1
+        if i < len(raw) and raw[i] in b"\"'`":
+            i += 1
+        if i < len(raw) and raw[i] == ord("]"):
+            i += 1
+        j = i
+        while j < len(raw) and raw[j] in b" \t" and j - i < 8:
+            j += 1
+        signs = [k for k in (b"=>", b":=", b"==", b"=", b":") if raw.startswith(k, j)]
+        if signs:
+            k = j + len(signs[0])
+        elif j > i:
+            k = j
+        else:
+            return None
+        start = k
+        while k < len(raw) and raw[k] in b" \t" and k - start < 8:
+            k += 1
+        for quote in b"\"'":
+            if k < len(raw) and raw[k] == quote:
+                e = k + 1
+                while e < len(raw) and raw[e] in visible and raw[e] != quote:
+                    e += 1
+                return (k + 1, e) if e - k - 1 >= 6 else None
+        k += raw[k : k + 1] == b"`"
+        e = k
+        while e < len(raw) and raw[e] in visible and raw[e] not in b"\"'`":
+            e += 1
+        if e - k < 6:
+            return None
+        return k, e
+
+    while at < len(raw):
+        here = [(m, at + len(w)) for w in secret_scan.SECRET_WORDS if low.startswith(w.encode(), at) for m in [value_after(at + len(w))] if m]
+        if not here:
+            at += 1
+            continue
+        (a, b), _ = here[0]
+        quoted = raw[a - 1 : a] in (b'"', b"'")
+        stop = b
+        while not quoted and stop > a and raw[stop - 1] in closing:
+            stop -= 1
+        if stop - a >= 6:
+            values.append((a, stop))
+        at = max(stop, at + 1)
+    token = set(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
+    i, out = 0, list(values)
+    while i < len(raw):
+        if raw[i] not in token:
+            i += 1
+            continue
+        j = i
+        while j < len(raw) and raw[j] in token:
+            j += 1
+        a, b = i, j
+        if j - i >= 16:
+            while a < b and raw[a] == 45:
+                a += 1
+            while b > a and raw[b - 1] == 45:
+                b -= 1
+            part = raw[a:b].decode()
+            mixed = any(c.isdigit() for c in part) or any(c.islower() for c in part) and any(c.isupper() for c in part)
+            if b - a >= 16 and mixed and not any(x < b and a < y for x, y in values):
+                out.append((a, b))
+        i = j
+    return sorted(out)
+
+
+def test_secret_candidates_match_plain_rules(spark, book):
+    rng = random.Random(13)
+    bits = ["password", "api_key", "Token", "the", "=", ":", " ", "  ", '"', "'", "`", "Tr0ub4dor3", "hunter2!", "a.b.c", "été", "\n", "=>", ":=", "-", "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda", "AbcDefGhiJklMnoPq", "x" * 20, "1234567", ";", "]", "secret", "bearer", "ab"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 25))) for _ in range(400)]
+    texts += [None, "", "w " * 3000 + 'password = "Tr0ub4dor3"', 'token: "eyJhbGciOi.eyJzdWIi.SflKxw"', "password hunter22", "Authorization: Bearer abcdef123456"]
+    df = spark.createDataFrame([(i, t, "src") for i, t in enumerate(texts)], "doc_id long, text string, source string").repartition(3)
+    got = {}
+    for r in secret_scan.candidates(df, book).collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.end))
+        assert texts[r.doc_id].encode()[r.start : r.end].decode() == r.candidate
+    for i, t in enumerate(texts):
+        assert sorted(got.get(i, [])) == plain_candidates(t), t
+
+
+def test_findings_are_bounded_by_hash_and_split(spark, book):
+    found = secret_scan.sample_findings(1000)
+    rows = sorted(found, key=lambda f: f[4])
+    few = secret_scan.bounded(rows, 100)
+    assert sum(f[4] for f in few) == 50 and sorted(few) == sorted(secret_scan.bounded(found, 100))
+    assert len(secret_scan.bounded(rows[:520], 100)) == 100 and len(secret_scan.bounded(rows, 5000)) == 1000
+    fit, held = secret_scan.split(found + found[:10])
+    assert 150 < len(held) < 350 and not {f[:4] for f in fit} & {f[:4] for f in held}
+    assert min(secret_scan.evaluate(spark, secret_scan.sample_findings(3000), book).values()) > 0.85
+
+
+def test_planted_tokens_of_the_given_documents_are_found(spark, sf):
+    """Every 40-digit value of a token in the smallest generated table is a candidate, and is flagged."""
+    import public_tokenizers
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    words = secret_scan.dictionary(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    planted = {(r.doc_id, t) for r in docs.collect() for t in re.findall(r'token = "([0-9a-f]{40})"', r.text or "")}
+    out = secret_scan.scan(docs, secret_scan.train(spark, secret_scan.sample_findings(), words), words)
+    assert planted <= {(r.doc_id, r.candidate) for r in out.filter("secret").collect()}
+
+
 def test_secret_forest_held_out(spark, book):
     found = secret_scan.sample_findings(3000)
     model = secret_scan.train(spark, found[:2000], book)
