@@ -203,3 +203,20 @@ def standard_scale(df: DataFrame, vector: str, by: list[str] | None = None, popu
 def positions(df: DataFrame, vector: str, *keep: str) -> DataFrame:
     """One row for each position: keep, pos (from 0), x."""
     return df.select(*keep, F.posexplode(dense(vector)).alias("pos", "x"))
+
+
+def mean_vector(v: Column) -> Column:
+    """Aggregate: the mean of vectors of one length, summed whole before the shuffle (no row a position)."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    return vector_to_array(Summarizer.mean(array_to_vector(v)))
+
+
+def spread_vector(v: Column) -> Column:
+    """Aggregate: by position the sum of squared distances from the mean of vectors of one length, found without subtracting large sums."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    n = F.count(v)
+    return F.transform(vector_to_array(Summarizer.variance(array_to_vector(v))), lambda x: x * (n - 1))

@@ -6,10 +6,16 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.functions.vectors import dense, one_hot
+from granary.functions.vectors import dense, mean_vector, one_hot
+from granary.operators.ranks import largest, ranked
+from granary.session import cut
+
+
+#: Rows of a group that the sequential reductions take into one worker at most.
+WORKER_ROWS = 2_000_000
 
 
 def levels_for(n: int, upper: int, whole: bool = False) -> int:
@@ -21,16 +27,16 @@ def levels_for(n: int, upper: int, whole: bool = False) -> int:
 def median_split(df: DataFrame, features: list[Column], key: str, by: list[str] | None = None) -> DataFrame:
     """df with bucket string: one bit for each feature. The lower floor(n/2) rows of a bucket by the feature, then the key, get 0.
 
-    One window a level, over the buckets so far: a bucket halves each time, so only the first level
-    of an ungrouped split sees all rows in one place; see split_large for that case.
+    One ranking a level, over the buckets so far. A bucket halves each time, so the largest one is
+    counted once; levels of large buckets are ranked over many tasks.
     """
     by = by or []
     out = df.withColumn("bucket", F.lit(""))
+    most = largest(df, by) if features else 0
     for f in features:
-        w = Window.partitionBy(*by, "bucket")
-        rank = F.row_number().over(w.orderBy(f, key))
-        out = out.withColumn("_bit", (rank > F.floor(F.count("*").over(w) / 2)).cast("int"))
-        out = out.withColumn("bucket", F.concat("bucket", F.col("_bit").cast("string"))).drop("_bit")
+        out = ranked(out, [*by, "bucket"], [f, F.col(key)], most)
+        out = out.withColumn("bucket", F.concat("bucket", (F.col("_r") > F.floor(F.col("_n") / 2)).cast("int").cast("string"))).drop("_r", "_n")
+        most = (most + 1) // 2
     return out
 
 
@@ -49,13 +55,10 @@ def split_large(df: DataFrame, feature: Column, parts: int, by: list[str] | None
 def centroids(df: DataFrame, vector: str, by: list[str], label: str | None = None, classes: int | None = None) -> DataFrame:
     """by, size, centroid (and the mean label, and with `classes` its one-hot): one row a bucket.
 
-    Positions are summed with partial aggregation before the shuffle; a bucket's rows never meet.
+    Whole vectors are summed with partial aggregation before the shuffle; a bucket's rows never meet.
     """
-    cells = df.select(*by, F.posexplode(dense(vector)).alias("pos", "x"))
-    means = cells.groupBy(*by, "pos").agg(F.avg("x").alias("m"))
-    arrays = means.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("centroid"))
-    sizes = df.groupBy(*by).agg(F.count("*").alias("size"), *([F.avg(label).alias("label")] if label and label not in by else []))
-    out = sizes.join(arrays, by)
+    named = [F.avg(label).alias("label")] if label and label not in by else []
+    out = df.groupBy(*by).agg(F.count("*").alias("size"), *named, mean_vector(dense(vector)).alias("centroid"))
     return out.withColumn("one_hot", one_hot(F.floor(F.col(label)).cast("int"), classes)) if classes else out
 
 
@@ -76,14 +79,21 @@ def roll_up(children: DataFrame, parent: Column, size: str = "size", centroid: s
 
 
 def layers(df: DataFrame, vector: str, key: str, features: list[Column], depths: list[int], by: list[str] | None = None) -> DataFrame:
-    """level, bucket_id, parent_id, size, centroid, from coarse to fine; originals keep their finest bucket in median_split's result."""
-    split = median_split(df, features, key, by)
-    by, out = by or [], None
-    for level, depth in enumerate(depths):
-        cut = split.withColumn("bucket", F.substring("bucket", 1, depth))
-        layer = centroids(cut, vector, [*by, "bucket"]).withColumn("level", F.lit(level))
-        layer = layer.withColumn("parent_id", F.substring("bucket", 1, depths[level - 1]) if level else F.lit(None).cast("string")).withColumnRenamed("bucket", "bucket_id")
-        out = layer if out is None else out.unionByName(layer)
+    """level, bucket_id, parent_id, size, centroid (and `by`), from coarse to fine; originals keep their finest bucket in median_split's result.
+
+    Rows are split and summed once, for the finest layer; each coarser one is rolled up from the next.
+    """
+    by, out, below = by or [], None, None
+    for level in range(len(depths) - 1, -1, -1):
+        depth = depths[level]
+        if below is None:
+            split = median_split(df, features, key, by).withColumn("bucket", F.substring("bucket", 1, depth))
+            below = cut(centroids(split, vector, [*by, "bucket"]))
+        else:
+            parent = F.struct(*by, F.substring("bucket", 1, depth).alias("bucket"))
+            below = cut(roll_up(below, parent).select("parent.*", "size", "centroid"))
+        layer = below.withColumn("level", F.lit(level)).withColumn("parent_id", F.substring("bucket", 1, depths[level - 1]) if level else F.lit(None).cast("string")).withColumnRenamed("bucket", "bucket_id")
+        out = layer if out is None else layer.unionByName(out)
     return out
 
 
@@ -93,9 +103,8 @@ def layer_bounds(upper: int, count: int) -> list[int]:
 
 def slices(df: DataFrame, feature: Column, key: str, parts: int, by: list[str] | None = None) -> DataFrame:
     """df with slice int: the rank by the feature, then the key, cut into `parts` equal stretches."""
-    w = Window.partitionBy(*(by or [F.lit(0)]))
-    rank = F.row_number().over(w.orderBy(feature, key)) - 1
-    return df.withColumn("slice", F.least(F.floor(rank * parts / F.count("*").over(w)), F.lit(parts - 1)).cast("int"))
+    out = ranked(df, by or [], [feature, F.col(key)])
+    return out.withColumn("slice", F.least(F.floor((F.col("_r") - 1) * parts / F.col("_n")), F.lit(parts - 1)).cast("int")).drop("_r", "_n")
 
 
 def by_deviation(df: DataFrame, vector: str) -> list[int]:
@@ -141,8 +150,11 @@ def padded_dump(buckets: DataFrame, head: str, members: str) -> DataFrame:
 def svd_features(df: DataFrame, vector: str, key: str, count: int, by: str | None = None, rounds: int = 20, ratio: int = 100, rate: float = 0.001, reg: float = 0.015, start: float = 0.1, limit: float = 30.0, true_stride: bool = False, backtracking: bool = False) -> DataFrame:
     """key, features: incremental SVD by gradient steps over rows and every ratio-th column, one group (`by`) in a task.
 
-    The steps depend on each other, so a group has to fit into a worker; without `by` use pca_features.
+    The steps depend on each other, so a group has to fit into a worker: one of over WORKER_ROWS rows is refused, and pca_features is the way for it.
     """
+    most = largest(df, [by] if by else [])
+    if most > WORKER_ROWS:
+        raise ValueError(f"a group of {most} rows is too large for the steps of one worker; use pca_features")
     kind = df.schema[key].dataType.simpleString()
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -295,8 +307,6 @@ def hash_iterative(df: DataFrame, features: list[Column], key: str, upper: int,
 
     A bucket's name has one step a split. Stops when no bucket is larger, the features are used up, or at `deepest`.
     """
-    from granary.session import cut
-
     out = df.withColumn("bucket", F.lit(""))
     for depth, f in enumerate(features[:deepest]):
         sizes = out.groupBy("bucket").agg(F.count("*").alias("_n")).filter(F.col("_n") > upper)
@@ -305,11 +315,10 @@ def hash_iterative(df: DataFrame, features: list[Column], key: str, upper: int,
         if sizes.isEmpty():
             break
         joined = out.join(sizes, "bucket", "left")
-        w = Window.partitionBy("bucket")
-        rank = F.row_number().over(w.orderBy(f, key)) - 1
-        step = F.concat("bucket", F.lit("/"), F.least(F.floor(rank * parts / F.col("_n")), F.lit(parts - 1)).cast("string"))
-        large = joined.filter("_n is not null").withColumn("bucket", step)
-        out = large.unionByName(joined.filter("_n is null")).drop("_n")
+        large = ranked(joined.filter("_n is not null").drop("_n"), ["bucket"], [f, F.col(key)])
+        step = F.least(F.floor((F.col("_r") - 1) * parts / F.col("_n")), F.lit(parts - 1)).cast("string")
+        large = large.withColumn("bucket", F.concat("bucket", F.lit("/"), step)).drop("_r", "_n")
+        out = large.unionByName(joined.filter("_n is null").drop("_n"))
     return out
 
 

@@ -9,10 +9,12 @@ from __future__ import annotations
 import json
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.functions.vectors import costs, dense, distance, gap, literal, nearest
+from granary.functions.vectors import costs, dense, distance, gap, literal, mean_vector, nearest, spread_vector, total
+from granary.operators.ranks import ranked
 from granary.session import cut
 
 
@@ -21,11 +23,57 @@ def assign(df: DataFrame, vector: str, centers: list[list[float]], metric: str =
     return df.withColumn("_c", costs(dense(vector), centers, metric)).withColumn("cluster", nearest(F.col("_c"))).withColumn("cost", F.array_min("_c")).drop("_c")
 
 
+#: Cells (centers times positions) of a block of a center table.
+CENTER_CELLS = 4_000_000
+
+
 def assign_joined(df: DataFrame, vector: str, key: str, centers: DataFrame, metric: str = "euclidean") -> DataFrame:
-    """key, cluster, cost for a center table (cluster, center) too long for a literal: each row meets each center in its task, and min_by keeps one before the shuffle."""
-    pairs = df.select(key, dense(vector).alias("_v")).crossJoin(F.broadcast(centers))
-    cost = distance(F.col("_v"), F.col("center"), metric)
-    return pairs.groupBy(key).agg(F.min(F.struct(cost.alias("cost"), "cluster")).alias("m")).select(key, "m.cluster", "m.cost")
+    """key, cluster, cost for a center table (cluster, center) too long for a literal; the smallest cluster of equally near ones.
+
+    Rows pass by the centers block by block, and each carries its nearest one so far: nothing is
+    shuffled, and no block is larger than CENTER_CELLS, however long the table. A null or undefined
+    cost is that of no center.
+    """
+    if metric not in ("euclidean", "cosine"):
+        raise ValueError(f"no such metric: {metric}")
+    kinds = {f.name: f.dataType.simpleString() for f in [df.schema[key], centers.schema["cluster"]]}
+    schema = f"`{key}` {kinds[key]}, _v array<double>, cluster {kinds['cluster']}, cost double"
+    out = df.select(key, dense(vector).alias("_v"), F.lit(None).cast(kinds["cluster"]).alias("cluster"), F.lit(None).cast("double").alias("cost"))
+    width = centers.select(F.max(F.size("center"))).first()[0] or 1
+    rows = max(1, CENTER_CELLS // width)
+    n, table = centers.count(), centers.select("cluster", F.col("center").cast("array<double>").alias("center"))
+    if n > rows:
+        table = cut(ranked(table, [], [F.col("cluster")], most=n))
+    for start in range(0, n, rows):
+        block = table.filter(F.col("_r").between(start + 1, start + rows)) if n > rows else table
+        out = out.mapInPandas(_nearer(*_block(block), metric), schema)
+    return out.select(key, "cluster", "cost")
+
+
+def _block(block: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Names and matrix of a block of at most CENTER_CELLS cells."""
+    got = sorted(((r["cluster"], r["center"]) for r in block.select("cluster", "center").collect()), key=lambda x: x[0])
+    return np.array([c for c, _ in got]), np.array([x for _, x in got], float)
+
+
+def _nearer(names: np.ndarray, centers: np.ndarray, metric: str):
+    def cost(v: np.ndarray) -> np.ndarray:
+        if metric == "euclidean":
+            d = centers - v
+            return np.einsum("ij,ij->i", d, d)
+        length = np.linalg.norm(centers, axis=1) * np.linalg.norm(v)
+        return np.where(length > 0, 1 - centers @ v / np.where(length > 0, length, 1), np.inf)
+
+    def run(frames):
+        for pdf in frames:
+            for i, v in enumerate(pdf["_v"]):
+                c = cost(np.asarray(v, float)) if v is not None else np.array([np.inf])
+                at = int(c.argmin())
+                if np.isfinite(c[at]) and not c[at] >= pdf["cost"].iat[i]:
+                    pdf.iat[i, 2], pdf.iat[i, 3] = names[at], c[at]
+            yield pdf
+
+    return run
 
 
 def wssse(df: DataFrame, vector: str, centers: list[list[float]], metric: str = "euclidean") -> DataFrame:
@@ -33,9 +81,8 @@ def wssse(df: DataFrame, vector: str, centers: list[list[float]], metric: str =
 
 
 def center_sums(assigned: DataFrame, vector: str, cluster: str = "cluster") -> DataFrame:
-    """cluster, n, center: partial sums by position before the shuffle."""
-    cells = assigned.select(cluster, F.posexplode(dense(vector)).alias("pos", "x")).groupBy(cluster, "pos").agg(F.avg("x").alias("m"), F.count("x").alias("n"))
-    return cells.groupBy(cluster).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("center"))
+    """cluster, n, center: whole vectors are summed in each task before the shuffle."""
+    return assigned.groupBy(cluster).agg(F.count("*").alias("n"), mean_vector(dense(vector)).alias("center"))
 
 
 def moved(centers: list[list[float]], sums: DataFrame, cluster: str = "cluster") -> list[list[float]]:
@@ -45,9 +92,13 @@ def moved(centers: list[list[float]], sums: DataFrame, cluster: str = "cluster")
 
 
 def kmeans(df: DataFrame, vector: str, centers: list[list[float]], iterations: int, metric: str = "euclidean") -> list[list[float]]:
-    """Lloyd's iterations, a fixed number."""
-    for _ in range(iterations):
-        centers = moved(centers, center_sums(assign(df, vector, centers, metric), vector))
+    """Lloyd's iterations, a fixed number, over the vectors alone, which are kept in memory or on disk meanwhile."""
+    rows = df.select(dense(vector).alias("v")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        for _ in range(iterations):
+            centers = moved(centers, center_sums(assign(rows, "v", centers, metric), "v"))
+    finally:
+        rows.unpersist()
     return centers
 
 
@@ -114,16 +165,14 @@ def layered_kmeans(points: DataFrame, coarse: DataFrame, fine: DataFrame, vector
 
 
 def summaries(df: DataFrame, x: str, by: list[str]) -> DataFrame:
-    """by, n, mean, cost = max(sum of squares - n * mean^2, 0) of a scalar."""
-    g = df.groupBy(*by).agg(F.count("*").alias("n"), F.sum(x).alias("s"), F.sum(F.col(x) * F.col(x)).alias("q"))
-    return g.select(*by, "n", (F.col("s") / F.col("n")).alias("mean"), F.greatest(F.col("q") - F.col("s") * F.col("s") / F.col("n"), F.lit(0.0)).alias("cost"))
+    """by, n, mean, cost: the sum of squared distances of a scalar from its mean, found without subtracting large sums."""
+    return df.groupBy(*by).agg(F.count("*").alias("n"), F.avg(x).alias("mean"), (F.var_pop(x) * F.count(x)).alias("cost"))
 
 
 def cluster_summaries(df: DataFrame, vector: str, cluster: str) -> DataFrame:
     """cluster, size, center, cost of vectors."""
-    cells = df.select(cluster, F.posexplode(dense(vector)).alias("pos", "x")).groupBy(cluster, "pos").agg(F.avg("x").alias("m"), F.count("x").alias("n"), F.sum(F.col("x") * F.col("x")).alias("q"))
-    cost = F.greatest(F.sum(F.col("q") - F.col("n") * F.col("m") * F.col("m")), F.lit(0.0))
-    return cells.groupBy(cluster).agg(F.max("n").alias("size"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("center"), cost.alias("cost"))
+    v = dense(vector)
+    return df.groupBy(cluster).agg(F.count("*").alias("size"), mean_vector(v).alias("center"), total(spread_vector(v)).alias("cost"))
 
 
 def split_center(center: list[float], seed: int, level: float = 1e-4) -> tuple[list[float], list[float]]:

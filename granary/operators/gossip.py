@@ -55,21 +55,22 @@ def random_peers(n: int, skip_prob: float, seed: int) -> dict[int, int]:
 def merge_scored(state: DataFrame, messages: DataFrame) -> DataFrame:
     """state after messages (src, dest): a sender halves its score and sends that half with its weights; a receiver averages by score.
 
-    The order of messages doesn't matter: w = sum(s x) / sum(s) by position. Rows are positions, so wide
-    models spread over tasks.
+    The order of messages doesn't matter: w = sum(s x) / sum(s) by position.
     """
     sent = messages.select(F.col("src").alias("edge"), "dest")
     out = state.join(sent, "edge", "left")
     own = out.select("edge", F.when(F.col("dest").isNull(), F.col("score")).otherwise(F.col("score") / 2).alias("score"), "weights")
     got = out.filter("dest is not null").select(F.col("dest").alias("edge"), (F.col("score") / 2).alias("score"), "weights")
-    both = own.unionByName(got)
-    return weighted_mean(both, "edge").join(both.groupBy("edge").agg(F.sum("score").alias("score")), "edge").select("edge", "score", "weights")
+    return weighted_mean(own.unionByName(got), "edge").select("edge", "score", "weights")
 
 
 def weighted_mean(df: DataFrame, by: str, weight: str = "score", vector: str = "weights") -> DataFrame:
-    cells = df.select(by, weight, F.posexplode(vector).alias("pos", "x"))
-    means = cells.groupBy(by, "pos").agg((F.sum(F.col(weight) * F.col("x")) / F.sum(weight)).alias("x"))
-    return means.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias(vector))
+    """by, the sum of the weights, and the weighted mean of the vectors, summed whole before the shuffle."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    mean = vector_to_array(Summarizer.mean(array_to_vector(vector), F.col(weight)))
+    return df.groupBy(by).agg(F.sum(weight).alias(weight), mean.alias(vector))
 
 
 def merge_pairs(state: DataFrame, peers: DataFrame, vector: str = "weights") -> DataFrame:

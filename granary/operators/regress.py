@@ -140,16 +140,6 @@ def quadratic_minimum(x0, f0, g0, x1, f1) -> float | None:
     return x0 - g0 / (2 * a) if a > 0 else None
 
 
-def cubic_minimum(x0, f0, g0, x1, f1, g1) -> float | None:
-    d1 = g0 + g1 - 3 * (f0 - f1) / (x0 - x1)
-    inside = d1 * d1 - g0 * g1
-    if inside < 0:
-        return None
-    d2 = np.sign(x1 - x0) * np.sqrt(inside)
-    below = g1 - g0 + 2 * d2
-    return x1 - (x1 - x0) * (g1 + d2 - d1) / below if below else None
-
-
 def line_search(value, f0: float, slope: float, start: float = 1.0, c1: float = 1e-4, tries: int = 20) -> float:
     """A step of sufficient decrease, by parabolas kept within a tenth and a half of the last step; 0 if there is none."""
     step = start

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.vectors import dense, literal
+from granary.operators.ranks import ranked
 
 
 def top_k(df: DataFrame, score: Column, key: str, k: int) -> DataFrame:
@@ -22,10 +23,8 @@ def top_fraction(df: DataFrame, score: Column, key: str, ratio: float, by: list[
     if not by:
         n = df.count()
         return df.orderBy(score.desc(), F.col(key)).limit(max(least, int(n * ratio)))
-    w = Window.partitionBy(*by)
-    rank = F.row_number().over(w.orderBy(score.desc(), key))
-    size = F.greatest(F.floor(F.count("*").over(w) * ratio), F.lit(least))
-    return df.withColumn("_r", rank).withColumn("_k", size).filter("_r <= _k").drop("_r", "_k")
+    out = ranked(df, by, [score.desc(), F.col(key)])
+    return out.filter(F.col("_r") <= F.greatest(F.floor(F.col("_n") * ratio), F.lit(least))).drop("_r", "_n")
 
 
 def divisible(sizes: DataFrame, size: str, key: str, k: int) -> DataFrame:
@@ -62,8 +61,7 @@ def time_fraction(own: float, least: float, fixed: float | None = None) -> float
 
 def fixed_ratio(df: DataFrame, loss: str, key: str, fraction: float, by: list[str]) -> DataFrame:
     """Drops the int(n * fraction) rows of the smallest loss."""
-    w = Window.partitionBy(*by)
-    return _kept(df, F.row_number().over(w.orderBy(loss, key)) > F.floor(F.count("*").over(w) * fraction))
+    return ranked(df, by, [F.col(loss), F.col(key)]).filter(F.col("_r") > F.floor(F.col("_n") * fraction)).drop("_r", "_n")
 
 
 def cumulative(df: DataFrame, loss: str, key: str, fraction: float, by: list[str], limit: float = 1.0) -> DataFrame:
@@ -71,32 +69,34 @@ def cumulative(df: DataFrame, loss: str, key: str, fraction: float, by: list[str
 
     Losses must not be negative: then the dropped rows are a prefix of the order.
     """
-    w = Window.partitionBy(*by)
-    o = w.orderBy(loss, key)
-    n = F.count("*").over(w)
-    before = F.coalesce(F.sum(loss).over(o.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    drop = (before < F.avg(loss).over(w) * n * fraction) & ((F.row_number().over(o) - 1) / n < limit)
-    return _kept(df, ~drop)
+    rows = with_statistics(ranked(df, by, [F.col(loss), F.col(key)], running=loss), by, _mean=F.avg(loss))
+    drop = (F.col("_before") < F.col("_mean") * F.col("_n") * fraction) & ((F.col("_r") - 1) / F.col("_n") < limit)
+    return rows.filter(~F.coalesce(drop, F.lit(False))).drop("_r", "_n", "_before", "_mean")
 
 
 def mean_threshold(df: DataFrame, loss: str, key: str, fraction: float, by: list[str], limit: float = 1.0, epoch: bool = False) -> DataFrame:
     """Drops rows below mean * fraction (the mean where that reaches the maximum; 0.95 * maximum in epoch mode) while the dropped share is below `limit`."""
-    w = Window.partitionBy(*by)
-    mean, top, n = F.avg(loss).over(w), F.max(loss).over(w), F.count("*").over(w)
+    rows = with_statistics(ranked(df, by, [F.col(loss), F.col(key)]), by, _mean=F.avg(loss), _top=F.max(loss))
+    mean, top = F.col("_mean"), F.col("_top")
     threshold = top * 0.95 if epoch else F.when(mean * fraction >= top, mean).otherwise(mean * fraction)
-    drop = (F.col(loss) < threshold) & ((F.row_number().over(w.orderBy(loss, key)) - 1) / n < limit)
-    return _kept(df, ~drop)
+    drop = (F.col(loss) < threshold) & ((F.col("_r") - 1) / F.col("_n") < limit)
+    return rows.filter(~F.coalesce(drop, F.lit(False))).drop("_r", "_n", "_mean", "_top")
 
 
-def _kept(df: DataFrame, keep: Column) -> DataFrame:
-    return df.withColumn("_keep", keep).filter("_keep").drop("_keep")
+def with_statistics(df: DataFrame, by: list[str], **columns: Column) -> DataFrame:
+    """df with aggregates of its groups, joined back: partial sums, where a window would bring a group together."""
+    names = {c: f"_by_{i}" for i, c in enumerate(by)}
+    stats = df.groupBy(*(F.col(c).alias(n) for c, n in names.items())).agg(*(v.alias(k) for k, v in columns.items()))
+    same = F.lit(True)
+    for c, n in names.items():
+        same &= F.col(c).eqNullSafe(F.col(n))
+    return df.join(stats, same).drop(*names.values())
 
 
 def importance(df: DataFrame, loss: str, key: str, fraction: float, by: list[str], seed: int = 1) -> DataFrame:
     """int(n * fraction + 0.98) rows of each group, drawn without replacement by their loss."""
-    w = Window.partitionBy(*by)
-    size = F.floor(F.count("*").over(w) * fraction + 0.98)
-    return _kept(df, F.row_number().over(w.orderBy(weighted_key(F.col(loss), seed), key)) <= size)
+    out = ranked(df.withColumn("_w", weighted_key(F.col(loss), seed)), by, [F.col("_w"), F.col(key)])
+    return out.filter(F.col("_r") <= F.floor(F.col("_n") * fraction + 0.98)).drop("_r", "_n", "_w")
 
 
 def weighted_key(weight: Column, seed: int = 1, favour_small: bool = False) -> Column:

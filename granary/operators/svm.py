@@ -59,8 +59,8 @@ def kernel_matrix(name: str, gamma: float, x: np.ndarray, y: np.ndarray) -> np.n
 class PackSvm:
     """Pegasos by packs: each round draws a pack of rows, scores it against the support set, then takes its rows one by one."""
 
-    def __init__(self, lam: float = 0.01, gamma: float = 0.05, name: str = "rbf", seed: int = 1, literal_updates: bool = False):
-        self.lam, self.gamma, self.name, self.seed, self.old = lam, gamma, name, seed, literal_updates
+    def __init__(self, lam: float = 0.01, gamma: float = 0.05, name: str = "rbf", seed: int = 1):
+        self.lam, self.gamma, self.name, self.seed = lam, gamma, name, seed
         self.alpha: dict[int, float] = {}
         self.rows: dict[int, tuple[float, np.ndarray]] = {}
         self.scale = 1.0
@@ -75,9 +75,7 @@ class PackSvm:
                 break
             ids, y, x = [g[0] for g in got], np.array([g["y"] for g in got]), np.array([g["v"] for g in got])
             own = kernel_matrix(self.name, self.gamma, x, x)
-            sums = self._sums(x)
-            if not self.old:
-                sums = sums * self.scale
+            sums = self._sums(x) * self.scale
             for i in range(len(ids)):
                 t += 1
                 shrink = 1 - 1 / t
@@ -90,11 +88,11 @@ class PackSvm:
                     self.alpha[ids[i]] = self.alpha.get(ids[i], 0.0) + step / self.scale
                     self.rows[ids[i]] = (y[i], x[i])
                     later = slice(i + 1, None)
-                    sums[later] += step * (y[later] if self.old else y[i]) * own[i, later]
+                    sums[later] += step * y[i] * own[i, later]
                     if norm > 1 / self.lam:
                         ratio = np.sqrt(self.lam * norm)
                         self.scale /= ratio
-                        sums /= 1.0 if self.old else ratio
+                        sums /= ratio
                         norm = 1 / self.lam
         return self
 
@@ -114,7 +112,7 @@ def zip_svm(df: DataFrame, zips: DataFrame, vector: str, label: str, key: str, r
     spark = df.sparkSession
     coarse = PackSvm(**more).fit(zips, "centroid", label, "zip_id", rounds, pack)
     chosen = spark.createDataFrame([(int(i),) for i, a in coarse.alpha.items() if a > 0] or [(-1,)], "zip_id long")
-    pool = df.join(F.broadcast(chosen), "zip_id", "left_semi")  # zips are far fewer than rows: those of a pack a round
+    pool = df.join(chosen, "zip_id", "left_semi")  # at most rounds * pack zips; the planner knows their number
     return PackSvm(**more).fit(df, vector, label, key, rounds, pack, pool)
 
 
