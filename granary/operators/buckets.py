@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.functions.vectors import dense, mean_vector, one_hot
+from granary.functions.vectors import dense, dot, literal, mean_vector, one_hot
 from granary.operators.ranks import largest, ranked
 from granary.session import cut
 
@@ -196,6 +196,55 @@ def incremental_svd(x: np.ndarray, count: int, rounds: int, ratio: int = 1, rate
     return u, v
 
 
+def sparse_incremental_svd(rows: list[tuple[np.ndarray, np.ndarray]], size: int, count: int, rounds: int, ratio: int = 1, rate: float = 0.001, reg: float = 0.015, start: float = 0.1, limit: float = 30.0) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column factors of sparse rows (indices, values): the steps visit every `ratio`-th active entry of the table, from the factor's number on.
+
+    The entries of one column are stepped together; entries that aren't stored are no zeros but unknown.
+    """
+    row = np.repeat(np.arange(len(rows)), [len(i) for i, _ in rows])
+    col = np.concatenate([i for i, _ in rows]) if rows else np.zeros(0, int)
+    val = np.concatenate([x for _, x in rows]).astype(float) if rows else np.zeros(0)
+    u, v = np.full((len(rows), count), start), np.full((count, size), start)
+    for f in range(count):
+        on = np.arange(f % ratio, len(col), ratio)
+        on = on[np.argsort(col[on], kind="stable")]
+        parts = np.split(on, np.flatnonzero(np.diff(col[on])) + 1) if len(on) else []
+        for _ in range(rounds):
+            for part in parts:
+                r, c = row[part], col[part[0]]
+                e = val[part] - np.clip(u[r, : f + 1] @ v[: f + 1, c], -limit, limit)
+                before = u[r, f].copy()
+                u[r, f] += rate * (e * v[f, c] - reg * before)
+                v[f, c] += rate * (float(e @ before) - reg * v[f, c])
+    return u, v
+
+
+def sparse_svd_features(df: DataFrame, indices: str, values: str, key: str, size: int, count: int, by: str | None = None, rounds: int = 20, ratio: int = 1, rate: float = 0.001) -> DataFrame:
+    """key, features: svd_features of sparse rows, one group in a task; groups of over WORKER_ROWS rows are refused."""
+    kind = df.schema[key].dataType.simpleString()
+    most = largest(df, [by] if by else [])
+    if most > WORKER_ROWS:
+        raise ValueError(f"a group of {most} rows is too large for the steps of one worker")
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(key)
+        u, _ = sparse_incremental_svd(list(zip(pdf["_i"], pdf["_x"], strict=True)), size, count, rounds, ratio, rate)
+        return pd.DataFrame({key: pdf[key], "features": list(u)})
+
+    rows = df.select(key, F.col(indices).alias("_i"), F.col(values).alias("_x"), *([by] if by else []))
+    return rows.groupBy(*([by] if by else [])).applyInPandas(fit, f"`{key}` {kind}, features array<double>")
+
+
+def predicted(u: Column, m: Column, limit: float = 30.0) -> Column:
+    """The clipped product of a row's and a column's factors."""
+    return F.greatest(F.least(dot(u, m), F.lit(limit)), F.lit(-limit))
+
+
+def root_error(x: Column, p: Column) -> Column:
+    """Aggregate: the root of the mean squared difference."""
+    return F.sqrt(F.avg((x - p) * (x - p)))
+
+
 def svd_error(x: np.ndarray, u: np.ndarray, v: np.ndarray, limit: float = 30.0) -> float:
     return float(np.sqrt(np.mean((x - np.clip(u @ v, -limit, limit)) ** 2)))
 
@@ -238,8 +287,6 @@ def svd_projection(df: DataFrame, vector: str, key: str, count: int) -> DataFram
     top = np.argsort(values)[::-1][:count]
     basis = vectors[:, top] / np.sqrt(np.maximum(values[top], 1e-12))
     basis *= np.where(basis[np.abs(basis).argmax(axis=0), np.arange(len(top))] < 0, -1, 1)
-    from granary.functions.vectors import dot, literal
-
     return df.select(key, F.array(*[dot(dense(vector), literal(c)) for c in basis.T]).alias("features"))
 
 

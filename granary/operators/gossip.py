@@ -155,3 +155,41 @@ def train(df: DataFrame, model, vector: str, label: str, edge: str, cfg: GossipC
                 state = merge_pairs(state, _edge_frame(spark, pairs, "edge", "peer"))
         state = cut(state.select("edge", "score", "weights"))
     return state, history
+
+
+def round_state(marks: DataFrame, edges: int) -> DataFrame:
+    """round, saved, read, phase of a table of marks (round, edge, what: 'saved' or 'read').
+
+    A round is open until every edge has saved, saved until every edge has read, then done. A mark
+    that is repeated counts once; edges of a null number don't count.
+    """
+    n = lambda what: F.count_distinct(F.when(F.col("what") == what, F.col("edge")))
+    got = marks.groupBy("round").agg(n("saved").alias("saved"), n("read").alias("read"))
+    phase = F.when(F.col("saved") < edges, "open").when(F.col("read") < edges, "saved").otherwise("done")
+    return got.select("round", "saved", "read", phase.alias("phase"))
+
+
+def reset_round(marks: DataFrame, number: int) -> DataFrame:
+    return marks.filter(F.col("round") != number)
+
+
+def push(messages: DataFrame, more: DataFrame) -> DataFrame:
+    """The table of messages (dest, iteration, seq, body) with some more."""
+    return messages.unionByName(more)
+
+
+def pop(messages: DataFrame, upto: int) -> DataFrame:
+    """The first message that each destination still has up to an iteration: the least iteration, then seq."""
+    first = messages.filter(F.col("iteration") <= upto).groupBy("dest").agg(F.min(F.struct("iteration", "seq", "body")).alias("m"))
+    return first.select("dest", "m.*")
+
+
+def without_stragglers(times: DataFrame, drop: int, time: str = "time") -> DataFrame:
+    """The tasks that are faster than the `drop`-th slowest one, whose time is the threshold; all of them for 0.
+
+    `drop` is a number of tasks of one iteration, a parameter of the method.
+    """
+    if drop <= 0:
+        return times
+    slow = times.select(F.col(time).alias("_t")).orderBy(F.desc("_t")).limit(drop).agg(F.min("_t").alias("_limit"))
+    return times.join(F.broadcast(slow), F.col(time) < F.col("_limit")).drop("_limit")  # one row

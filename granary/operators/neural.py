@@ -124,6 +124,120 @@ class Convolution:
         return np.array([(self.loss_gradient(x[i : i + 1], y[i : i + 1], w)[1][: self.maps * self.kernel**2] ** 2).sum() for i in range(len(x))])
 
 
+class Network:
+    """Layers in a row: ("conv", maps, kernel), ("pool", size), ("full", units), each but a pool followed by a sigmoid; the last full layer by a softmax, or by sigmoids with squared error.
+
+    Inputs are square images of `side` and `channels` (channel by channel), or plain rows with side 0 and
+    `channels` values. lenet() builds the usual stack.
+    """
+
+    def __init__(self, layers: list[tuple], side: int, channels: int = 1, softmax: bool = True):
+        self.layers, self.side, self.channels, self.softmax = [tuple(x) for x in layers], side, channels, softmax
+        self.shapes, shape = [], (channels, side) if side else (channels, 1)
+        for kind, *p in self.layers:
+            c, n = shape
+            if kind == "conv":
+                if p[1] > n:
+                    raise ValueError(f"a kernel of {p[1]} on a side of {n}")
+                self.shapes.append(((p[0], c * p[1] * p[1]), p[0]))
+                shape = p[0], n - p[1] + 1
+            elif kind == "pool":
+                self.shapes.append(None)
+                shape = c, n // p[0]
+            elif kind == "full":
+                self.shapes.append(((p[0], c * n * n), p[0]))
+                shape = p[0], 1
+            else:
+                raise ValueError(f"no such layer: {kind}")
+        self.classes = shape[0] * shape[1] * shape[1]
+        self.size = sum(s[0][0] * s[0][1] + s[1] for s in self.shapes if s)
+
+    def start(self, seed: int = 1) -> np.ndarray:
+        rng = np.random.default_rng(seed)
+        return np.concatenate([np.concatenate([rng.standard_normal(s[0]).ravel() / np.sqrt(s[0][1]), np.zeros(s[1])]) for s in self.shapes if s])
+
+    def _weights(self, w):
+        out, at, w = [], 0, np.asarray(w, float)
+        for s in self.shapes:
+            if s is None:
+                out.append(None)
+                continue
+            n = s[0][0] * s[0][1]
+            out.append((w[at : at + n].reshape(s[0]), w[at + n : at + n + s[1]]))
+            at += n + s[1]
+        return out
+
+    @staticmethod
+    def _patches(x, k):
+        view = np.lib.stride_tricks.sliding_window_view(x, (k, k), axis=(2, 3))  # n, c, i, j, k, k
+        return view.transpose(0, 2, 3, 1, 4, 5).reshape(len(x), view.shape[2], view.shape[3], -1)
+
+    def _forward(self, x, w):
+        a, kept = x.reshape(len(x), self.channels, self.side, self.side) if self.side else x.reshape(len(x), -1, 1, 1), []
+        for i, ((kind, *p), m) in enumerate(zip(self.layers, self._weights(w), strict=True)):
+            if kind == "conv":
+                patches = self._patches(a, p[1])
+                out = sigmoid((patches @ m[0].T + m[1]).transpose(0, 3, 1, 2))
+                kept.append((a, patches, out))
+            elif kind == "pool":
+                s, n = p[0], a.shape[2] // p[0]
+                out = a[:, :, : n * s, : n * s].reshape(*a.shape[:2], n, s, n, s).mean(axis=(3, 5))
+                kept.append((a, None, out))
+            else:
+                flat = a.reshape(len(a), -1)
+                z = flat @ m[0].T + m[1]
+                if i == len(self.layers) - 1 and self.softmax:
+                    e = np.exp(z - z.max(axis=1, keepdims=True))
+                    z = e / e.sum(axis=1, keepdims=True)
+                else:
+                    z = sigmoid(z)
+                out = z[:, :, None, None]
+                kept.append((a, flat, out))
+            a = out
+        return kept
+
+    def value(self, x, w):
+        return self._forward(x, w)[-1][2].reshape(len(x), -1)
+
+    def loss_gradient(self, x, y, w):
+        kept = self._forward(x, w)
+        p = kept[-1][2].reshape(len(x), -1)
+        t = np.eye(self.classes)[y.astype(int)]
+        if self.softmax:
+            loss, back = -np.log(np.maximum(p[np.arange(len(y)), y.astype(int)], 1e-300)).sum(), p - t
+        else:
+            loss, back = 0.5 * ((p - t) ** 2).sum(), (p - t) * p * (1 - p)
+        grads, d = [], back[:, :, None, None]  # d: by the layer's sum, before its sigmoid
+        for i in range(len(self.layers) - 1, -1, -1):
+            (kind, *q), m, (a, inner, _) = self.layers[i], self._weights(w)[i], kept[i]
+            if kind == "conv":
+                grads.append(np.concatenate([np.einsum("nmij,nijp->mp", d, inner).ravel(), d.sum(axis=(0, 2, 3))]))
+                cols = np.einsum("nmij,mp->nijp", d, m[0]).reshape(len(x), d.shape[2], d.shape[3], a.shape[1], q[1], q[1])
+                back = np.zeros(a.shape)
+                for r in range(q[1]):
+                    for c in range(q[1]):
+                        back[:, :, r : r + d.shape[2], c : c + d.shape[3]] += cols[:, :, :, :, r, c].transpose(0, 3, 1, 2)
+            elif kind == "pool":
+                s, n = q[0], a.shape[2] // q[0]
+                back = np.zeros(a.shape)
+                back[:, :, : n * s, : n * s] = np.kron(d, np.ones((1, 1, s, s))) / (s * s)
+            else:
+                flat = d.reshape(len(x), -1)
+                grads.append(np.concatenate([(flat.T @ inner).ravel(), flat.sum(axis=0)]))
+                back = (flat @ m[0]).reshape(a.shape)
+            d = back * a * (1 - a) if i and self.layers[i - 1][0] != "pool" else back
+        return float(loss), np.concatenate(grads[::-1])
+
+    def first_layer_scores(self, x, y, w):
+        n = self.shapes[0][0][0] * self.shapes[0][0][1]
+        return np.array([(self.loss_gradient(x[i : i + 1], y[i : i + 1], w)[1][:n] ** 2).sum() for i in range(len(x))])
+
+
+def lenet(side: int = 28, classes: int = 10, maps: tuple[int, int] = (6, 12), kernel: int = 5, units: int = 100, channels: int = 1) -> Network:
+    """Two convolutions with pools, a full layer and the classes."""
+    return Network([("conv", maps[0], kernel), ("pool", 2), ("conv", maps[1], kernel), ("pool", 2), ("full", units), ("full", classes)], side, channels)
+
+
 class Update:
     """Weight updates by name: constant, simple (step / sqrt(t)), l1, l2, adam, radam."""
 

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.functions.vectors import dense, literal
+from granary.functions.vectors import argmax, dense, literal
 from granary.operators.ranks import ranked
 
 
@@ -190,3 +190,21 @@ def order_statistic(x: Column, q: float) -> Column:
 def mini_batches(df: DataFrame, key: str, size: int) -> DataFrame:
     """df with batch: floor of the row's place by the key over the batch size."""
     return dense_ids(df, key, "_i").withColumn("batch", F.floor(F.col("_i") / size)).drop("_i")
+
+
+def stack(df: DataFrame, vector: str, key: str, size: int) -> DataFrame:
+    """block, keys, matrix: rows in the order of the key, `size` to a block; a last short block is kept."""
+    rows = mini_batches(df.select(key, dense(vector).alias("_v")), key, size)
+    got = rows.groupBy(F.col("batch").alias("block")).agg(F.array_sort(F.collect_list(F.struct(key, "_v"))).alias("_p"))
+    return got.select("block", F.transform("_p", lambda p: p[key]).alias("keys"), F.transform("_p", lambda p: p["_v"]).alias("matrix"))
+
+
+def unstack(blocks: DataFrame, key: str, vector: str) -> DataFrame:
+    """key, vector: the rows of stack's blocks."""
+    return blocks.select(F.explode(F.arrays_zip("keys", "matrix")).alias("_p")).select(F.col("_p.keys").alias(key), F.col("_p.matrix").alias(vector))
+
+
+def class_error(df: DataFrame, prediction: str, target: str) -> DataFrame:
+    """mse: the mean squared difference of the index of the largest prediction (from 1) and the target."""
+    d = argmax(dense(prediction)) + 1 - F.col(target)
+    return df.agg(F.avg(d * d).alias("mse"))

@@ -116,6 +116,30 @@ def zip_svm(df: DataFrame, zips: DataFrame, vector: str, label: str, key: str, r
     return PackSvm(**more).fit(df, vector, label, key, rounds, pack, pool)
 
 
+def layered_svm(df: DataFrame, layers: list[DataFrame], vector: str, label: str, key: str, rounds: int, pack: int, **more) -> PackSvm:
+    """As zip_svm with more than one layer of zips, coarsest first (zip_id, centroid, label, parent): each layer draws from the zips whose parents support the one above, the rows from those of the finest."""
+    spark, pool = df.sparkSession, None
+    for layer in layers:
+        rows = layer if pool is None else layer.join(pool.withColumnRenamed("zip_id", "parent"), "parent", "left_semi")
+        machine = PackSvm(**more).fit(rows, "centroid", label, "zip_id", rounds, pack)
+        pool = spark.createDataFrame([(int(i),) for i, a in machine.alpha.items() if a > 0] or [(-1,)], "zip_id long")
+    return PackSvm(**more).fit(df, vector, label, key, rounds, pack, df.join(pool, "zip_id", "left_semi") if layers else None)
+
+
+def zipped(df: DataFrame, vector: str, label: str, key: str, upper: int, method: str = "svd", hyper=None, **more) -> tuple[DataFrame, DataFrame]:
+    """(rows with zip_id, zips): buckets of one label of about `upper` rows, by a reduction (svd, pca, slice) or by sign hashing (lsh, with planes)."""
+    from granary.operators import buckets, lsh
+
+    if method == "lsh":
+        split = df.join(lsh.rounds(df, vector, key, upper, hyper), key)
+    else:
+        side = df.withColumn("_side", F.when(F.col(label) > 0, 1).otherwise(0))
+        split = buckets.aggregate_points(side, vector, key, "_side", upper, 2, method, **more).drop("_side", "category")
+    zips = buckets.centroids(split, vector, [label, "bucket"])
+    rows = split.withColumn("zip_id", F.xxhash64(label, "bucket")).drop("bucket")
+    return rows, zips.withColumn("zip_id", F.xxhash64(label, "bucket")).select("zip_id", "centroid", label)
+
+
 def smo(x: np.ndarray, y: np.ndarray, c: float = 1.0, gamma: float = 0.05, name: str = "rbf", tol: float = 1e-3, most: int = 10_000, start: np.ndarray | None = None) -> tuple[np.ndarray, float]:
     """Sequential minimal optimisation with the two-threshold rule: (alpha, b), margins are sum alpha y K - b.
 

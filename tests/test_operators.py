@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from granary.functions import images
-from granary.operators import buckets, cluster, gossip, lsh, neural, ranks, regress, select, svm
+from granary.operators import buckets, cluster, gossip, lsh, neural, pairs, ranks, regress, select, svm
 
 EMB = "id long, v array<double>, label int"
 
@@ -220,7 +220,7 @@ def test_networks(spark, tmp_path):
     df = blobs(spark, 40)
     rng = np.random.default_rng(1)
     x, y = rng.standard_normal((5, 3)), np.array([0, 1, 0, 1, 1])
-    for model, xs in ((neural.Perceptron([3, 4, 2]), x), (neural.Perceptron([3, 4, 2], False), x), (neural.Convolution(6, 3, 2, 2, 2), rng.standard_normal((5, 36)))):
+    for model, xs in ((neural.Perceptron([3, 4, 2]), x), (neural.Perceptron([3, 4, 2], False), x), (neural.Convolution(6, 3, 2, 2, 2), rng.standard_normal((5, 36))), (neural.lenet(13, 2, (2, 3), 3, 4), rng.standard_normal((5, 169))), (neural.Network([("conv", 2, 2), ("conv", 2, 2), ("full", 2)], 5, 2, False), rng.standard_normal((5, 50))), (neural.Network([("full", 4), ("full", 2)], 0, 3), x)):
         w = model.start(2)
         loss, g = model.loss_gradient(xs, y, w)
         e = np.eye(len(w))
@@ -296,3 +296,59 @@ def test_streams(spark, tmp_path):
     ev = spark.createDataFrame([("2024-01-01 00:10:00", "a", 1.0), ("2024-01-01 00:20:00", "a", 3.0)], "ts string, event_type string, value double").withColumn("ts", F.to_timestamp("ts"))
     r = streams.event_statistics(ev).first()
     assert (r.n, r["mean"], r.most) == (2, 2.0, 3.0)
+
+
+def test_pairs_stacks_and_sparse_steps(spark, monkeypatch):
+    df = blobs(spark, 23)
+    v = {r.id: np.array(r.v) for r in df.collect()}
+    for block in (512, 4):
+        monkeypatch.setattr(pairs, "BLOCK", block)
+        got = {(r.a, r.b): r.value for r in pairs.matrix(df, "v", "id", ["label"]).collect()}
+        assert got == {(a, b): pytest.approx(np.linalg.norm(v[a] - v[b])) for a in v for b in v if a <= b and a % 2 == b % 2}
+        index = [tuple(r) for r in pairs.pair_index(df, "id", []).collect()]
+        assert len(index) == len(set(index)) == 23 * 24 // 2 and all(a <= b for a, b in index)
+    rbf = pairs.matrix(df, "v", "id", ["label"], "rbf", 0.1).filter("a = 0 and b = 2").first().value
+    assert rbf == pytest.approx(np.exp(-0.1 * ((v[0] - v[2]) ** 2).sum()))
+    with pytest.raises(ValueError):
+        pairs.matrix(df, "v", "id", [], "none")
+    blocks = select.stack(df, "v", "id", 10)
+    assert sorted(len(r.matrix) for r in blocks.collect()) == [3, 10, 10]
+    assert sorted(tuple(r) for r in select.unstack(blocks, "id", "v").collect()) == sorted((r.id, r.v) for r in df.collect())
+    x = np.outer(np.arange(1, 9), [0.5, 1.0, 1.5, 2.0])
+    rows = [(np.flatnonzero((np.arange(4) + i) % 3), x[i][(np.arange(4) + i) % 3 > 0]) for i in range(8)]
+    u, m = buckets.sparse_incremental_svd(rows, 4, 1, 500, rate=0.005)
+    assert max(abs(x[i, c] - u[i] @ m[:, c]) for i, (at, _) in enumerate(rows) for c in at) < 1.5
+    sparse = spark.createDataFrame([(i, [int(c) for c in at], [float(y) for y in ys]) for i, (at, ys) in enumerate(rows)], "id long, i array<int>, x array<double>")
+    assert sparse.count() == buckets.sparse_svd_features(sparse, "i", "x", "id", 4, 2, rounds=3).count()
+    monkeypatch.setattr(buckets, "WORKER_ROWS", 3)
+    with pytest.raises(ValueError):
+        buckets.svd_features(df, "v", "id", 2)
+
+
+def test_rounds_messages_and_stragglers(spark):
+    marks = spark.createDataFrame([(1, 1, "saved"), (1, 2, "saved"), (1, 1, "read"), (1, 2, "read"), (2, 1, "saved"), (2, 1, "saved"), (3, 1, "saved"), (3, 2, "saved"), (3, None, "read")], "round int, edge int, what string")
+    assert {(r["round"], r.phase) for r in gossip.round_state(marks, 2).collect()} == {(1, "done"), (2, "open"), (3, "saved")}
+    assert gossip.reset_round(marks, 1).count() == 5
+    mail = spark.createDataFrame([(1, 2, 0, "b"), (1, 1, 5, "a"), (2, 4, 0, "c")], "dest int, iteration int, seq int, body string")
+    assert [tuple(r) for r in gossip.pop(gossip.push(mail, mail.limit(0)), 3).collect()] == [(1, 1, 5, "a")]
+    times = spark.createDataFrame([(i, float(t)) for i, t in enumerate([5, 9, 1, 7, 9])], "task int, time double")
+    assert {r.task for r in gossip.without_stragglers(times, 3).collect()} == {0, 2} and gossip.without_stragglers(times, 0).count() == 5
+    df = spark.createDataFrame([([0.1, 0.7, 0.2], 2), ([0.9, 0.0, 0.1], 3)], "p array<double>, t int")
+    assert select.class_error(df, "p", "t").first().mse == 2.0
+
+
+def test_layered_machines(spark):
+    df = blobs(spark, 80, far=3.0).withColumn("y", F.when(F.col("label") == 1, 1.0).otherwise(-1.0)).drop("label")
+
+    def rate(machine):
+        m = svm.margins(df, "v", "id", machine.support(spark), "rbf", 0.05)
+        return svm.accuracy(df.join(m, "id").withColumn("p", svm.predict(F.col("margin"))), "y", "p").first()[0]
+
+    for method, more in (("slice", {}), ("svd", {"rounds": 3, "ratio": 1}), ("lsh", {"hyper": [lsh.planes(3, 4, 1)]})):
+        rows, zips = svm.zipped(df, "v", "y", "id", 10, method, **more)
+        assert rows.count() == 80 and zips.count() > 2
+        assert rate(svm.zip_svm(rows, zips, "v", "y", "id", 4, 8)) > 0.8
+    rows = df.withColumn("zip_id", F.col("id") % 8)
+    fine = buckets.centroids(rows, "v", ["zip_id", "y"]).withColumn("parent", F.col("zip_id") % 2)
+    coarse = buckets.centroids(rows.withColumn("zip_id", F.col("id") % 2), "v", ["zip_id", "y"])
+    assert rate(svm.layered_svm(rows, [coarse, fine], "v", "y", "id", 4, 8)) > 0.8
