@@ -37,7 +37,7 @@ RADIAL = regress.RadialSum(DIM, 2)
 RADIAL_W = _wave(2)[0] + [4.0, 1.5] + _wave(2)[1] + [5.0, -0.5]
 TREE = cluster.Tree({i: {"size": 1, "center": c, "cost": 0.0} for i, c in zip((1, 2, 3, 4, 5), _wave(5), strict=True)})
 SUPPORT = [(i, 1.0 if i % 2 else -1.0, 0.5 + i / 10, c) for i, c in enumerate(_wave(6))]
-KDE = _wave(6, 3, 0.5)
+KDE = _wave(6, DIM, 0.5)
 
 
 def _emb(spark, d):
@@ -121,9 +121,9 @@ def standard_scale(spark, d):
     return out.select("vec_id", F.posexplode("v").alias("pos", "z")).select("vec_id", F.col("pos").cast("long").alias("pos"), _r(F.col("z"), 5).alias("z"))
 
 
-@query(f"SELECT vec_id, label, round(-list_extract(l, label + 1), 6) AS loss FROM (SELECT vec_id, label, list_transform(list_slice(v, 1, 10), lambda x: x - list_max(list_slice(v, 1, 10)) - ln(list_sum(list_transform(list_slice(v, 1, 10), lambda y: exp(y - list_max(list_slice(v, 1, 10))))))) AS l FROM {E})")
+@query(f"SELECT vec_id, label, round(-list_extract(l, label + 1), 6) AS loss FROM (SELECT vec_id, label, list_transform(v, lambda x: x - list_max(v) - ln(list_sum(list_transform(v, lambda y: exp(y - list_max(v)))))) AS l FROM {E})")
 def cross_entropy_loss(spark, d):
-    return _emb(spark, d).select("vec_id", "label", _r(V.cross_entropy(F.slice("v", 1, 10), F.col("label") + 1)).alias("loss"))
+    return _emb(spark, d).select("vec_id", "label", _r(V.cross_entropy(F.col("v"), F.col("label") + 1)).alias("loss"))
 
 
 # --- sign hashing --------------------------------------------------------------
@@ -395,17 +395,16 @@ def label_rules(spark, d):
 
 
 def _kde_sql():
-    s, dim = len(KDE), 3
+    s, dim = len(KDE), DIM
     h = (5.0**0.5) * s ** (-1.0 / (dim + 4))
     c = (0.75**dim) / h**dim / s
     term = lambda k: f"CASE WHEN list_max(list_transform(z{k}, lambda t: abs(t))) < 1 THEN list_product(list_transform(z{k}, lambda t: 1 - t * t)) ELSE 0 END"
-    zs = ", ".join(f"list_transform(list_zip(list_slice(v, 1, 3), {_l(x)}), lambda p: (p[2] - p[1]) / {h!r}) AS z{k}" for k, x in enumerate(KDE))
-    return f"SELECT vec_id, round(pow(({' + '.join(term(k) for k in range(s))}) * {c!r}, 0.5), 6) AS density FROM (SELECT vec_id, {zs} FROM {E})"
+    zs = ", ".join(f"list_transform(list_zip(v, {_l(x)}), lambda p: (p[2] - p[1]) / {h!r}) AS z{k}" for k, x in enumerate(KDE))
+    return f"SELECT vec_id, round(ln(pow(({' + '.join(term(k) for k in range(s))}) * {c!r}, 0.5)), 6) AS density FROM (SELECT vec_id, {zs} FROM {E})"
 
 
 def _density(spark, d):
-    rows = _emb(spark, d).withColumn("v", F.slice("v", 1, 3))
-    return select.density(rows, "v", KDE, 0.5)
+    return select.density(_emb(spark, d), "v", KDE, 0.5).withColumn("density", F.log("density"))
 
 
 @query(_kde_sql())
@@ -544,9 +543,10 @@ def average_hash(spark, d):
     return _pixels(spark, d).select("vec_id", h.alias("h")).select("vec_id", bits.alias("ahash"))
 
 
-@query(f"SELECT vec_id, unnest(range(0, 63)) AS pos, unnest(list_transform(range(0, 63), lambda i: v[(i % 21) * 3 + i // 21 + 1])) AS x FROM {E}")
+@query(f"SELECT vec_id, unnest(range(0, 75)) AS pos, unnest(list_transform(range(0, 75), lambda i: coalesce(v[(i % 25) * 3 + i // 25 + 1], 0))) AS x FROM {E}")
 def planar_layout(spark, d):
-    p = images.to_planar(F.slice("v", 1, 63), 7, 3)
+    """A picture of 5 x 5 pixels of three channels: the vector, filled up with zeros."""
+    p = images.to_planar(V.resize(F.col("v"), 75), 5, 5)
     return _emb(spark, d).select("vec_id", F.posexplode(p).alias("pos", "x")).select("vec_id", F.col("pos").cast("long").alias("pos"), "x")
 
 
