@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import chunks, lean
+from granary.llm.common import KEPT, chunks, lean
 
 #: Pre-tokens longer than this are not memoised; the older half of the memo goes when the newer half has this many entries.
 MEMO_LENGTH, MEMO_ENTRIES = 64, 120_000
@@ -146,6 +146,7 @@ class ByteBpe:
 
 
 _MADE: dict[tuple[str, str], ByteBpe] = {}
+KEPT.append(_MADE)
 
 
 def tokenizer(content: bytes, pattern: str) -> ByteBpe:
@@ -162,6 +163,15 @@ def read_ranks(path: str) -> bytes:
         return f.read()
 
 
+def _encoded(t: ByteBpe, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts end to end, their ends from 0)."""
+    flat, ends = [], [0]
+    for text in texts.to_pylist():
+        flat += t.encode(text) if text else []
+        ends.append(len(flat))
+    return np.array(flat, np.int32), np.array(ends, np.int32)
+
+
 def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids array<int>: every whole text by the ranks, each match of the pattern separately, no special tokens.
 
@@ -171,12 +181,8 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
     def run(batches):
         t = tokenizer(ranks, pattern)
         for batch in chunks(batches, "text", 1 << 20):
-            flat, ends = [], [0]
-            for text in batch.column(1).to_pylist():
-                flat += t.encode(text) if text else []
-                ends.append(len(flat))
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["doc_id", "ids"])
+            ids, ends = _encoded(t, batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))], names=["doc_id", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return lean(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>")
@@ -202,10 +208,20 @@ def decode(encoded: DataFrame, ranks: bytes, pattern: str, keep: list[str], ids_
 
 
 def round_trip(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (of decimal ids joined by a space), decoded_sha256, and the ids where they are asked for."""
-    ids = encode(docs, ranks, pattern, id_col, text_col)
+    """doc_id, n_tokens, ids_sha256 (of decimal ids joined by a space), decoded_sha256, and the ids where they are asked for.
+
+    Texts are encoded, and the ids decoded again, in one pass of a worker.
+    """
+
+    def run(batches):
+        t = tokenizer(ranks, pattern)
+        for batch in chunks(batches, "text", 1 << 20):
+            ids, ends = _encoded(t, batch.column(1))
+            data, at = t.decode(ids.astype(np.int64), ends.astype(np.int64))
+            raw = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)), raw], names=["doc_id", "ids", "decoded"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    coded = lean(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded binary")
     said = F.regexp_replace(F.replace(F.col("ids").cast("string"), F.lit(", "), F.lit(" ")), r"^\[|\]$", "")
-    ids = ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(said, 256).alias("ids_sha256"), "ids")
-    kept = ["ids"] if with_ids else []
-    back = decode(ids, ranks, pattern, ["doc_id", "n_tokens", "ids_sha256", *kept])
-    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), *kept)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(said, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), *(["ids"] if with_ids else []))

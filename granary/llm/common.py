@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +45,32 @@ def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+#: Tables that a worker keeps from task to task for one operator; tasks of others empty them.
+KEPT: list[dict] = []
+
+
+def give_back(run):
+    """run (an iterator of batches to an iterator of batches), after which the worker returns freed memory to the system.
+
+    Workers outlive their tasks and would hold the most that any of them has needed, and what other
+    operators keep in them.
+    """
+
+    @functools.wraps(run)
+    def outer(batches):
+        for table in KEPT:
+            table.clear()
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+            if trim is not None:
+                trim(0)
+
+    return outer
+
+
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from granary.llm.common import bounded_join, chunks, fresh, lean, spread
+from granary.llm.common import bounded_join, chunks, fresh, give_back, lean, spread
 from granary.session import cut
 
 #: Characters that the comparison ignores: [\x20\x09-\x0D].
@@ -143,10 +143,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     bits = max(0, math.ceil(math.log2(lanes))) if rows else 0
     narrow = lean(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = narrow.schema["doc_id"].dataType
-    sent = cut(narrow.mapInArrow(_sender(bits, to_arrow_type(kind)), f"doc_id {kind.simpleString()}, {_SENT_DDL}"))
+    sent = cut(narrow.mapInArrow(give_back(_sender(bits, to_arrow_type(kind))), f"doc_id {kind.simpleString()}, {_SENT_DDL}"))
     each = sent.filter("k is null").select("doc_id", "n_chars", F.lower(F.hex("digest")).alias("text_sha256"), "part", "owner", F.col("n").alias("place"), F.monotonically_increasing_id().alias("row"))
     answers = sent.filter("k is not null").select("part", "owner", "n", "k", "code", "again").groupBy("owner").applyInPandas(_answer, _ANSWER_DDL)
-    marked = answers.mapInArrow(_marked, "part long, owner long, place int")
+    marked = answers.mapInArrow(give_back(_marked), "part long, owner long, place int")
     suspects = cut(each.join(marked, ["part", "owner", "place"], "left_semi").select("doc_id").distinct())
 
     # The marked rows' texts, compared byte for byte.

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import bounded_join, chunks, flat, fresh, lean, shingles, words
+from granary.llm.common import bounded_join, chunks, flat, fresh, give_back, lean, shingles, words
 from granary.llm.url_filter import components
 from granary.session import cut
 
@@ -265,10 +265,10 @@ def similarity_join(docs: DataFrame, k: int = WORDS, threshold: float = THRESHOL
     """
     narrow = lean(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    signed = cut(narrow.mapInArrow(_sign(k), f"doc_id {kind}, n long, class binary, sig binary"))
+    signed = cut(narrow.mapInArrow(give_back(_sign(k)), f"doc_id {kind}, n long, class binary, sig binary"))
     classes = cut(signed.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("sig").alias("sig")))
 
-    banded = classes.select("class", "sig").mapInArrow(_bands, "class binary, keys array<long>").select("class", F.posexplode("keys").alias("band", "key"))
+    banded = classes.select("class", "sig").mapInArrow(give_back(_bands), "class binary, keys array<long>").select("class", F.posexplode("keys").alias("band", "key"))
     full = banded.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select(F.col("key").alias("_key"), F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     meet = banded.join(full, F.col("key") == F.col("_key")).drop("_key")
     # A class goes to every task of its block: with itself and with each other block of its band.
@@ -277,13 +277,13 @@ def similarity_join(docs: DataFrame, k: int = WORDS, threshold: float = THRESHOL
     meet = meet.select("class", "band", "key", "blk", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tasks = meet.join(classes.select("class", "size", "n", "sig"), "class").repartition(parts, "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "blk")
-    left = cut(tasks.select("key", "bi", "bj", "blk", "band", "class", "size", "n", "sig").mapInArrow(_prune(threshold, tolerance), _MEET))
+    left = cut(tasks.select("key", "bi", "bj", "blk", "band", "class", "size", "n", "sig").mapInArrow(give_back(_prune(threshold, tolerance)), _MEET))
 
     reps = classes.join(left.select("class").distinct(), "class", "left_semi").select(F.col("rep").alias("_rep"))
     texts = bounded_join(narrow, cut(reps.distinct()), F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi")
-    sets = texts.mapInArrow(_set_of(k), "class binary, set binary").dropDuplicates(["class"])
+    sets = texts.mapInArrow(give_back(_set_of(k)), "class binary, set binary").dropDuplicates(["class"])
     ready = left.join(sets, "class").repartition(parts, "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-    linked = cut(ready.select("key", "bi", "bj", "class", "size", "n", "partners", "set").mapInArrow(_verify(threshold), _LINKS))
+    linked = cut(ready.select("key", "bi", "bj", "class", "size", "n", "partners", "set").mapInArrow(give_back(_verify(threshold)), _LINKS))
 
     counts = linked.groupBy("class").agg(F.sum("links").alias("links"))
     roots = components(linked.filter("parent is not null"), "class", "parent")

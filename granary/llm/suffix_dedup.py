@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import BASE, bounded_join, chunks, drop, flat, freed, keyed_join, kept, lean, mix, prefix_hash, spread
+from granary.llm.common import BASE, bounded_join, chunks, drop, flat, freed, give_back, kept, keyed_join, lean, mix, prefix_hash, spread
 from granary.llm.ngram_join import _groups
 from granary.llm.sais import pack, permuted_common_prefixes, suffix_arrays
 from granary.session import cut, shared_dir
@@ -253,11 +253,11 @@ def _resolve(ctx: DataFrame, rows: DataFrame, length: int, splits, parts: int) -
     whole = F.array(F.struct((F.col("lead") - F.col("size") + length).cast("int").alias("low"), F.col("lead").cast("int").alias("high")))
     out = rows.filter("n > 1").select("shard", "context", whole.alias("ranges"))
     shards = ctx.filter((F.col("m") > 1) & (F.col("m") <= SHARD)).select("shard", "context", "lead", "bytes")
-    out = out.unionByName(shards.repartition(parts, "shard").sortWithinPartitions("shard", "context").mapInArrow(_suffix_arrays(length), _RANGES))
+    out = out.unionByName(shards.repartition(parts, "shard").sortWithinPartitions("shard", "context").mapInArrow(give_back(_suffix_arrays(length)), _RANGES))
     large = ctx.filter(F.col("m") > SHARD).select("shard", "context", "lead", "bytes")
     if not splits or large.isEmpty():
         return out
-    small = cut(large.mapInArrow(_split(length, splits[0]), "shard long, context long, lead int, bytes binary, from_shard long, from_context long"))
+    small = cut(large.mapInArrow(give_back(_split(length, splits[0])), "shard long, context long, lead int, bytes binary, from_shard long, from_context long"))
     each = small.groupBy("shard", "context").agg(F.count("*").alias("n"), F.first("lead").alias("lead"), F.first("bytes").alias("bytes"))
     sizes = small.select("shard", "context").distinct().groupBy("shard").agg(F.count("*").alias("m"))
     each = cut(each.join(spread(sizes), "shard").filter("n > 1 or m > 1"))
@@ -276,7 +276,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text") -> Da
         # All of a text with a copy recurs; of the copies in one task the anchors of one do.
         copied = texts.groupBy("k").agg(F.count("*").alias("n"), F.first(F.octet_length("text")).alias("size")).filter("n > 1")
         copied = kept(copied.select("k", F.array(F.struct(F.lit(0).alias("first"), (F.col("size") - length).alias("last"))).alias("s")), f"{folder}/copied")
-        every = kept(texts.mapInArrow(_anchored(length), "shard long, context long, k binary, first int, last int, lead int"), f"{folder}/anchors")
+        every = kept(texts.mapInArrow(give_back(_anchored(length)), "shard long, context long, k binary, first int, last int, lead int"), f"{folder}/anchors")
         twice = every.groupBy("shard").agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col("shard").alias("_shard"))
         met = kept(every.join(spread(twice), F.col("shard") == F.col("_shard")).drop("_shard"), f"{folder}/met")
         drop(spark, f"{folder}/anchors")
@@ -285,7 +285,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text") -> Da
         rows = cut(rows.join(spread(sizes), "shard").select("shard", "context", "n", "m", "one.*").withColumn("size", F.col("last") - F.col("first") + length))
         wanted = rows.filter("m > 1").groupBy("k").agg(F.collect_list(F.struct("shard", "context", "first", "last", "lead")).alias("wanted"))
         sources = keyed_join(texts.withColumnRenamed("k", "_k"), cut(wanted), "_k", "k")
-        ctx = sources.select("text", "wanted").mapInArrow(_contexts(length), "shard long, context long, lead int, bytes binary")
+        ctx = sources.select("text", "wanted").mapInArrow(give_back(_contexts(length)), "shard long, context long, lead int, bytes binary")
         # Copies of a text send the same contexts.
         ctx = cut(ctx.dropDuplicates(["shard", "context"]).join(spread(rows.filter("m > 1").select("shard", "m").distinct()), "shard"))
         found = cut(_resolve(ctx, rows, length, SPLITS, parts))
@@ -336,4 +336,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("_k"))
     hit = keyed_join(rows, found, "_k", "k").select("doc_id", "text", "starts")
     rest = bounded_join(rows, found.select("k"), F.col("_k") == F.col("k"), "left_anti").select("doc_id", "text", F.lit(None).cast("array<struct<first:int,last:int>>").alias("starts"))
-    return hit.unionByName(rest).mapInArrow(_removed(length), f"doc_id {kind}, n_bytes long, n_removed long, spans array<struct<start:long,stop:long>>, kept binary")
+    return hit.unionByName(rest).mapInArrow(give_back(_removed(length)), f"doc_id {kind}, n_bytes long, n_removed long, spans array<struct<start:long,stop:long>>, kept binary")

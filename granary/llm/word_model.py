@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import _WORD, chunks, drop, flat, freed, kept, mix, prefix_hash, spread
+from granary.llm.common import _WORD, chunks, drop, flat, freed, give_back, kept, mix, prefix_hash, spread
 from granary.session import cut, shared_dir
 
 #: Classes of bytes: blanks part tokens, and a token is a run of one other class (of words or of signs).
@@ -31,11 +31,11 @@ _CLASS = np.where(_WORD, 1, 2).astype(np.uint8)
 _CLASS[[9, 10, 11, 12, 13, 32]] = 0
 START, END = np.uint64(0x51A7B3C90D2E4F61), np.uint64(0x2F8D6E1B7C5A4093)
 #: Tokens and texts of a block at most: it is counted at once (a longer text stands alone).
-BLOCK_TOKENS, BLOCK_TEXTS = 400_000, 30_000
+BLOCK_TOKENS, BLOCK_TEXTS = 250_000, 30_000
 #: Slices in which pairs are counted, and in which texts are scored.
 COUNT_SLICES, TEXT_SLICES = 4, 8
 #: n-grams that a message of the model holds at most.
-PACK_ROWS = 1_000_000
+PACK_ROWS = 500_000
 DEALT = "shard int, kind int, part long, keys binary, vals binary, rows binary"
 SUMS = "part long, kind int, vals binary, rows binary"
 
@@ -132,7 +132,7 @@ def model(texts: DataFrame, discounts, shard_rows: int) -> Model:
     with freed(spark):
         slices = []
         for s in range(COUNT_SLICES):
-            rows = texts.mapInArrow(_count(COUNT_SLICES, s), "a long, b long, n long")
+            rows = texts.mapInArrow(give_back(_count(COUNT_SLICES, s)), "a long, b long, n long")
             slices.append(kept(rows.groupBy("a", "b").agg(F.sum("n").alias("n")), f"{folder}/pairs/{s}"))
         every = slices[0]
         for x in slices[1:]:
@@ -148,7 +148,7 @@ def model(texts: DataFrame, discounts, shard_rows: int) -> Model:
         d = discounts(every.select(F.col("n").alias("c")))
         # total is the number of different pairs
         shards = max(_width(spark), math.ceil((total + 2 * size) / shard_rows))
-        pack = lambda df, name: df.select("x", "y", F.col("v").cast("float").alias("v")).mapInArrow(_pack(shards), DEALT).write.option("compression", "zstd").parquet(f"{folder}/packed/{name}")
+        pack = lambda df, name: df.select("x", "y", F.col("v").cast("float").alias("v")).mapInArrow(give_back(_pack(shards)), DEALT).write.option("compression", "zstd").parquet(f"{folder}/packed/{name}")
         no = F.lit(None).cast("long")
         pack(p1.select(F.col("w").alias("x"), no.alias("y"), (F.log("p1") - math.log(base)).alias("v")), "words")
         for s, part in enumerate(slices):
@@ -297,11 +297,11 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
     out = []
     with freed(spark):
         for s in range(TEXT_SLICES):
-            dealt = docs.filter(own == s).mapInArrow(_deal(model.shards), DEALT)
+            dealt = docs.filter(own == s).mapInArrow(give_back(_deal(model.shards)), DEALT)
             if model.unknown:
                 dealt = dealt.unionByName(spark.read.schema(DEALT).parquet(f"{model.folder}/packed/*"))
-            sums = dealt.repartitionById(model.shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(_sum, SUMS)
-            rows = sums.repartition(width, "part").sortWithinPartitions("part", "kind").mapInArrow(_add(model.unknown), f"{columns}, _tokens long, _lp double")
+            sums = dealt.repartitionById(model.shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(give_back(_sum), SUMS)
+            rows = sums.repartition(width, "part").sortWithinPartitions("part", "kind").mapInArrow(give_back(_add(model.unknown)), f"{columns}, _tokens long, _lp double")
             out.append(kept(rows, f"{model.folder}/scored/{s}"))
         every = out[0]
         for x in out[1:]:

@@ -19,7 +19,9 @@ def folder(spark, tmp_path_factory):
     prose = lambda n: " ".join(rng.choice(words) + rng.choice(["", "", "", "."]) for _ in range(n)) + rng.choice([".", ".  ", " extra"])
     leak = " ".join(rng.choice(words) for _ in range(30))
     rows = [(i, prose(60)) for i in range(300)]
-    rows += [(1000, rows[0][1]), (1001, rows[0][1] + "  "), (1002, rows[1][1] + " extra"), (1003, rows[2][1] + " " + leak)]
+    # 1003 has the passage without the full stops that all other texts have, 1004 with them
+    said = "".join(w + (". " if i % 3 == 2 else " ") for i, w in enumerate(leak.split()))
+    rows += [(1000, rows[0][1]), (1001, rows[0][1] + "  "), (1002, rows[1][1] + " extra"), (1003, rows[2][1] + " " + leak), (1004, rows[3][1] + " " + said)]
     rows += [(2000 + i, " ".join(rng.choice("#$%&") * 4 for _ in range(40))) for i in range(20)] + [(3000, None), (3001, "")]
     docs = [(i, t, "en", "src", len(t or "")) for i, t in rows]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
@@ -40,10 +42,10 @@ def test_stages_and_result(spark, folder):
     good, exact, near, clean, coded = frames
     assert not good & ({3000, 3001} | set(range(2000, 2020))) and len(good & set(range(300))) >= 290
     # copies: the longest stays; near copies: the smallest id
-    assert {0, 1, 2, 1001, 1002, 1003} <= good
+    assert {0, 1, 2, 3, 1001, 1002, 1004} <= good  # by pairs of words, 1003 may be too unlike the rest
     assert exact == good - {0, 1000}
     assert near == exact - {1002}
-    assert clean == near - {1003}
+    assert 1004 in near and clean == near - {1003, 1004}
     assert coded == clean
     out = corpus_pipeline.run(spark, folder).collect()
     assert {r.doc_id for r in out} == clean
