@@ -277,12 +277,15 @@ def pca_features(df: DataFrame, vector: str, key: str, count: int) -> DataFrame:
 
 def svd_projection(df: DataFrame, vector: str, key: str, count: int) -> DataFrame:
     """key, features: rows of U of the SVD, from the eigenvectors of the Gram matrix (dimension squared values on the driver)."""
-    cells = df.select(dense(vector).alias("v")).select("v", F.posexplode("v").alias("i", "x")).select("i", "x", F.posexplode("v").alias("j", "y"))
-    got = cells.groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("g")).collect()
-    d = max((r["i"] for r in got), default=-1) + 1
-    gram = np.zeros((d, d))
-    for r in got:
-        gram[r["i"], r["j"]] = r["g"]
+    def part(frames):
+        for pdf in frames:
+            if len(pdf):
+                x = np.stack(pdf["v"].to_numpy()).astype(float)
+                yield pd.DataFrame({"i": np.arange(x.shape[1]), "row": list(x.T @ x)})
+
+    # Every batch sends its own matrix, which are added by row.
+    got = df.select(dense(vector).alias("v")).mapInPandas(part, "i int, row array<double>").groupBy("i").agg(F.count("*").alias("n"), mean_vector(F.col("row")).alias("row")).orderBy("i").collect()
+    gram = np.array([np.array(r["row"]) * r["n"] for r in got]).reshape(len(got), len(got))
     values, vectors = np.linalg.eigh(gram)
     top = np.argsort(values)[::-1][:count]
     basis = vectors[:, top] / np.sqrt(np.maximum(values[top], 1e-12))

@@ -121,8 +121,8 @@ def ratings(spark: SparkSession, path: str) -> DataFrame:
 
 
 def user_vectors(rows: DataFrame, user: str = "user", item: str = "item", rating: str = "rating") -> DataFrame:
-    """user, items, ratings: a sparse vector a user; of repeated items the largest rating stays."""
-    one = rows.groupBy(user, item).agg(F.max(rating).alias(rating))
+    """user, items, ratings: a sparse vector a user; of repeated items the largest rating stays. Rows are shuffled once, by user."""
+    one = rows.select(user, item, rating).repartition(user).groupBy(user, item).agg(F.max(rating).alias(rating))
     pairs = one.groupBy(user).agg(F.array_sort(F.collect_list(F.struct(item, rating))).alias("p"))
     return pairs.select(user, F.transform("p", lambda x: x[item]).alias("items"), F.transform("p", lambda x: x[rating]).alias("ratings"))
 
