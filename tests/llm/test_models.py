@@ -90,6 +90,8 @@ def test_quality_keeps_clean_and_drops_junk(spark, monkeypatch):
     assert not kept[900] and not kept[901] and kept[902]
     assert next(r for r in got if r.doc_id == 900).perplexity is None
     monkeypatch.setattr(quality, "SHARD_ROWS", 20)
+    monkeypatch.setattr(word_model, "COUNT_SLICES", 3)
+    monkeypatch.setattr(word_model, "TEXT_SLICES", 5)
     again = {r.doc_id: r.perplexity for r in score(df, lb).collect()}
     assert all(again[r.doc_id] == pytest.approx(r.perplexity, rel=1e-5) for r in got if r.perplexity)
     left = keep_good(df, lb)
