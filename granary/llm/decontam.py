@@ -35,10 +35,15 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(lowered(text), GAP), "")
 
 
-def _hashes(w: Column, n: Column, size: int) -> Column:
-    """The hash of each run of `size` words, in order."""
+def _of_words(w: Column) -> Column:
+    """The hash of each word: a window is hashed by those of its words, so that each word is read once."""
+    return F.transform(w, lambda x: F.xxhash64(x))
+
+
+def _hashes(each: Column, n: Column, size: int) -> Column:
+    """The hash of each run of `size` words (each: the hashes of the words), in order."""
     starts = F.when(n >= size, F.sequence(F.lit(1), n - (size - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(F.slice(w, i, F.lit(size))))
+    return F.transform(starts, lambda i: F.xxhash64(F.slice(each, i, F.lit(size))))
 
 
 def grams(items: DataFrame, window: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -52,7 +57,7 @@ def grams(items: DataFrame, window: int = WINDOW, id_col: str = "item_id", text_
     starts = w.select("item", "w", size.alias("size"), F.explode(F.sequence(F.lit(1), F.col("n") - size + 1)).alias("i"))
     cells = starts.select("item", "size", F.slice("w", F.col("i"), F.col("size")).alias("gram"))
     out = cells.groupBy("size", "gram").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    return out.select(F.xxhash64("gram").alias("h"), "size", F.array_join("gram", " ").alias("gram"), "items", F.md5(F.to_json("items")).alias("set"))
+    return out.select(F.xxhash64(_of_words(F.col("gram"))).alias("h"), "size", F.array_join("gram", " ").alias("gram"), "items", F.md5(F.to_json("items")).alias("set"))
 
 
 def _key(text: Column) -> Column:
@@ -70,7 +75,7 @@ def verified_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_
     sizes = sorted((r[0] for r in tests.select("size").distinct().collect()), reverse=True)  # at most `window` values
     if not sizes:
         return docs.select(_key(F.col(text_col)).alias("k"), F.array().cast("array<struct<start:int,size:int>>").alias("spans"), F.array().cast("array<string>").alias("items")).limit(0)
-    hashed = let(words(F.col(text_col)), lambda w: F.struct(F.size(w).alias("n"), F.concat(*[_hashes(w, F.size(w), s) for s in sizes]).alias("hs")))
+    hashed = let(_of_words(words(F.col(text_col))), lambda each: F.struct(F.size(each).alias("n"), F.concat(*[_hashes(each, F.size(each), s) for s in sizes]).alias("hs")))
     base = docs.select(_key(F.col(text_col)).alias("k"), hashed.alias("x"))
     probes = base.select("k", F.col("x.n").alias("n"), F.posexplode("x.hs").alias("at", "h"))
     hits = bounded_join(probes, cut(tests.select("h", "size").distinct()), "h", "inner")
