@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granary.functions.vectors import once
+
 #: Weights of red, green and blue in grey.
 GREY = (0.3, 0.59, 0.11)
 
@@ -59,14 +61,13 @@ def average_hash(pixels: Column, levels: int = 64) -> Column:
     """64 grey pixels (0..255) -> bit 63-i set where pixel i is at least the mean."""
     scaled = F.transform(pixels, lambda x: x / 255.0 * levels)
     mean = F.aggregate(scaled, F.lit(0.0), lambda a, x: a + x) / F.size(pixels)
-    return _bits(F.transform(scaled, lambda x: x >= mean))
+    return _bits(once(mean, lambda m: F.transform(scaled, lambda x: x >= m)))
 
 
 def difference_hash(pixels: Column, height: int = 8, width: int = 9) -> Column:
     """height x width grey pixels -> a bit for each pixel that is brighter than its right neighbour."""
-    index = F.sequence(F.lit(0), F.lit(height * (width - 1) - 1))
-    at = lambda i: (F.floor(i / (width - 1)) * width + i % (width - 1)).cast("int")
-    return _bits(F.transform(index, lambda i: F.get(pixels, at(i)) > F.get(pixels, at(i) + 1)))
+    falls = F.zip_with(pixels, F.slice(pixels, F.lit(2), F.greatest(F.size(pixels) - 1, F.lit(0))), lambda a, b: a > b)
+    return _bits(F.filter(F.slice(falls, 1, height * width), lambda _, i: i % width < width - 1))
 
 
 def _bits(flags: Column) -> Column:
@@ -76,7 +77,7 @@ def _bits(flags: Column) -> Column:
 
 def hash_bits(h: Column) -> Column:
     """A 64-bit hash as 64 doubles, the highest bit first."""
-    return F.transform(F.sequence(F.lit(63), F.lit(0), F.lit(-1)), lambda i: F.call_function("shiftrightunsigned", h, i).bitwiseAND(F.lit(1)).cast("double"))
+    return once(h, lambda x: F.transform(F.sequence(F.lit(63), F.lit(0), F.lit(-1)), lambda i: F.call_function("shiftrightunsigned", x, i).bitwiseAND(F.lit(1)).cast("double")))
 
 
 def dct(pixels: np.ndarray) -> np.ndarray:

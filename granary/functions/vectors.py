@@ -28,6 +28,11 @@ def axpy(alpha, x: Column, y: Column) -> Column:
     return F.zip_with(x, y, lambda p, q: alpha * p + q)
 
 
+def once(value: Column, body) -> Column:
+    """body(value) with value computed once: an expression inside a lambda is computed again for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def scal(alpha, x: Column) -> Column:
     alpha = alpha if isinstance(alpha, Column) else F.lit(float(alpha))
     return F.transform(x, lambda p: alpha * p)

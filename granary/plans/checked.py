@@ -11,11 +11,12 @@ import uuid
 import numpy as np
 from pyspark.sql import functions as F
 
+from granary.functions import images
 from granary.functions import vectors as V
 from granary.operators import buckets, cluster, gossip, lsh, neural, pairs, regress, select, svm
 from granary.plans.queries import CENTERS, E, NET, NET_W, PLANES, PROBE, TABLES, _dot, _emb, _events, _l, _lloyd, _r, _sq, _zips, query
 from granary.session import cut, load, shared_dir
-from granary.sources import text
+from granary.sources import binary, text
 
 
 def _row(spark, **values):
@@ -474,3 +475,244 @@ def gossip_training(spark, d):
     state, history = gossip.train(e, neural.Perceptron([64, 10]), "v", "label", "edge", gossip.GossipConfig(4, 3, step=0.5), "scored")
     got = state.agg(F.count("*").alias("edges"), F.sum("score").alias("s")).first()
     return _row(spark, falls=history[-1] < history[0], edges=got["edges"], whole_scores=abs(got["s"] - 1) < 1e-9).withColumn("edges", F.col("edges").cast("int"))
+
+
+# --- functions --------------------------------------------------------------------------------
+
+
+_HALF = "list_transform(v, lambda x: x * x / list_sum(list_transform(v, lambda y: y * y)))"
+
+
+@query(f"""SELECT vec_id, round(list_sum(list_transform({_HALF}, lambda x: x)), 6) AS whole, round({_dot('list_resize(v, 70, 0.0)', _l([1.0] * 70))}, 6) AS resized,
+    bit_count(xor(vec_id, label::BIGINT)) / 64.0::DOUBLE AS hamming, printf('%.2f', v[1]) AS said, TRY_CAST(CASE WHEN label = 3 THEN 'x' ELSE label::VARCHAR END AS DOUBLE) AS parsed FROM {E}""")
+def vec_more(spark, d):
+    """Bhattacharyya of a distribution with itself is 1; bits that differ, resized vectors, safe parsing, two digits."""
+    v = F.col("v")
+    share = F.transform(v, lambda x: x * x / V.total(F.transform(v, lambda y: y * y)))
+    return _emb(spark, d).select(
+        "vec_id",
+        _r(V.bhattacharyya(share, share)).alias("whole"),
+        _r(V.total(V.resize(v, 70))).alias("resized"),
+        V.hamming(F.col("vec_id"), F.col("label").cast("long")).alias("hamming"),
+        V.two_digits(F.get(v, F.lit(0))).alias("said"),
+        V.safe_double(F.when(F.col("label") == 3, "x").otherwise(F.col("label").cast("string"))).alias("parsed"),
+    )
+
+
+@query(f"SELECT vec_id, round({_dot('a', 'b')} / (sqrt({_dot('a', 'a')}) * sqrt({_dot('b', 'b')})), 6) AS cosine FROM (SELECT vec_id, list_transform(i, lambda k: v[k + 1]) AS a, list_transform(i, lambda k: ({_l(PROBE)})[k + 1]) AS b FROM (SELECT *, list_filter(range(0, 64), lambda k: k % 2 = 0 AND k % 3 <> 0) AS i FROM {E}))")
+def cosine_shared(spark, d):
+    """Two sparse vectors over the indices that both have: the even ones, and those that three doesn't divide."""
+    pick = lambda values, keep: V.sparse(F.filter(F.sequence(F.lit(0), F.lit(63)), keep), F.filter(values, lambda _, i: keep(i)))
+    a, b = pick(F.col("v"), lambda i: i % 2 == 0), pick(V.literal(PROBE), lambda i: i % 3 != 0)
+    return _emb(spark, d).select("vec_id", _r(V.cosine_shared(a, b)).alias("cosine"))
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS idx FROM events")
+def dense_ids(spark, d):
+    return select.dense_ids(load(spark, d, "events").select("event_id"), "event_id")
+
+
+@query("SELECT label % 4 AS category, count(*) AS n, 1 AS partitions FROM embeddings GROUP BY 1")
+def category_partition(spark, d):
+    """Rows of a category are in one partition."""
+    rows = select.category_partition(load(spark, d, "embeddings"), "label", 4).withColumn("p", F.spark_partition_id())
+    return rows.groupBy("category").agg(F.count("*").alias("n"), F.count_distinct("p").cast("int").alias("partitions"))
+
+
+@query("SELECT o_custkey, count(*) AS size FROM orders GROUP BY 1 ORDER BY size DESC, o_custkey LIMIT 12")
+def divisible_groups(spark, d):
+    sizes = load(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("size"))
+    return select.divisible(sizes, "size", "o_custkey", 12)
+
+
+@query("SELECT user_id % 7 AS parent, list(event_id ORDER BY event_id)[1] AS first, count(*) AS total FROM events GROUP BY 1")
+def nested_buckets(spark, d):
+    """Two layers as one row a parent: children in their order, and the rows of all of them."""
+    rows = load(spark, d, "events").select((F.col("user_id") % 7).alias("parent"), "event_id")
+    got = buckets.nested(rows, "parent", "event_id")
+    return got.select("parent", F.get("event_id", F.lit(0)).alias("first"), "total")
+
+
+# --- index ------------------------------------------------------------------------------------
+
+
+@query(f"SELECT table_id, count(*) AS n, count(DISTINCT vec_id) AS vectors, max(vec_id) AS most FROM (SELECT unnest(range(0, {TABLES}))::INT AS table_id, vec_id FROM embeddings UNION ALL SELECT unnest(range(0, {TABLES}))::INT, vec_id + 1000000 FROM embeddings) GROUP BY 1")
+def index_added(spark, d):
+    e = _emb(spark, d)
+    more = lsh.add(lsh.build(e, "v", "vec_id", PLANES, TABLES), e.withColumn("vec_id", F.col("vec_id") + 1_000_000), "v", "vec_id", PLANES, TABLES)
+    return more.groupBy("table_id").agg(F.count("*").alias("n"), F.count_distinct("vec_id").alias("vectors"), F.max("vec_id").alias("most"))
+
+
+@query(f"SELECT count(*) * {TABLES} AS n, true AS same FROM embeddings")
+def streamed_index(spark, d):
+    """An index appended by a stream over the table's files, as many batches as there are, holds what the batch build gives."""
+    from granary.streaming import index as streams
+
+    folder = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    table = load(spark, d, "embeddings")
+    table.write.parquet(f"{folder}/in")
+    source = spark.readStream.schema(table.schema).parquet(f"{folder}/in")
+    q = streams.append_index(source, "embedding", "vec_id", PLANES, TABLES, f"{folder}/out", f"{folder}/checkpoint")
+    q.processAllAvailable()
+    q.stop()
+    got = spark.read.parquet(f"{folder}/out").select("vec_id", "table_id", "hash_key")
+    want = lsh.build(table, "embedding", "vec_id", PLANES, TABLES).select("vec_id", "table_id", "hash_key")
+    out = _row(spark, n=got.count(), same=got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty())
+    text.delete(spark, folder)
+    return out
+
+
+# --- images ----------------------------------------------------------------------------------------
+
+
+def _grey_bytes(spark, d, size):
+    """vec_id, label, pixels binary: the vector as grey values, filled up with zeros to `size`."""
+    px = F.transform(V.resize(F.col("v"), size), lambda x: F.least(F.lit(255.0), F.floor(F.abs(x) * 400)).cast("int"))
+    return _emb(spark, d).select("vec_id", "label", F.unhex(F.array_join(F.transform(px, lambda x: F.lpad(F.hex(x), 2, "0")), "")).alias("pixels"))
+
+
+def _one_file(spark, values, last):
+    """Path of one binary file of the rows' bytes, in order, whose last byte `last` the text writer puts there."""
+    path = f"{shared_dir(spark).rstrip('/')}/binary-{uuid.uuid4().hex}"
+    values.coalesce(1).select(F.col("value").cast("string")).write.option("lineSep", last).text(path)
+    return path
+
+
+_PX = "list_transform(list_resize(v, 72, 0.0), lambda x: least(255, floor(abs(x) * 400)))"
+
+
+@query(f"SELECT (label + 1)::DOUBLE AS label, count(*) AS n, sum(list_sum({_PX}))::BIGINT AS total FROM {E} GROUP BY 1")
+def source_idx(spark, d):
+    """A pair of IDX files of 9 x 8 pictures, whose last pixel is 0, and of their labels."""
+    rows = _grey_bytes(spark, d, 72)
+    n = rows.count()
+    # A file is one row here, as its format has one header; what follows has a row a picture.
+    body = rows.agg(F.array_sort(F.collect_list(F.struct("vec_id", "pixels", "label"))).alias("r"))
+    head = lambda *x: F.unhex(F.lit("".join(f"{i:08x}" for i in x)))
+    images = body.select(F.concat(head(2051, n, 9, 8), F.unhex(F.array_join(F.transform("r", lambda r: F.hex(r["pixels"])), ""))).alias("value"))
+    labels = body.select(F.concat(head(2049, n), F.unhex(F.array_join(F.transform("r", lambda r: F.lpad(F.hex(r["label"]), 2, "0")), ""))).alias("value"))
+    last = rows.orderBy(F.desc("vec_id")).first()["label"]
+    cut_ = lambda df: df.select(F.expr("substring(value, 1, length(value) - 1)").alias("value"))
+    a, b = _one_file(spark, cut_(images), "\0"), _one_file(spark, cut_(labels), chr(last))
+    got = cut(binary.pixel_array(binary.mnist(spark, f"{a}/part-*", f"{b}/part-*")))
+    for p in (a, b):
+        text.delete(spark, p)
+    return got.groupBy(F.col("label").cast("double").alias("label")).agg(F.count("*").alias("n"), F.sum(V.total(F.col("features"))).cast("long").alias("total"))
+
+
+@query(f"SELECT (label + 1)::DOUBLE AS label, count(*) AS n, sum(list_sum(list_transform(v, lambda x: least(255, floor(abs(x) * 400)))))::BIGINT AS total FROM {E} GROUP BY 1")
+def source_cifar(spark, d):
+    """Records of a label and 3 x 32 x 32 planar pixels: the vector, filled up with zeros."""
+    rows = _grey_bytes(spark, d, 3072).select(F.expr("concat(unhex(lpad(hex(label), 2, '0')), substring(pixels, 1, 3071))").alias("value"))
+    path = _one_file(spark, rows, "\0")
+    got = cut(binary.pixel_array(binary.cifar10(spark, f"{path}/part-*")))
+    text.delete(spark, path)
+    return got.groupBy(F.col("label").cast("double").alias("label")).agg(F.count("*").alias("n"), F.sum(V.total(F.col("features"))).cast("long").alias("total"))
+
+
+@query(f"SELECT vec_id, array_to_string(list_transform(range(0, 64), lambda i: CASE WHEN p[(i // 8) * 9 + i % 8 + 1] > p[(i // 8) * 9 + i % 8 + 2] THEN '1' ELSE '0' END), '') AS dhash FROM (SELECT vec_id, {_PX} AS p FROM {E})")
+def difference_hash(spark, d):
+    px = F.transform(V.resize(F.col("v"), 72), lambda x: F.least(F.lit(255.0), F.floor(F.abs(x) * 400).cast("double")))
+    bits = F.array_join(F.transform(images.hash_bits(F.col("h")), lambda b: b.cast("int").cast("string")), "")
+    return _emb(spark, d).select("vec_id", images.difference_hash(px).alias("h")).select("vec_id", bits.alias("dhash"))
+
+
+@query(f"SELECT vec_id, round(list_sum(list_transform(range(0, 63), lambda i: (v[i + 1] - [0.1, 0.2, 0.3][i % 3 + 1]) / [0.5, 0.25, 2.0][i % 3 + 1])) + (v[64] - 0.1) / 0.5, 6) AS total FROM {E}")
+def channel_scaled(spark, d):
+    return _emb(spark, d).select("vec_id", _r(V.total(images.channel_scale(F.col("v"), [0.1, 0.2, 0.3], [0.5, 0.25, 2.0]))).alias("total"))
+
+
+# --- more trainers ---------------------------------------------------------------------------------
+
+
+def _sides(spark, d):
+    return _emb(spark, d).withColumn("y", F.when(F.col("label") < 5, -1.0).otherwise(1.0))
+
+
+def _right(rows, support, bias=0.0):
+    m = svm.margins(rows, "v", "vec_id", support, "rbf", 0.05, bias)
+    return svm.accuracy(rows.join(m, "vec_id").withColumn("p", svm.predict(F.col("margin"))), "y", "p").first()[0]
+
+
+@query("SELECT true AS inside, true AS bounded, true AS better_than_chance")
+def cascade_machine(spark, d):
+    """Support rows are rows, with weights up to c, and the machine does better on its rows than a guess."""
+    e = _sides(spark, d)
+    s, bias = svm.cascade(e, "v", "y", "vec_id", 8, 2, gamma=0.05)
+    return _row(spark, inside=s.join(e, F.col("sv_id") == F.col("vec_id"), "left_anti").isEmpty(), bounded=s.filter("alpha <= 0 or alpha > 1 + 1e-9").isEmpty(), better_than_chance=_right(e, s, bias) > 0.5)
+
+
+@query("SELECT true AS inside, true AS better_than_chance")
+def zip_machine(spark, d):
+    """A machine that draws from the rows of the zips that support one trained on zips."""
+    rows, zips = svm.zipped(_sides(spark, d).drop("label"), "v", "y", "vec_id", 20, "pca")
+    s = svm.zip_svm(rows, zips, "v", "y", "vec_id", 4, 40).support(spark)
+    return _row(spark, inside=s.join(rows, F.col("sv_id") == F.col("vec_id"), "left_anti").isEmpty(), better_than_chance=_right(rows, s) > 0.5)
+
+
+@query("SELECT true AS minibatch, true AS top, true AS zips")
+def descents(spark, d):
+    """Mini-batches, the rows of the largest gradients, and the rows of the zips of the largest gradients each lower the loss."""
+    e = _emb(spark, d)
+    w = np.array(NET_W)
+    at = lambda x: regress.loss(e, NET, "v", "label", x).first()["loss"]
+    start = at(w)
+    rows, zips = _zips(spark, d)
+    top = regress.top_gradient(e, NET, "v", "label", "vec_id", w, 0.5, "label")
+    zipped = regress.zip_descent(rows, zips.withColumn("part", F.col("label")), NET, "v", "label", w, 2, 0.5, 0.5, "part")
+    return _row(spark, minibatch=at(regress.minibatch(e, NET, "v", "label", w, 3, 0.5, 0.5)) < start, top=at(w - 0.5 / e.count() * top) < start, zips=at(zipped) < start)
+
+
+@query("SELECT 64 AS n, true AS least FROM embeddings LIMIT 1")
+def linear_regression(spark, d):
+    """Coefficients for each position, with an error below that of the mean."""
+    e = _emb(spark, d)
+    m = regress.linear_regression(e, "v", "label")
+    spread = e.agg(F.stddev_pop("label")).first()[0]
+    return _row(spark, n=len(m.coefficients), least=m.summary.rootMeanSquaredError < spread).withColumn("n", F.col("n").cast("int"))
+
+
+@query("SELECT true AS falls, true AS network_falls")
+def zipped_networks(spark, d):
+    """A perceptron trained through zips, and a network of layers on the vectors as 8 x 8 pictures: losses fall."""
+    e = _emb(spark, d)
+    rows, zips = _zips(spark, d)
+    model = neural.Perceptron([64, 10])
+    _, history = neural.fit_zips(rows, zips.withColumn("part", F.lit(0)), model, "v", "label", 4, "part", neural.Update("constant", 0.5))
+    net = neural.Network([("conv", 4, 3), ("pool", 2), ("full", 10)], 8)
+    _, losses = neural.fit(e, net, "v", "label", 6, neural.Update("constant", 0.2))
+    return _row(spark, falls=history[-1] < history[0], network_falls=losses[-1] < losses[0])
+
+
+@query("SELECT 4 AS edges, true AS pairs, true AS ring")
+def gossip_modes(spark, d):
+    """Means with random peers, and gradients averaged around a ring: losses fall."""
+    e = _emb(spark, d).withColumn("edge", F.pmod("vec_id", F.lit(4)) + 1)
+    model, cfg = neural.Perceptron([64, 10]), gossip.GossipConfig(4, 3, step=0.5)
+    state, first = gossip.train(e, model, "v", "label", "edge", cfg, "pairs")
+    _, second = gossip.train(e, model, "v", "label", "edge", cfg, "ring")
+    return _row(spark, edges=gossip.members(state), pairs=first[-1] < first[0], ring=second[-1] < second[0]).withColumn("edges", F.col("edges").cast("int"))
+
+
+@query("SELECT 6 AS leaves, count(*) AS n, true AS same FROM embeddings")
+def tree_saved(spark, d):
+    """A tree of zips' rows, saved and loaded again, predicts the same clusters."""
+    rows, zips = _zips(spark, d)
+    t = cluster.bisecting_kmeans(rows, "v", 6, 2, zips=zips, ratio=0.5)
+    path = f"{shared_dir(spark).rstrip('/')}/tree-{uuid.uuid4().hex}"
+    t.save(spark, path)
+    back = cluster.Tree.load(spark, path)
+    text.delete(spark, path)
+    a, b = t.predict(rows, "v").select("vec_id", "cluster"), back.predict(rows, "v").select("vec_id", "cluster")
+    out = _row(spark, leaves=len(back.leaves()), n=a.count(), same=a.exceptAll(b).isEmpty())
+    return out.withColumn("leaves", F.col("leaves").cast("int"))
+
+
+@query("SELECT 5 AS clusters, count(*) AS n FROM embeddings")
+def mllib_kmeans(spark, d):
+    from pyspark.ml.functions import array_to_vector
+
+    e = _emb(spark, d)
+    m = cluster.mllib_kmeans(e, "v", 5, 5)
+    got = m.transform(e.select(array_to_vector("v").alias("x")))
+    return got.agg(F.count_distinct("prediction").cast("int").alias("clusters"), F.count("*").alias("n"))

@@ -64,10 +64,8 @@ def cifar10_folder(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFra
 
 def pixel_array(df: DataFrame, pixels: str = "pixels", out: str = "features") -> DataFrame:
     """Binary pixels as array<double> of 0..255."""
-    hexed = F.hex(pixels)
-    at = F.sequence(F.lit(0), F.length(pixels) - 1)
-    values = F.transform(at, lambda i: F.conv(F.substring(hexed, i * 2 + 1, F.lit(2)), 16, 10).cast("double"))
-    return df.withColumn(out, F.when(F.length(pixels) > 0, values).otherwise(F.array().cast("array<double>")))
+    digits = F.regexp_extract_all(F.hex(pixels), F.lit("(..)"), 1)
+    return df.withColumn(out, F.transform(digits, lambda x: F.conv(x, 16, 10).cast("double")))
 
 
 def normalised(df: DataFrame, means: list[float], deviations: list[float], pixels: str = "features") -> DataFrame:
