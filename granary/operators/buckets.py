@@ -167,11 +167,12 @@ def svd_features(df: DataFrame, vector: str, key: str, count: int, by: str | Non
     return rows.groupBy(*([by] if by else [])).applyInPandas(fit, f"`{key}` {kind}, features array<double>")
 
 
-def incremental_svd(x: np.ndarray, count: int, rounds: int, ratio: int = 1, rate: float = 0.001, reg: float = 0.015, start: float = 0.1, limit: float = 30.0, true_stride: bool = False, backtracking: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def incremental_svd(x: np.ndarray, count: int, rounds: int, ratio: int = 1, rate: float = 0.001, reg: float = 0.015, start: float = 0.1, limit: float = 30.0, true_stride: bool = False, backtracking: bool = False, trailing: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Row factors and column factors; rows of one step are updated together, columns in the order they are visited.
 
     A step: p = clip(u.m), e = x - p, u += rate (e m - reg u), m += rate (e u - reg m). Backtracking
-    halves the rate where the error has risen, 20 times at most, and lets it decay by 0.9.
+    halves the rate where the error has risen, 20 times at most, and lets it decay by 0.9. With
+    `trailing` p also has what the factors that aren't stepped yet give at their start.
     """
     n, m = x.shape
     width = max(1, round(m / ratio))
@@ -182,7 +183,8 @@ def incremental_svd(x: np.ndarray, count: int, rounds: int, ratio: int = 1, rate
             old = u[:, f].copy(), v[f].copy()
             for j in range(width):
                 c = (f + j * (ratio if true_stride else width)) % m
-                e = x[:, c] - np.clip(u[:, : f + 1] @ v[: f + 1, c], -limit, limit)
+                later = (count - f - 1) * start * start if trailing else 0.0
+                e = x[:, c] - np.clip(u[:, : f + 1] @ v[: f + 1, c] + later, -limit, limit)
                 before = u[:, f].copy()
                 u[:, f] += speed * (e * v[f, c] - reg * u[:, f])
                 v[f, c] += speed * (float(e @ before) - reg * v[f, c])
@@ -382,3 +384,36 @@ def nested(layered: DataFrame, coarse: str, fine: str) -> DataFrame:
 def select_members(layered: DataFrame, chosen: DataFrame, by: list[str]) -> DataFrame:
     """The rows of the chosen aggregates (by their keys)."""
     return layered.join(chosen.select(*by).distinct(), by, "left_semi")
+
+
+def direct_buckets(df: DataFrame, vector: str, key: str, upper: int, parts: int = 2, most: int = 8) -> DataFrame:
+    """df with bucket: hash_iterative on the raw positions, those of the largest deviation first."""
+    order = by_deviation(df, vector)[:most]
+    return hash_iterative(df, [F.get(dense(vector), F.lit(i)) for i in order], key, upper, parts)
+
+
+def two_levels(df: DataFrame, features: list[Column], key: str, upper: int) -> DataFrame:
+    """df with coarse and bucket: median splits into buckets of about `upper` rows, and each of these into ones of half as many."""
+    depth = levels_for(df.count(), upper)
+    if depth + 1 > len(features):
+        raise ValueError(f"{depth + 1} features are needed")
+    out = median_split(df, features[: depth + 1], key)
+    return out.withColumn("coarse", F.substring("bucket", 1, depth))
+
+
+def members_of(df: DataFrame, key: str, by: list[str]) -> DataFrame:
+    """by, size, members (keys in order): a bucket with the rows behind it; the rows themselves stay in their table."""
+    return df.groupBy(*by).agg(F.count("*").alias("size"), F.array_sort(F.collect_list(key)).alias("members"))
+
+
+def pure_centroids(df: DataFrame, vector: str, by: list[str], label: str) -> DataFrame:
+    """centroids with the label of each bucket, all of whose rows must have it: others are an error."""
+    got = df.groupBy(*by).agg(F.count("*").alias("size"), mean_vector(dense(vector)).alias("centroid"), F.min(label).alias("_low"), F.max(label).alias("_high"))
+    same = F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise(F.raise_error(F.lit("a bucket with several labels")))
+    return got.select(*by, "size", "centroid", same.alias(label))
+
+
+def hashed_buckets(df: DataFrame, hashed: Column, key: str, label: str, upper: int) -> DataFrame:
+    """df with bucket: each label's rows in the order of a perceptual hash, cut into stretches of about `upper` rows by median splits."""
+    top = largest(df, [label])
+    return median_split(df, [hashed] * levels_for(top, upper), key, [label])

@@ -65,6 +65,13 @@ def where(index: DataFrame, predicate: Column) -> DataFrame:
     return index.filter(predicate)
 
 
+def same_bits(df: DataFrame, vector: str, key: str, hyper: list[list[float]], one) -> DataFrame:
+    """The rows whose bits, of all planes joined, are those of the row with key `one`, which is among them."""
+    said = F.concat(*[bit(dense(vector), p).cast("string") for p in hyper])
+    asked = df.filter(F.col(key) == F.lit(one)).select(said.alias("_asked")).limit(1)  # one row
+    return df.withColumn("_bits", said).join(F.broadcast(asked), F.col("_bits") == F.col("_asked")).drop("_bits", "_asked")
+
+
 def multiput(store: DataFrame, changes: DataFrame, key: str, value: str) -> DataFrame:
     """store with the values of changes where it has them; keys that only changes has are added."""
     new = changes.select(key, F.col(value).alias("_new"), F.lit(True).alias("_has"))

@@ -364,5 +364,16 @@ def convolve(x: np.ndarray, k: np.ndarray, full: bool = False) -> np.ndarray:
     return np.einsum("ijkl,kl->ij", np.lib.stride_tricks.sliding_window_view(x, k.shape), k[::-1, ::-1])
 
 
+def pool_mean(x: np.ndarray, size: int) -> np.ndarray:
+    """Means of size x size cells; what doesn't fill a cell is left out."""
+    h, w = (n // size for n in x.shape)
+    return x[: h * size, : w * size].reshape(h, size, w, size).mean(axis=(1, 3))
+
+
+def unpool(x: np.ndarray, size: int) -> np.ndarray:
+    """Each value as a size x size cell: the Kronecker product with ones."""
+    return np.kron(x, np.ones((size, size)))
+
+
 def spec(model) -> str:
     return json.dumps({k: v for k, v in vars(model).items() if isinstance(v, (int, float, list, bool))})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,7 +50,49 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+@contextlib.contextmanager
+def freed(spark: SparkSession):
+    """Inside, Spark deletes the shuffle files of a query when it ends, not when the driver happens to collect its garbage.
+
+    What is run inside should be kept, as a checkpoint or a table: run again, it would be computed again.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared folder, so that a lost executor costs no recomputation of its past."""
+    """Materialise df in the shared folder, so that a lost executor costs no recomputation of its past; its shuffle files are freed."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with freed(df.sparkSession):
+        return df.filter("true").checkpoint(eager=True)  # a new query: the setting holds for those made under it
+
+
+def cores(spark: SparkSession) -> int:
+    """Tasks that run at once, as far as Spark knows."""
+    return spark.sparkContext.defaultParallelism
+
+
+def retried(step, times: int = 5, within: float = 120.0):
+    """step() again after a failed job, `times` times at most in any `within` seconds; then the failure goes up.
+
+    Steps read checkpointed state, so that a repeated one does the same again.
+    """
+    import time
+
+    from py4j.protocol import Py4JError
+    from pyspark.errors import PySparkException
+
+    failed: list[float] = []
+    while True:
+        try:
+            return step()
+        except (PySparkException, Py4JError):
+            now = time.monotonic()
+            failed = [t for t in failed if now - t < within] + [now]
+            if len(failed) >= times:
+                raise

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.functions.images import channel_scale, unsigned
+from granary.functions.images import channel_scale, grey, unsigned
 
 #: Magic numbers of the IDX formats, and the size of a CIFAR-10 image.
 IDX_IMAGES, IDX_LABELS = 2051, 2049
@@ -82,3 +82,25 @@ def labelled(df: DataFrame, labels: str | list[int] | None = None) -> DataFrame:
     from granary.operators.select import with_labels
 
     return with_labels(df, "label", labels) if labels else df
+
+
+def samples(df: DataFrame, means: list[float], deviations: list[float], labels: str | list[int] | None = None) -> DataFrame:
+    """idx, label, features of pictures (of mnist or cifar10): of the given labels, as normalised arrays."""
+    return normalised(pixel_array(labelled(df, labels)), means, deviations).select("idx", "label", "features")
+
+
+def grey_samples(df: DataFrame) -> DataFrame:
+    """idx, label, features of colour pictures: one grey value a pixel."""
+    px = pixel_array(df)
+    rgb = F.transform(F.sequence(F.lit(0), F.floor(F.size("features") / 3).cast("int") - 1), lambda i: grey(F.get("features", i * 3 + 2), F.get("features", i * 3 + 1), F.get("features", i * 3)))
+    return px.select("idx", "label", rgb.alias("features"))
+
+
+def aggregated(df: DataFrame, upper: int, classes: int, labels: str | list[int] | None = None, method: str = "svd", key: str = "idx", vector: str = "features", **more) -> DataFrame:
+    """Rows with bucket: pictures of the given labels in buckets of about `upper` of one label, by a reduction (svd, pca, slice) and median splits or by a clustering (kmeans, bisecting, gaussian)."""
+    from granary.operators.buckets import aggregate_points, cluster_by
+
+    rows = labelled(df, labels)
+    if method in ("svd", "pca", "slice"):
+        return aggregate_points(rows, vector, key, "label", upper, classes, method, **more)
+    return rows.join(cluster_by(rows, vector, key, "label", upper, method, **more).drop("label"), key)

@@ -174,3 +174,10 @@ def delete(spark: SparkSession, path: str) -> bool:
 def write_results(spark: SparkSession, rows: list[tuple], columns: str, path: str) -> None:
     """Small result tables (ratio, accuracy, time) as CSV."""
     spark.createDataFrame(rows, columns).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def list_files(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files right in a folder, on whatever file system it is."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
+    return sorted(f.getPath().getName() for f in found if f.isFile())

@@ -352,3 +352,58 @@ def test_layered_machines(spark):
     fine = buckets.centroids(rows, "v", ["zip_id", "y"]).withColumn("parent", F.col("zip_id") % 2)
     coarse = buckets.centroids(rows.withColumn("zip_id", F.col("id") % 2), "v", ["zip_id", "y"])
     assert rate(svm.layered_svm(rows, [coarse, fine], "v", "y", "id", 4, 8)) > 0.8
+
+
+def test_smaller_forms(spark, tmp_path):
+    from granary import session
+    from granary.sources import text
+
+    df = blobs(spark, 40)
+    planes = lsh.planes(3, 4, 2)
+    near = {r.id for r in lsh.same_bits(df, "v", "id", planes, 3).collect()}
+    keys = {r.vec_id: r.hash_key for r in lsh.build(df, "v", "id", planes, 1).collect()}
+    assert near == {i for i, k in keys.items() if k == keys[3]}
+    assert buckets.direct_buckets(df, "v", "id", 10).groupBy("bucket").count().agg(F.max("count")).first()[0] <= 10
+    two = buckets.two_levels(df, [F.get("v", F.lit(i)) for i in range(3)], "id", 10).groupBy("coarse", "bucket").count().collect()
+    assert len(two) == 8 and all(r["count"] == 5 and r.bucket.startswith(r.coarse) for r in two)
+    with pytest.raises(ValueError):
+        buckets.two_levels(df, [F.col("id")], "id", 4)
+    assert sorted((r.size, r.members[0]) for r in buckets.members_of(df, "id", ["label"]).collect()) == [(20, 0), (20, 1)]
+    assert buckets.pure_centroids(df.withColumn("b", F.col("label")), "v", ["b"], "label").count() == 2
+    with pytest.raises(Exception, match="several labels"):
+        buckets.pure_centroids(df.withColumn("b", F.lit(0)), "v", ["b"], "label").collect()
+    assert buckets.hashed_buckets(df, F.xxhash64("v"), "id", "label", 5).groupBy("label", "bucket").count().count() == 8
+    x = np.outer(np.arange(1, 9), [0.5, 1.0, 1.5, 2.0])
+    far, late = (buckets.incremental_svd(x, 2, 30, trailing=t) for t in (False, True))
+    assert not np.array_equal(far[0], late[0])
+    assert neural.pool_mean(np.arange(20.0).reshape(4, 5), 2).tolist() == [[3.0, 5.0], [13.0, 15.0]] and neural.unpool(np.eye(2), 2).sum() == 8
+    text.write_text(spark.createDataFrame([("a",)], "value string"), str(tmp_path / "t"), True)
+    assert "_SUCCESS" in text.list_files(spark, str(tmp_path / "t"))
+    assert session.cores(spark) >= 1
+    tried = []
+
+    def step(least):
+        tried.append(1)
+        if len(tried) < least:
+            spark.sql("SELECT raise_error('no')").collect()
+        return "done"
+
+    assert session.retried(lambda: step(3)) == "done" and len(tried) == 3
+    tried.clear()
+    with pytest.raises(Exception, match="no"):
+        session.retried(lambda: step(9), 2)
+    assert len(tried) == 2
+
+
+def test_pictures_as_samples(spark):
+    from granary.sources import binary
+
+    rng = np.random.default_rng(0)
+    rows = [(i, float(i % 2 + 1), bytearray(rng.integers(0, 256, 12).astype(np.uint8).tobytes())) for i in range(24)]
+    df = spark.createDataFrame(rows, "idx long, label double, pixels binary")
+    got = binary.samples(df, [1.0, 2.0, 3.0], [2.0, 2.0, 2.0], "1").orderBy("idx").collect()
+    assert [r.idx for r in got] == list(range(0, 24, 2)) and got[0].features[4] == (rows[0][2][4] - 2.0) / 2
+    b, g, r = rows[0][2][:3]
+    assert binary.grey_samples(df).filter("idx = 0").first().features[0] == pytest.approx(0.3 * r + 0.59 * g + 0.11 * b)
+    px = binary.pixel_array(df)
+    assert binary.aggregated(px, 4, 3, "1,2", "slice").count() == 24 and binary.aggregated(px, 1, 3, None, "kmeans").count() == 24

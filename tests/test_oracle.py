@@ -4,6 +4,7 @@ import os
 import duckdb
 import pytest
 
+from granary.plans import checked  # noqa: F401  registers its queries
 from granary.plans.queries import Q, SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
