@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
 import ctypes
 import functools
 from collections.abc import Iterator
@@ -13,10 +12,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.session import freed
+
 #: Most bytes of text that a Python worker expands at once (a single longer text is one chunk).
 CHUNK_BYTES = 1 << 20
-#: Most rows that a checked broadcast may have; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Most rows and bytes that a checked broadcast may have; beyond them the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -172,13 +173,27 @@ def lean(df: DataFrame) -> DataFrame:
     return df
 
 
-def bounded_join(left: DataFrame, right: DataFrame, on, how: str, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """left join right, broadcasting right only where a count shows that it has at most `limit` rows.
+def _small(df: DataFrame, rows: int, size: int) -> bool:
+    """Whether df has at most so many rows, of at most so many bytes: a field counts 8, and strings and binaries their length besides."""
+    wide = [f.name for f in df.schema.fields if f.dataType.typeName() in ("string", "binary")]
+    if any(f.dataType.typeName() in ("array", "map", "struct") for f in df.schema.fields):
+        return False
+    fixed = 16 + 8 * len(df.columns)
+    most = min(rows, size // fixed)
+    length = F.lit(0)
+    for name in wide:
+        length = length + F.coalesce(F.octet_length(F.col(f"`{name}`")), F.lit(0))
+    n, more = df.select(length.cast("long").alias("b")).limit(most + 1).agg(F.count("*"), F.coalesce(F.sum("b"), F.lit(0))).first()
+    return n <= most and n * fixed + more <= size
+
+
+def bounded_join(left: DataFrame, right: DataFrame, on, how: str, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """left join right, broadcasting right only where its rows and bytes, counted first, are few enough; else both are shuffled.
 
-    `right` is counted by an action, so pass one that is cheap to compute twice or already cut.
+    `right` is read by an action, so pass one that is cheap to compute twice or already cut. Rows with
+    nested columns are never broadcast.
     """
-    few = right.limit(limit + 1).count() <= limit
-    return left.join(F.broadcast(right) if few else right, on, how)
+    return left.join(F.broadcast(right) if _small(right, rows, size) else right, on, how)
 
 
 def keyed_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
@@ -218,19 +233,8 @@ def drop(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-@contextlib.contextmanager
-def freed(spark: SparkSession):
-    """Inside, Spark deletes the shuffle files of a query when it ends, not when the driver happens to collect its garbage."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def kept(df: DataFrame, path: str) -> DataFrame:
     """df by way of Parquet in the shared folder: packed, where a checkpoint would hold whole rows, and without its partitioning."""
-    df.write.option("compression", "zstd").parquet(path)
+    with freed(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

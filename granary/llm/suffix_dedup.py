@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import BASE, bounded_join, chunks, drop, flat, freed, give_back, kept, keyed_join, lean, mix, prefix_hash, spread
+from granary.llm.common import BASE, bounded_join, chunks, drop, flat, give_back, kept, keyed_join, lean, mix, prefix_hash, spread
 from granary.llm.ngram_join import _groups
 from granary.llm.sais import pack, permuted_common_prefixes, suffix_arrays
-from granary.session import cut, shared_dir
+from granary.session import cut, freed, shared_dir
 
 LENGTH = 400
 #: An anchor is this part of a string: 2 (half) cost the least on the check tables; shorter ones recur more often by themselves.

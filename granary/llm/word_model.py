@@ -23,8 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import _WORD, chunks, drop, flat, freed, give_back, kept, mix, prefix_hash, spread
-from granary.session import cut, shared_dir
+from granary.llm.common import _WORD, chunks, drop, flat, give_back, kept, mix, prefix_hash, spread
+from granary.session import cut, freed, shared_dir
 
 #: Classes of bytes: blanks part tokens, and a token is a run of one other class (of words or of signs).
 _CLASS = np.where(_WORD, 1, 2).astype(np.uint8)
@@ -288,7 +288,10 @@ def _add(unknown: float):
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
-    """The columns of docs but _text (its first), with _tokens, the number of tokens, and _lp, the log probability."""
+    """The columns of docs but _text (its first), with _tokens, the number of tokens, and _lp, the log probability.
+
+    docs is read once a slice, and rows are told by their place in a task: it should be a table, or cut.
+    """
     spark = docs.sparkSession
     fields = [f for f in docs.schema.fields if f.name != "_text"]
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
