@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from granary.llm.common import KEPT, chunks, lean
 
 #: Pre-tokens longer than this are not memoised; the older half of the memo goes when the newer half has this many entries.
-MEMO_LENGTH, MEMO_ENTRIES = 64, 120_000
+MEMO_LENGTH, MEMO_ENTRIES = 64, 300_000
 
 
 class PerfectHash:
@@ -89,6 +89,7 @@ class ByteBpe:
         self.sizes = np.array([-1 if x is None else len(x) for x in self.bytes_of], np.int64)
         self.at = np.concatenate([[0], np.cumsum(np.maximum(self.sizes, 0))])
         self.data = np.frombuffer(b"".join(x or b"" for x in self.bytes_of), np.uint8)
+        self.said = [str(i) for i in range(top)]
         self.memo: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
 
@@ -210,18 +211,27 @@ def decode(encoded: DataFrame, ranks: bytes, pattern: str, keep: list[str], ids_
 def round_trip(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of decimal ids joined by a space), decoded_sha256, and the ids where they are asked for.
 
-    Texts are encoded, and the ids decoded again, in one pass of a worker.
+    Texts are encoded, and the ids decoded again, in one pass of a worker, which sends digests.
     """
 
     def run(batches):
         t = tokenizer(ranks, pattern)
         for batch in chunks(batches, "text", 1 << 20):
-            ids, ends = _encoded(t, batch.column(1))
+            flat, ends, said = [], [0], []
+            for text in batch.column(1).to_pylist():
+                ids = t.encode(text) if text else []
+                flat += ids
+                ends.append(len(flat))
+                said.append(hashlib.sha256(" ".join(map(t.said.__getitem__, ids)).encode()).hexdigest())
+            ids, ends = np.array(flat, np.int32), np.array(ends, np.int32)
             data, at = t.decode(ids.astype(np.int64), ends.astype(np.int64))
-            raw = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)), raw], names=["doc_id", "ids", "decoded"])
+            back = [hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)]
+            out = [batch.column(0), pa.array(np.diff(ends).astype(np.int64)), pa.array(said, pa.string()), pa.array(back, pa.string())]
+            if with_ids:
+                out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)))
+            yield pa.RecordBatch.from_arrays(out, names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    coded = lean(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded binary")
-    said = F.regexp_replace(F.replace(F.col("ids").cast("string"), F.lit(", "), F.lit(" ")), r"^\[|\]$", "")
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(said, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), *(["ids"] if with_ids else []))
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])]
+    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{', ids array<int>' if with_ids else ''}"
+    return lean(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
