@@ -152,7 +152,7 @@ def svd_features(df: DataFrame, vector: str, key: str, count: int, by: str | Non
 
     The steps depend on each other, so a group has to fit into a worker: one of over WORKER_ROWS rows is refused, and pca_features is the way for it.
     """
-    most = largest(df, [by] if by else [])
+    most = largest(df, [by] if by else [])  # 0 if small
     if most > WORKER_ROWS:
         raise ValueError(f"a group of {most} rows is too large for the steps of one worker; use pca_features")
     kind = df.schema[key].dataType.simpleString()
@@ -415,5 +415,5 @@ def pure_centroids(df: DataFrame, vector: str, by: list[str], label: str) -> Dat
 
 def hashed_buckets(df: DataFrame, hashed: Column, key: str, label: str, upper: int) -> DataFrame:
     """df with bucket: each label's rows in the order of a perceptual hash, cut into stretches of about `upper` rows by median splits."""
-    top = largest(df, [label])
+    top = df.groupBy(label).count().agg(F.max("count")).first()[0] or 0
     return median_split(df, [hashed] * levels_for(top, upper), key, [label])

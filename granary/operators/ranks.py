@@ -1,6 +1,6 @@
 """Exact ranks within groups of any size.
 
-Where the largest group is small, by a count, a window gives them: its rows fit a task. Beyond that the
+Where the table is small, or its largest group by a count, a window gives them: its rows fit a task. Beyond that the
 rows are range-partitioned by group and order, and a rank is the place in the partition plus the rows
 of the group in the partitions before, so that a group spreads over as many tasks as it needs.
 """
@@ -12,12 +12,19 @@ from pyspark.sql import functions as F
 
 from granary.session import cut
 
-#: Rows of a group that one task ranks at most.
-WINDOW_ROWS = 1_000_000
+#: Rows of a group that one task ranks at most, and bytes of a plan, as Spark estimates them, whose groups aren't counted.
+WINDOW_ROWS, SMALL_BYTES = 1_000_000, 16 << 20
+
+
+def small(df: DataFrame) -> bool:
+    """Whether Spark estimates all of df at no more than SMALL_BYTES, so that any group of it fits a task."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL_BYTES
 
 
 def largest(df: DataFrame, by: list[str]) -> int:
-    """Rows of the largest group: a count with partial sums, of which one row comes back."""
+    """Rows of the largest group: a count with partial sums, of which one row comes back. 0 for a small table, which isn't counted."""
+    if small(df):
+        return 0
     return df.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.vectors import argmax, dense, literal
-from granary.operators.ranks import ranked
+from granary.operators.ranks import ranked, small
 
 
 def top_k(df: DataFrame, score: Column, key: str, k: int) -> DataFrame:
@@ -84,7 +84,9 @@ def mean_threshold(df: DataFrame, loss: str, key: str, fraction: float, by: list
 
 
 def with_statistics(df: DataFrame, by: list[str], **columns: Column) -> DataFrame:
-    """df with aggregates of its groups, joined back: partial sums, where a window would bring a group together."""
+    """df with aggregates of its groups: by a window for a small table, else joined back, so that no group comes together."""
+    if small(df):
+        return df.withColumns({k: v.over(Window.partitionBy(*by)) for k, v in columns.items()})
     names = {c: f"_by_{i}" for i, c in enumerate(by)}
     stats = df.groupBy(*(F.col(c).alias(n) for c, n in names.items())).agg(*(v.alias(k) for k, v in columns.items()))
     same = F.lit(True)

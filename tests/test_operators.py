@@ -55,7 +55,9 @@ def test_large_groups_are_ranked_over_tasks(spark, monkeypatch):
         "iterative": lambda: buckets.hash_iterative(df, v, "id", 40).select("id", "bucket"),
     }
     small = {k: sorted(map(tuple, f().collect())) for k, f in ways.items()}
+    assert ranks.small(spark.range(10)) and not ranks.small(spark.range(10**8))
     monkeypatch.setattr(ranks, "WINDOW_ROWS", 20)
+    monkeypatch.setattr(ranks, "SMALL_BYTES", 0)
     for k, f in ways.items():
         assert sorted(map(tuple, f().collect())) == small[k], k
     assert "WindowExec" not in select.top_fraction(df, F.col("x"), "id", 0.3, ["g"])._jdf.queryExecution().analyzed().toString()
@@ -321,6 +323,7 @@ def test_pairs_stacks_and_sparse_steps(spark, monkeypatch):
     sparse = spark.createDataFrame([(i, [int(c) for c in at], [float(y) for y in ys]) for i, (at, ys) in enumerate(rows)], "id long, i array<int>, x array<double>")
     assert sparse.count() == buckets.sparse_svd_features(sparse, "i", "x", "id", 4, 2, rounds=3).count()
     monkeypatch.setattr(buckets, "WORKER_ROWS", 3)
+    monkeypatch.setattr(ranks, "SMALL_BYTES", 0)
     with pytest.raises(ValueError):
         buckets.svd_features(df, "v", "id", 2)
 
