@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from granary.llm.common import chunks, drop, lean, spread
+from granary.llm.common import chunks, drop, give_back, lean
 from granary.session import cut, shared_dir
 
 #: Fixed values of the formats.
@@ -273,7 +273,7 @@ def decided(pages: DataFrame, least: int = 0, id_col: str = "page_id", url_col:
     rows = lean(pages).select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.sha2(html, 256).alias("_key"))
     groups = rows.groupBy("_key").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
     many = groups.filter("n > 1").select(F.col("_key").alias("_many"), "first")
-    both = rows.join(spread(many), F.col("_key") == F.col("_many"), "left")
+    both = rows.join(many, F.col("_key") == F.col("_many"), "left")
     long = F.col("_many").isNotNull() & (F.octet_length(F.coalesce("html", F.lit(""))) >= least)
     return both.select("page_id", "url", "html", "_key", "first", long.alias("_long"))
 
@@ -290,12 +290,12 @@ def write_warc(pages: DataFrame, out_dir: str, least: int = 0) -> None:
     if again.isEmpty():
         plan = rows.withColumn("copy", F.lit(0))
     else:  # rows that repeat a page_id and its payload are numbered; of the first page's one is the response
-        marked = rows.join(spread(again), (F.col("_key") == F.col("_again")) & F.col("page_id").eqNullSafe(F.col("_id")), "left")
+        marked = rows.join(again, (F.col("_key") == F.col("_again")) & F.col("page_id").eqNullSafe(F.col("_id")), "left")
         rank = F.row_number().over(Window.partitionBy("_key", "page_id").orderBy("url")) - 1
         alone, several = marked.filter("_again is null"), marked.filter("_again is not null")
         plan = alone.withColumn("copy", F.lit(0)).unionByName(several.withColumn("copy", rank))
     plan = plan.withColumn("first_copy", F.when(F.col("_long") & ~(same & (F.col("copy") == 0)), F.lit(0)))
-    records = plan.select("page_id", "copy", "url", "html", "first", "first_copy").mapInArrow(_to_warc(FILE_BYTES), "value binary, file int")
+    records = plan.select("page_id", "copy", "url", "html", "first", "first_copy").mapInArrow(give_back(_to_warc(FILE_BYTES)), "value binary, file int")
     writer = records.select(F.col("value").cast("string"), "file").write.mode("overwrite").partitionBy("file")
     writer.option("lineSep", "\0").option("compression", "none").text(out_dir)
 
@@ -304,7 +304,7 @@ def read_warc(spark, path: str, kind: str = "long") -> DataFrame:
     """Records of the WARC files (plain or gzip) in path: READ_DDL, with ids of this kind. Payload digests of responses are checked."""
     schema = spark.range(0).select(F.lit(None).cast(kind).alias("x")).schema
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter(F.col("length") > 0).select("content")
-    return lean(files).mapInArrow(_from_warc(to_arrow_type(schema["x"].dataType)), READ_DDL.format(kind=kind))
+    return lean(files).mapInArrow(give_back(_from_warc(to_arrow_type(schema["x"].dataType))), READ_DDL.format(kind=kind))
 
 
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
