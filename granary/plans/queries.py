@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from granary.functions import images, vectors as V
-from granary.operators import buckets, cluster, gossip, lsh, regress, select, svm
+from granary.operators import buckets, cluster, gossip, lsh, pairs, regress, select, svm
 from granary.session import load
 from granary.sources import text
 
@@ -554,18 +554,11 @@ def flagship(spark, d):
     return bucket_centroids(spark, d)
 
 
-def pairs_within(df, key: str, part: str):
-    """Upper triangle of the pairs of each part."""
-    a, b = df.select(part, F.col(key).alias("a")), df.select(part, F.col(key).alias("b"))
-    return a.join(b, part).filter("a <= b")
-
-
 @query(f"SELECT x.label, round(sum(exp(-0.05 * {_sq('x.v', 'y.v')})), 4) AS total, count(*) AS pairs FROM {E} x JOIN {E} y ON x.label = y.label AND x.vec_id <= y.vec_id GROUP BY ALL")
 def kernel_sums(spark, d):
     """The kernel matrix of each partition of a solver, its upper triangle summed."""
-    e = _emb(spark, d)
-    p = pairs_within(e, "vec_id", "label").join(e.select(F.col("vec_id").alias("a"), F.col("v").alias("va")), "a").join(e.select(F.col("vec_id").alias("b"), F.col("v").alias("vb")), "b")
-    return p.groupBy("label").agg(_r(F.sum(V.rbf(F.col("va"), F.col("vb"), 0.05)), 4).alias("total"), F.count("*").alias("pairs"))
+    sums = pairs.rbf_sums(load(spark, d, "embeddings"), "embedding", "vec_id", ["label"], 0.05)
+    return sums.select("label", _r(F.col("total"), 4).alias("total"), "pairs")
 
 
 @query("SELECT event_type, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS r FROM events QUALIFY r <= 3")
