@@ -11,6 +11,8 @@ from granary.functions.vectors import dense, kernel
 
 #: Most support vectors that are sent to every task; larger sets are joined in blocks of this many.
 BLOCK = 20_000
+#: Rows that are solved with their whole kernel at once, and rows whose kernel with those is held at once.
+WORKING, SLICE = 2048, 512
 
 
 def margins(df: DataFrame, vector: str, key: str, support: DataFrame, name: str = "rbf", gamma: float = 0.05, bias: float = 0.0) -> DataFrame:
@@ -48,7 +50,11 @@ def hard_points(scored: DataFrame, label: str, margin: str, key: str, ratio: flo
 
 def kernel_matrix(name: str, gamma: float, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     if name == "rbf":
-        return np.exp(-gamma * np.maximum(0, (x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T))
+        d = (x * x).sum(1)[:, None] + (y * y).sum(1)[None]
+        d -= 2 * x @ y.T
+        np.maximum(0, d, out=d)
+        d *= -gamma
+        return np.exp(d, out=d)
     if name == "poly":
         return (gamma * x @ y.T) ** 2
     if name == "tanh":
@@ -140,24 +146,21 @@ def zipped(df: DataFrame, vector: str, label: str, key: str, upper: int, method:
     return rows, zips.withColumn("zip_id", F.xxhash64(label, "bucket")).select("zip_id", "centroid", label)
 
 
-def smo(x: np.ndarray, y: np.ndarray, c: float = 1.0, gamma: float = 0.05, name: str = "rbf", tol: float = 1e-3, most: int = 10_000, start: np.ndarray | None = None) -> tuple[np.ndarray, float]:
-    """Sequential minimal optimisation with the two-threshold rule: (alpha, b), margins are sum alpha y K - b.
+def _open(y: np.ndarray, a: np.ndarray, c: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows whose y * alpha may rise, and whose may fall."""
+    more, less = a < c - 1e-12, a > 1e-12
+    return np.where(y > 0, more, less), np.where(y > 0, less, more)
 
-    Raises ValueError where only one class is present.
-    """
-    if len(set(y.tolist())) < 2:
-        raise ValueError("rows of both classes are needed")
-    k = kernel_matrix(name, gamma, x, x)
-    a = np.zeros(len(y)) if start is None else start.astype(float).copy()
-    f = k @ (a * y) - y
-    for _ in range(most):
-        up = ((y > 0) & (a < c - 1e-12)) | ((y < 0) & (a > 1e-12))
-        low = ((y > 0) & (a > 1e-12)) | ((y < 0) & (a < c - 1e-12))
+
+def _steps(k: np.ndarray, y: np.ndarray, a: np.ndarray, f: np.ndarray, c: float, tol: float, most: int) -> int:
+    """Steps on the pair of the largest violation until none is over 2 tol: a and f are changed in place. The number of steps."""
+    for done in range(most):
+        up, low = _open(y, a, c)
         if not up.any() or not low.any():
-            break
+            return done
         i, j = np.where(up, f, np.inf).argmin(), np.where(low, f, -np.inf).argmax()
         if f[j] - f[i] <= 2 * tol:
-            break
+            return done
         eta = 2 * k[i, j] - k[i, i] - k[j, j]
         if y[i] != y[j]:
             bottom, top = max(0.0, a[j] - a[i]), min(c, c + a[j] - a[i])
@@ -167,10 +170,61 @@ def smo(x: np.ndarray, y: np.ndarray, c: float = 1.0, gamma: float = 0.05, name:
         new = min(max(new, bottom), top)
         d = new - a[j]
         if abs(d) < 1e-12:
-            break
+            return done
         e = -y[i] * y[j] * d
         a[j], a[i] = new, a[i] + e
-        f += d * y[j] * k[:, j] + e * y[i] * k[:, i]
+        f += d * y[j] * k[j] + e * y[i] * k[i]
+    return most
+
+
+def _worst(f: np.ndarray, up: np.ndarray, low: np.ndarray, tol: float) -> np.ndarray:
+    """Places of the WORKING / 2 smallest f of the rows that may rise and the largest of those that may fall, as far as they violate the optimum."""
+    out = []
+    for g, side, bound in ((f, up, f[low].max()), (-f, low, -f[up].min())):
+        at = np.flatnonzero(side & (g < bound - 2 * tol))
+        out.append(at if len(at) <= WORKING // 2 else at[np.argpartition(g[at], WORKING // 2 - 1)[: WORKING // 2]])
+    return np.union1d(*out)
+
+
+def smo(x: np.ndarray, y: np.ndarray, c: float = 1.0, gamma: float = 0.05, name: str = "rbf", tol: float = 1e-3, most: int = 10_000, start: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Sequential minimal optimisation with the two-threshold rule: (alpha, b), margins are sum alpha y K - b.
+
+    More than WORKING rows are solved by the WORKING rows of the largest violations, again and again, until no row
+    violates; only the kernel of those is kept, that with the others comes and goes in slices. `most` steps
+    are taken at most, and as many for each further WORKING rows. Raises ValueError where only one class is present.
+    """
+    if len(set(y.tolist())) < 2:
+        raise ValueError("rows of both classes are needed")
+    n, all_ = len(y), np.arange(len(y))
+    a = np.zeros(n) if start is None else start.astype(float).copy()
+    f, left = -y.astype(float), most * max(1, -(-n // WORKING))
+
+    def add(change: np.ndarray, of: np.ndarray) -> None:
+        """f for changes of alpha * y of the rows `of`."""
+        at = np.flatnonzero(change)
+        for s in range(0, n, SLICE):
+            for t in range(0, len(at), WORKING):
+                u = at[t : t + WORKING]
+                f[s : s + SLICE] += kernel_matrix(name, gamma, x[s : s + SLICE], x[of[u]]) @ change[u]
+
+    add(a * y, all_)
+    while left > 0:
+        up, low = _open(y, a, c)
+        if not up.any() or not low.any() or f[low].max() - f[up].min() <= 2 * tol:
+            break
+        rows = all_ if n <= WORKING else _worst(f, up, low, tol)
+        own, before = f[rows], a[rows]
+        now = before.copy()
+        took = _steps(kernel_matrix(name, gamma, x[rows], x[rows]), y[rows], now, own, c, tol, left)
+        left -= took
+        a[rows] = now
+        if n <= WORKING:
+            f = own
+        else:
+            add((now - before) * y[rows], rows)
+        if n <= WORKING or not took:
+            break
+    up, low = _open(y, a, c)
     inside = (a > 1e-8) & (a < c - 1e-8)
     b = float(f[inside].mean()) if inside.any() else float((np.where(up, f, np.inf).min() + np.where(low, f, -np.inf).max()) / 2)
     return a, b

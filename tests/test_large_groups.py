@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from granary.operators import pairs
+from granary.operators import pairs, svm
 from granary.plans import checked  # noqa: F401  registers its queries
 from granary.plans.queries import Q, SQL
 
@@ -43,3 +43,27 @@ def test_kernel_sums_move_rows_not_pairs(spark, tmp_path):
     k = np.exp(-0.05 * ((x[:, None] - x[None]) ** 2).sum(2))
     r = df.first()
     assert (r["total"], r["pairs"]) == (pytest.approx(k[np.triu_indices(n)].sum(), abs=1e-3), n * (n + 1) // 2)
+
+
+def gap(x, y, a, c=1.0):
+    """Violation of the optimum that is left, and the dual objective."""
+    f = svm.kernel_matrix("rbf", 0.05, x, x) @ (a * y) - y
+    up, low = svm._open(y, a, c)
+    return f[low].max() - f[up].min(), a.sum() - 0.5 * ((f + y) * a * y).sum()
+
+
+@pytest.mark.parametrize("started", [False, True])
+def test_machines_of_many_rows_hold_slices_of_the_kernel_and_reach_the_optimum(monkeypatch, started):
+    rng = np.random.default_rng(5)
+    x, y = rng.standard_normal((700, 6)), np.where(rng.random(700) < 0.5, 1.0, -1.0)  # nearly every row becomes a support vector
+    start = np.full(700, 0.25) if started else None
+    whole, b = svm.smo(x, y, start=start)
+    largest, plain = [], svm.kernel_matrix
+    monkeypatch.setattr(svm, "WORKING", 64, raising=False)
+    monkeypatch.setattr(svm, "SLICE", 32, raising=False)
+    monkeypatch.setattr(svm, "kernel_matrix", lambda n, g, p, q: largest.append(len(p) * len(q)) or plain(n, g, p, q))
+    a, b2 = svm.smo(x, y, start=start)
+    assert max(largest) <= 64 * 64
+    assert a.min() >= -1e-9 and a.max() <= 1 + 1e-9 and abs(((a - (0 if start is None else start)) * y).sum()) < 1e-9
+    assert gap(x, y, a)[0] <= 2e-3 + 1e-9 and gap(x, y, a)[1] == pytest.approx(gap(x, y, whole)[1], rel=1e-4)
+    assert b2 == pytest.approx(b, abs=5e-3)
